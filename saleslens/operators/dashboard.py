@@ -11,7 +11,8 @@ from saleslens import schemas as S
 from saleslens.functions import dashboard_age_band, priority_band, series_name
 from saleslens.operators.cleaning import any_of, between_dates, recent
 
-P = F.col("probability")
+def _p() -> Column:
+    return F.col("probability")
 
 
 def kpi_summary(clients: DataFrame, contacts: DataFrame, threshold: float = S.SERVICE_THRESHOLD) -> DataFrame:
@@ -19,8 +20,8 @@ def kpi_summary(clients: DataFrame, contacts: DataFrame, threshold: float = S.SE
     contacted = contacts.agg(F.count("id").alias("contacted"))
     return clients.agg(
         F.count("*").alias("total_clients"),
-        F.coalesce(F.avg(P), F.lit(0.0)).alias("churn_risk_mean"),
-        F.count_if(P >= threshold).alias("at_risk_count"),
+        F.coalesce(F.avg(_p()), F.lit(0.0)).alias("churn_risk_mean"),
+        F.count_if(_p() >= threshold).alias("at_risk_count"),
         F.lit(0.0).alias("conversion_rate"),
     ).select("*", contacted.scalar().alias("contacted"))
 
@@ -29,9 +30,9 @@ def business_kpis(clients: DataFrame, threshold: float = S.BUSINESS_THRESHOLD,
                   conversion: float = 0.20, value: int = 1000) -> DataFrame:
     counted = clients.agg(
         F.count("*").alias("total_clients"),
-        F.round(F.coalesce(F.avg(P), F.lit(0.0)), 2).alias("churn_risk_mean"),
+        F.bround(F.coalesce(F.avg(_p()), F.lit(0.0)), 2).alias("churn_risk_mean"),
         F.count_if(F.coalesce(F.col("status"), F.lit("pending")) != "pending").alias("contacted"),
-        F.count_if(P >= threshold).alias("potential_clients"),
+        F.count_if(_p() >= threshold).alias("potential_clients"),
     )
     potential = F.col("potential_clients")
     return counted.select(
@@ -64,9 +65,9 @@ def ranked_page(clients: DataFrame, page: int = 1, size: int = 10,
         return clients.orderBy(*ordered).offset((page - 1) * size).limit(size)
     probability, last_id = after
     if probability is None:
-        rest = P.isNotNull() | (F.col("id") > last_id)
+        rest = _p().isNotNull() | (F.col("id") > last_id)
     else:
-        rest = (P < probability) | ((P == probability) & (F.col("id") > last_id))
+        rest = (_p() < probability) | ((_p() == probability) & (F.col("id") > last_id))
     return clients.where(rest).orderBy(*ordered).limit(size)
 
 
@@ -74,10 +75,10 @@ def list_row(clients: DataFrame) -> DataFrame:
     """Columns of the list: null probability shows as 0, null status as pending."""
     return clients.select(
         "id", "user_id",
-        F.coalesce(P, F.lit(0.0)).alias("probability"),
+        F.coalesce(_p(), F.lit(0.0)).alias("probability"),
         F.when(F.coalesce(F.col("status"), F.lit("")) == "", "pending").otherwise(F.col("status")).alias("status"),
         "age", "risk_profile", "income_range",
-        priority_band(P).alias("priority"),
+        priority_band(_p()).alias("priority"),
     )
 
 
@@ -118,16 +119,16 @@ def probability_histogram(clients: DataFrame, include_upper: bool = False) -> Da
     One pass, all bins as conditional counts, so empty ones are there with 0.
     """
     bounds = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
-    inside = [(P >= lo) & (P < hi) for lo, hi in zip(bounds, bounds[1:])]
+    inside = [(_p() >= lo) & (_p() < hi) for lo, hi in zip(bounds, bounds[1:])]
     if include_upper:
-        inside[-1] = (P >= bounds[-2]) & (P <= bounds[-1])
+        inside[-1] = (_p() >= bounds[-2]) & (_p() <= bounds[-1])
     counted = clients.agg(
-        F.count(P).alias("total"), *[F.count_if(c).alias(f"b{i}") for i, c in enumerate(inside)])
+        F.count(_p()).alias("total"), *[F.count_if(c).alias(f"b{i}") for i, c in enumerate(inside)])
     rows = [
         F.struct(
             F.lit(f"{20 * i}-{20 * i + 20}%").alias("range"),
             F.col(f"b{i}").alias("count"),
-            F.coalesce(F.round(F.try_divide(F.col(f"b{i}").cast("double"), F.col("total")) * 100, 2),
+            F.coalesce(F.bround(F.try_divide(F.col(f"b{i}").cast("double"), F.col("total")) * 100, 2),
                        F.lit(0.0)).alias("percentage"),
         ) for i in range(5)
     ]
@@ -136,7 +137,7 @@ def probability_histogram(clients: DataFrame, include_upper: bool = False) -> Da
 
 def missing_probabilities(clients: DataFrame) -> DataFrame:
     """The clients a histogram leaves out because they have no probability."""
-    return clients.agg(F.count_if(P.isNull()).alias("sin_probabilidad"))
+    return clients.agg(F.count_if(_p().isNull()).alias("sin_probabilidad"))
 
 
 def contacted_histogram(clients: DataFrame, threshold: float = 0.2389) -> DataFrame:
@@ -145,7 +146,7 @@ def contacted_histogram(clients: DataFrame, threshold: float = 0.2389) -> DataFr
     pending = F.coalesce(F.col("status"), F.lit("pending")) == "pending"
     aggregates = []
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        inside = (P >= lo) & (P < hi)
+        inside = (_p() >= lo) & (_p() < hi)
         aggregates += [F.count_if(inside & pending).alias(f"p{i}"), F.count_if(inside & ~pending).alias(f"c{i}")]
     rows = [
         F.struct(F.lit(f"{int(lo * 100)}-{int(hi * 100)}%").alias("range"),
@@ -198,7 +199,7 @@ def banded_heatmap(clients: DataFrame, x: str, y: str, metric: str = "probabilit
     grid = clients.sparkSession.createDataFrame(
         [(j, i, yc, xc) for j, yc in enumerate(bands[y]) for i, xc in enumerate(bands[x])],
         "y_pos int, x_pos int, y string, x string")
-    value = F.round(F.avg(P), 2) if metric == "probability" else F.count("*")
+    value = F.bround(F.avg(_p()), 2) if metric == "probability" else F.count("*")
     cells = clients.groupBy(key(x).alias("x"), key(y).alias("y")).agg(value.alias("value"))
     return grid.join(cells, ["x", "y"], "left").select(
         "y_pos", "x_pos", "y", "x", F.coalesce("value", F.lit(0)).alias("value"))
@@ -252,7 +253,7 @@ def contact_pace(clients: DataFrame, monthly_target: int = 100, as_of: str = "20
     target = F.lit(monthly_target)
     counted = clients.agg(
         F.count_if(F.coalesce(F.col("status"), F.lit("pending")) != "pending").alias("total_contacted"),
-        F.count_if(P >= threshold).alias("total_prioritized"),
+        F.count_if(_p() >= threshold).alias("total_prioritized"),
     )
     done = F.col("total_contacted")
     left = F.greatest(F.lit(1), F.dayofmonth(F.last_day(day)) - F.dayofmonth(day))
@@ -297,5 +298,5 @@ def health_counts(clients: DataFrame, predictions: DataFrame, contacts: DataFram
     """High-probability clients, predictions of the last days, and all contacts, in one row."""
     fresh = recent(predictions, date, as_of, days).agg(F.count("*").alias("n"))
     every = contacts.agg(F.count("*").alias("n"))
-    return clients.agg(F.count_if(P >= high).alias("high_probability")).select(
+    return clients.agg(F.count_if(_p() >= high).alias("high_probability")).select(
         "*", fresh.scalar().alias("recent_predictions"), every.scalar().alias("contacts"))

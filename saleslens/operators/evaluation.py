@@ -51,8 +51,10 @@ def _cells(score: str, label: str, threshold: float, suffix: str = "") -> list[C
     ]
 
 
-def confusion(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
-    return df.agg(*_cells(score, label, threshold))
+def confusion(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5,
+              by: Sequence[str] = ()) -> DataFrame:
+    """tn, fp, fn, tp; one row, or one per group of ``by``."""
+    return df.groupBy(*by).agg(*_cells(score, label, threshold))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -64,12 +66,13 @@ def _prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return precision, recall, _ratio(2 * precision * recall, precision + recall)
 
 
-def metrics(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
+def metrics(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5,
+            by: Sequence[str] = ()) -> DataFrame:
     """accuracy, precision, recall and F1; an empty denominator gives 0."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     precision, recall, f1 = _prf(tp, fp, fn)
-    return confusion(df, score, label, threshold).select(
-        _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
+    return confusion(df, score, label, threshold, by).select(
+        *by, _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1_score"))
 
 
@@ -117,12 +120,12 @@ def compare_thresholds(df: DataFrame, thresholds: Sequence[float], score: str =
 
 # -- curves ---------------------------------------------------------------------
 
-def cumulative(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def cumulative(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Per score, in falling order: true and false positives at or above it."""
-    per_score = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+    per_score = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
     return running_totals(bucket_by_value(per_score, "threshold"), {"tp": "_pos", "fp": "_neg"},
-                          [F.col("threshold").desc()], bucket_order="desc")
+                          [F.col("threshold").desc()], by, bucket_order="desc")
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -139,7 +142,7 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataF
         _ratio(F.col("tp"), F.col("tp_all")).alias("recall"))
 
 
-def areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def areas(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid areas under the ROC and the precision-recall curve, null with one class only.
 
     The point before each score follows from its own counts, so no row looks at another one.
@@ -148,12 +151,12 @@ def areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
     tp0, fp0 = tp - pos, fp - neg
     precision = _ratio(tp, tp + fp)
     precision0 = F.coalesce(F.try_divide(tp0.cast("double"), tp0 + fp0), F.lit(1.0))
-    return cumulative(df, score, label).agg(
+    return cumulative(df, score, label, by).groupBy(*by).agg(
         F.sum(neg * (tp + tp0)).alias("_roc"),
         F.sum(pos * (precision + precision0)).alias("_pr"),
         F.max("tp_all").alias("_p"), F.max("fp_all").alias("_n"),
     ).select(
-        F.try_divide(F.col("_roc") / 2.0, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
+        *by, F.try_divide(F.col("_roc") / 2.0, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
         F.try_divide(F.col("_pr") / 2.0, F.col("_p")).alias("pr_auc"),
     )
 
@@ -190,4 +193,4 @@ def precision_at_top(df: DataFrame, key: str, fraction: float = 0.2, score: str
                          _order(key, seed, order_key), [key], bucket=bucket)
     chosen = (F.col("rank") <= F.lit(cut["missing"])) & (F.col(label) == 1)
     return at_cut.agg((F.lit(cut["above"]) + F.count_if(chosen)).alias("positivos")).select(
-        F.lit(cut["k"]).alias("k"), "positivos", _ratio(F.col("positivos"), F.lit(cut["k"])).alias("precision"))
+        F.lit(cut["k"]).cast("bigint").alias("k"), "positivos", _ratio(F.col("positivos"), F.lit(cut["k"])).alias("precision"))

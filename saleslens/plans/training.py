@@ -86,12 +86,8 @@ def cross_validated(estimator: Estimator, df: DataFrame, folds: int = 5, seed: i
                     threshold: float = 0.5, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
     """Mean of the fold metrics in one row, and the confusion matrix of all held-out rows."""
     held_out = durable(out_of_fold(estimator, df, folds, seed, key))
-    rows = None
-    for i in range(folds):
-        fold = held_out.where(F.col("fold") == i)
-        one = metrics(fold, threshold=threshold).select("*", areas(fold).select("roc_auc").scalar().alias("roc_auc"))
-        rows = one if rows is None else rows.unionByName(one)
-    means = rows.agg(*[F.avg(c).alias(c) for c in ("roc_auc", "accuracy", "precision", "recall", "f1_score")])
+    per_fold = metrics(held_out, threshold=threshold, by=["fold"]).join(areas(held_out, by=["fold"]), "fold")
+    means = per_fold.agg(*[F.avg(c).alias(c) for c in ("roc_auc", "accuracy", "precision", "recall", "f1_score")])
     return means, confusion(held_out, threshold=threshold)
 
 
@@ -123,18 +119,24 @@ def learning_curve(estimator: Estimator, df: DataFrame, sizes: Sequence[float] =
     """
     folded = durable(stratified_folds(df, key, folds=folds, seed=seed)
                      .withColumn("_part", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1_000_000)) / 1e6))
-    rows = []
+    outcomes = None
     for size in sizes:
-        train_area, valid_area, trained = 0.0, 0.0, 0
         for i in range(folds):
             train = folded.where((F.col("fold") != i) & (F.col("_part") < size))
             model = estimator.fit(train)
-            train_area += areas(scored(model, train, key)).first()["roc_auc"] or 0.0
-            valid_area += areas(scored(model, folded.where(F.col("fold") == i), key)).first()["roc_auc"] or 0.0
-            trained += train.count()
-        rows.append((size, trained / folds, train_area / folds, valid_area / folds))
-    return df.sparkSession.createDataFrame(
-        rows, "size double, train_rows double, train_auc double, validation_auc double")
+            for part, rows in (("train", train), ("validation", folded.where(F.col("fold") == i))):
+                one = scored(model, rows, key).select(
+                    F.lit(float(size)).alias("size"), F.lit(i).alias("fold"), F.lit(part).alias("part"), "label", "score")
+                outcomes = one if outcomes is None else outcomes.unionByName(one)
+    outcomes = durable(outcomes)
+    groups = ["size", "fold", "part"]
+    measured = areas(outcomes, by=groups).join(outcomes.groupBy(*groups).agg(F.count("*").alias("_n")), groups)
+    in_training = F.col("part") == "train"
+    return measured.groupBy("size").agg(
+        F.avg(F.when(in_training, F.col("_n"))).alias("train_rows"),
+        F.avg(F.when(in_training, F.col("roc_auc"))).alias("train_auc"),
+        F.avg(F.when(~in_training, F.col("roc_auc"))).alias("validation_auc"),
+    ).orderBy("size")
 
 
 def importances(model: Model, features: Sequence[str]) -> DataFrame:
@@ -153,9 +155,8 @@ def permutation_importance(model_of: Callable[[DataFrame], DataFrame], table: Da
     no order of all rows is needed.
     """
     marked = durable(table.withColumn("_bucket", bucket_by_hash(F.xxhash64(F.col(key), F.lit(seed)), bits)))
-    whole = areas(model_of(table)).first()["roc_auc"]
     here = Window.partitionBy("_bucket").orderBy(F.col(key))
-    rows = []
+    outcomes = model_of(table).select(F.lit("").alias("feature"), "label", "score")
     for i, feature in enumerate(features):
         there = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1 + i)), F.col(key))
         given = marked.select("_bucket", F.row_number().over(there).alias("_n"), F.col(feature).alias("_given"))
@@ -163,8 +164,10 @@ def permutation_importance(model_of: Callable[[DataFrame], DataFrame], table: Da
             marked.withColumn("_n", F.row_number().over(here)).join(given, ["_bucket", "_n"])
             .withColumn(feature, F.col("_given")).drop("_bucket", "_n", "_given")
         )
-        rows.append((feature, whole - areas(model_of(exchanged)).first()["roc_auc"]))
-    rows.sort(key=lambda r: -r[1])
+        outcomes = outcomes.unionByName(
+            model_of(exchanged).select(F.lit(feature).alias("feature"), "label", "score"))
+    measured = {r["feature"]: r["roc_auc"] for r in areas(durable(outcomes), by=["feature"]).collect()}
+    rows = sorted(((f, measured[""] - measured[f]) for f in features), key=lambda r: -r[1])
     return table.sparkSession.createDataFrame(rows, "feature string, auc_loss double")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,19 +22,30 @@ def local_session(cores: int = 8, app: str = "saleslens") -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set on first use.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own; a cluster without it is an error, because a
-    machine-local folder would be lost with the machine.
+    It is the one the session names in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a folder of its own; a cluster without it is an error, because a machine-local
+    folder would be lost with the machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="saleslens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under the checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and read it back from the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -104,7 +104,11 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return contacts_from(table(spark, sf_dir, "events"))
+
+
+def contacts_from(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("client_id"),
         F.col("ts").cast("timestamp").alias("contacted_at"),
@@ -115,10 +119,14 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes_from(table(spark, sf_dir, "events"))
+
+
+def changes_from(events: DataFrame) -> DataFrame:
     """One change per event; signups ask for a status that is not allowed."""
     words = {"purchase": "converted", "view": "contacted", "click": "interested",
              "error": "lost", "signup": "archived"}
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("client_id"), _lookup("event_type", words).alias("new_status"),
         F.col("ts").cast("timestamp").alias("changed_at"))
 

@@ -66,7 +66,7 @@ def score_rows(scored: DataFrame, threshold: float, probability: str = "probabil
     """Score file: user_id, t0 with four decimals, t0b as 0 or 1, t1 always 0."""
     p = F.col(probability)
     return scored.select(
-        "user_id", F.round(p, 4).alias("t0"), (p >= F.lit(threshold)).cast("int").alias("t0b"),
+        "user_id", (F.rint(p * 10000) / 10000).alias("t0"), (p >= F.lit(threshold)).cast("int").alias("t0b"),
         F.lit(0).alias("t1"))
 
 
