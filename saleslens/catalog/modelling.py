@@ -172,7 +172,7 @@ def boosted(spark, sf_dir):
     return E.metrics(TR.scored(TR.boosted_trees(maxIter=20).fit(train), test))
 
 
-@query("m02_balanced_logistic_out_of_fold")
+@query("m02_m06_balanced_logistic_out_of_fold")
 def logistic(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
     return TR.out_of_fold(TR.balanced_logistic(maxIter=20), TR.class_weights(df))

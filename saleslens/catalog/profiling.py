@@ -21,6 +21,7 @@ from saleslens.operators import profile as R
 from saleslens.operators import transactions as X
 from saleslens.operators.ranks import exact_quantiles
 from saleslens.plans import features as FE
+from saleslens.session import scratch
 from saleslens.sources import tables as IO
 from saleslens.sources.adapters import REFERENCE_DATE, table
 
@@ -579,6 +580,27 @@ def audit(spark, sf_dir):
                                    "transactions": t.transactions})
 
 
+@query("s01_s03_csv_round_trip", over("demographics") + "SELECT * FROM demographics")
+def round_trip(spark, sf_dir):
+    place = f"{scratch(spark)}/demographics.csv"
+    IO.write_csv(Tables(spark, sf_dir).demographics, place)
+    return IO.read_csv(spark, place, S.DEMOGRAPHICS)
+
+
+@query("s05_csv_without_columns", over("products") + "SELECT user_id, product_type FROM products")
+def without_columns(spark, sf_dir):
+    place = f"{scratch(spark)}/products.csv"
+    IO.write_csv(Tables(spark, sf_dir).products, place)
+    return IO.read_csv_without(spark, place, S.PRODUCTS, ["contract_date", "not_there"])
+
+
+@query("s13_schema_report", """
+SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+ ELSE 'string' END AS data_type, "null" AS is_nullable FROM (DESCRIBE customer)""")
+def schema(spark, sf_dir):
+    return IO.schema_report(table(spark, sf_dir, "customer"))
+
+
 @query("o05_first_rows", over("demographics") + """
 SELECT * FROM demographics ORDER BY user_id LIMIT 5""")
 def first_rows(spark, sf_dir):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saleslens.operators.ranks import exact_quantiles, running_totals, bucket_by_value
+from saleslens.operators.ranks import bucket_by_value, exact_quantiles, running_totals
+from saleslens.session import durable
 
 LITERAL_LABELS = 256
 
@@ -85,12 +86,14 @@ class LabelEncoder:
         pairs = df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), _as_text(c, missing).alias("label")) for c in columns
         ])).alias("p")).select("p.*").distinct()
-        sizes = {r["column"]: r["count"] for r in pairs.groupBy("column").count().collect()}
-        small = [c for c in columns if sizes.get(c, 0) <= LITERAL_LABELS]
-        literals: dict[str, list[str]] = {c: [] for c in small}
-        if small:
-            for r in pairs.where(F.col("column").isin(small)).collect():
-                literals[r["column"]].append(r["label"])
+        # One text more than fits is enough to know that a dictionary is long; the limit per column
+        # is taken before the shuffle, so the driver gets a bounded number of texts.
+        place = F.row_number().over(Window.partitionBy("column").orderBy("label"))
+        found: dict[str, list[str]] = {c: [] for c in columns}
+        for r in pairs.withColumn("_place", place).where(F.col("_place") <= LITERAL_LABELS + 1).collect():
+            found[r["column"]].append(r["label"])
+        small = [c for c in columns if len(found[c]) <= LITERAL_LABELS]
+        literals = {c: found[c] for c in small}
         tables = {c: label_table(df, c, missing) for c in columns if c not in small}
         ordered = {c: sorted(v, key=lambda s: s.encode()) for c, v in literals.items()}
         return cls(ordered, tables, missing)
@@ -115,7 +118,7 @@ def label_table(df: DataFrame, column: str, missing: str = "nan") -> DataFrame:
     """Different texts of a column with their codes, for dictionaries of any length."""
     labels = df.select(_as_text(column, missing).alias("label")).distinct().select(
         "label", F.lit(1).alias("_one"), _prefix_number(F.col("label")).alias("_place"))
-    ranked = running_totals(bucket_by_value(labels, "_place"), {"_upto": "_one"}, [F.col("label")])
+    ranked = running_totals(bucket_by_value(durable(labels), "_place"), {"_upto": "_one"}, [F.col("label")])
     return ranked.select("label", (F.col("_upto") - 1).cast("int").alias("code"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.operators.ranks import bucket_by_value, hashed_rank, running_totals
+from saleslens.session import durable
 
 
 # -- balance and splits -------------------------------------------------------
@@ -124,7 +125,7 @@ def cumulative(df: DataFrame, score: str = "score", label: str = "label", by: Se
     """Per score, in falling order: true and false positives at or above it."""
     per_score = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-    return running_totals(bucket_by_value(per_score, "threshold"), {"tp": "_pos", "fp": "_neg"},
+    return running_totals(bucket_by_value(durable(per_score), "threshold"), {"tp": "_pos", "fp": "_neg"},
                           [F.col("threshold").desc()], by, bucket_order="desc")
 
 
@@ -181,7 +182,7 @@ def precision_at_top(df: DataFrame, key: str, fraction: float = 0.2, score: str
     scored = df.where(F.col(score).isNotNull())
     per_score = scored.groupBy(F.col(score).alias("_score")).agg(
         F.count("*").alias("_rows"), F.count_if(F.col(label) == 1).alias("_pos"))
-    run = running_totals(bucket_by_value(per_score, "_score"), {"_upto": "_rows", "_positive": "_pos"},
+    run = running_totals(bucket_by_value(durable(per_score), "_score"), {"_upto": "_rows", "_positive": "_pos"},
                          [F.col("_score").desc()], bucket_order="desc")
     wanted = F.ceil(F.col("_upto_all") * F.lit(fraction))
     cut = run.where((F.col("_upto") - F.col("_rows") < wanted) & (wanted <= F.col("_upto"))).select(

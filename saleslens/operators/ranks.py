@@ -13,7 +13,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
+from saleslens.session import durable
+
+BUCKET, GROUP = "_bucket", "_group"
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 1024
 
@@ -55,24 +57,23 @@ def running_totals(
     ``rows`` must carry ``_bucket``, consistent with ``order_by``; ``totals`` maps the new column
     to the column it adds up. ``within`` restarts the totals per group.
     """
-    keys = [*within, BUCKET]
-    sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_s_{name}") for name, c in totals.items()])
+    # A struct compares equal when its fields are null alike, so null groups find their offsets
+    # in a plain equality join, which leaves the rows partitioned just as the window needs them.
+    grouped = rows.withColumn(GROUP, F.struct(*within)) if within else rows
+    keys = [GROUP, BUCKET] if within else [BUCKET]
+    sums = grouped.groupBy(*keys).agg(*[F.sum(c).alias(f"_s_{name}") for name, c in totals.items()])
     along = F.col(BUCKET).asc() if bucket_order == "asc" else F.col(BUCKET).desc()
-    groups = Window.partitionBy(*within)
+    groups = Window.partitionBy(*keys[:-1])
     before = groups.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *keys,
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
         *[F.sum(f"_s_{n}").over(groups).alias(f"{n}_all") for n in totals],
     )
-    matched = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    condition = matched[0]
-    for m in matched[1:]:
-        condition = condition & m
     upto = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     kept = [c for c in rows.columns if c != BUCKET]
-    return rows.join(offsets, condition).select(
+    return grouped.join(offsets, keys).select(
         *kept,
         *[(F.sum(c).over(upto) + F.col(f"_o_{n}")).alias(n) for n, c in totals.items()],
         *[f"{n}_all" for n in totals],
@@ -106,11 +107,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``column``, one row per group of ``by``.
 
-    Rows are first counted per distinct value, where they are still spread over all tasks; the
-    two order statistics around each quantile are then found from the running counts.
+    Rows are first counted per distinct value, where they are still spread over all tasks, and the
+    counts are kept, so the data is read once. The two order statistics around each quantile are
+    then found from the running counts.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_x", F.col(column).cast("double"))
+    counts = durable(counts.withColumn("_x", F.col(column).cast("double")))
     run = running_totals(bucket_by_value(counts, "_x", rows_per_bucket), {"_upto": "_n"},
                          [F.col("_x")], by)
     first_of, last_of = F.col("_upto") - F.col("_n"), F.col("_upto") - 1

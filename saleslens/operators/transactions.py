@@ -1,8 +1,8 @@
 """Per-customer features of the transaction table.
 
-Raw rows are read once and summed to one row per customer and month before they are shuffled;
-every other feature is derived from those rows. A customer holding a third of all transactions
-is therefore a few hundred monthly rows by the time anything is grouped by customer.
+Raw rows are read once and summed per customer, month and category before they are shuffled; every
+other feature is derived from those sums. A customer holding a third of all transactions is
+therefore a few hundred rows by the time anything is grouped by customer alone.
 """
 
 from __future__ import annotations
@@ -21,25 +21,35 @@ def _is(category: str) -> Column:
     return F.col("merchant_category") == category
 
 
+def monthly_by_category(transactions: DataFrame) -> DataFrame:
+    """Counts and cents per customer, month and category: the only grouping of raw rows.
+
+    Narrow rows, so that what is left after summing within a task is small to shuffle.
+    """
+    return (
+        transactions.where(F.col("user_id").isNotNull())
+        .groupBy("user_id", month_of("date").alias("mes"), "merchant_category")
+        .agg(F.count("transaction_id").alias("_n"), F.count("amount").alias("_priced"),
+             F.sum(cents("amount")).alias("_cents"), F.max("date").alias("_last"))
+    )
+
+
 def monthly_base(transactions: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES) -> DataFrame:
     """Counts and cents per customer and month, in total and per category.
 
     ``categories`` is the domain of the category column; rows outside it enter the totals only.
+    The rows are placed by customer once, which serves this grouping and all that follow it.
     """
     return (
-        transactions.where(F.col("user_id").isNotNull())
-        .select("user_id", "transaction_id", "date", "merchant_category",
-                month_of("date").alias("mes"), cents("amount").alias("_cents"))
-        .groupBy("user_id", "mes")
+        monthly_by_category(transactions).repartition("user_id").groupBy("user_id", "mes")
         .agg(
-            F.count("transaction_id").alias("_n"),
-            F.count("_cents").alias("_priced"),
-            F.sum("_cents").alias("_total"),
-            F.max("date").alias("_last"),
-            *[F.count(F.when(_is(c), F.col("transaction_id"))).alias(f"_n_{c}") for c in categories],
+            F.sum("_n").alias("_n"),
+            F.sum("_priced").alias("_priced"),
+            F.coalesce(F.sum("_cents"), F.lit(0)).alias("_total"),
+            F.max("_last").alias("_last"),
+            *[F.coalesce(F.sum(F.when(_is(c), F.col("_n"))), F.lit(0)).alias(f"_n_{c}") for c in categories],
             *[F.sum(F.when(_is(c), F.col("_cents"))).alias(f"_c_{c}") for c in categories],
         )
-        .withColumn("_total", F.coalesce("_total", F.lit(0)))
     )
 
 
@@ -79,25 +89,30 @@ def _relative_change(variant: str) -> Column:
     return F.when(nothing, F.lit(0.0)).otherwise(change)
 
 
-def _earliest_best(value: str) -> Column:
-    """Month with the largest value, the earliest on ties."""
-    ordered = F.struct((-F.col(value)).alias("v"), F.col("mes").alias("mes"))
-    return F.min(F.when(F.col("mes").isNotNull(), ordered))["mes"]
-
-
 def per_customer(base: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES,
                  variant: str = "v12") -> DataFrame:
     """Sum the monthly base to one row per customer, still in cents and counts."""
-    with_lag = base.withColumn("_previous", _previous("_total"))
     dated = F.col("mes").isNotNull()
+    # Same order as the lag, so one sort and one window serve all three.
+    whole = Window.partitionBy("user_id").orderBy("mes").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def earliest_best(value: str) -> Column:
+        return F.min(F.when(F.col(value) == F.col(f"_top{value}"), F.col("mes")))
+
+    with_lag = base.withColumns({
+        "_previous": _previous("_total"),
+        "_top_n": F.max(F.when(dated, F.col("_n"))).over(whole),
+        "_top_total": F.max(F.when(dated, F.col("_total"))).over(whole),
+    })
     return with_lag.groupBy("user_id").agg(
         F.sum("_n").alias("_n"),
         F.sum("_priced").alias("_priced"),
         F.sum("_total").alias("_total"),
         F.count("mes").alias("_months"),
         F.max("_last").alias("_last"),
-        _earliest_best("_n").alias("mes_mas_compras"),
-        _earliest_best("_total").alias("mes_mayor_monto"),
+        earliest_best("_n").alias("mes_mas_compras"),
+        earliest_best("_total").alias("mes_mayor_monto"),
         F.sum(F.when(dated, F.col("_total"))).alias("_dated_total"),
         F.sum(F.when(dated, F.col("_n"))).alias("_dated_n"),
         F.sum(F.when(dated, F.col("_total") - F.col("_previous"))).alias("_change"),

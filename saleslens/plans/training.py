@@ -48,9 +48,9 @@ def feature_names(df: DataFrame, skip: Sequence[str] = ("user_id", "insurance",
 
 
 def assembled(df: DataFrame, features: Sequence[str], target: str = "insurance", key: str = "user_id") -> DataFrame:
-    """(key, label, features); missing values are 0."""
+    """(key, label, features); missing values, and the target of who owns nothing, are 0."""
     ready = df.select(
-        key, F.col(target).cast("int").cast("double").alias("label"),
+        key, F.coalesce(F.col(target).cast("int").cast("double"), F.lit(0.0)).alias("label"),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(ready).select(key, "label", "features")
 

@@ -51,6 +51,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str = "user_id", buckets: int = 512) -> None:
+    """Save as a catalog table bucketed and sorted by key, so that joins on it need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def split_target(df: DataFrame, target: str = S.TARGET, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
     """Features without the target, and the target; both keep the key."""
     return df.drop(target), df.select(key, target)
