@@ -233,8 +233,7 @@ def merged(spark, sf_dir):
     """Train, save, load, score every customer, merge into the stored predictions."""
     matrix = durable(_matrix(spark, sf_dir))
     names = _features(matrix)
-    ready = matrix.withColumn("label", F.col("insurance").cast("double")).fillna(0)
-    weighted = TR.class_weights(ready)
+    weighted = TR.class_weights(TR.ready(matrix, names))
     model = TR.pipeline(names, TR.balanced_logistic(maxIter=20)).fit(weighted)
     folder = scratch(spark)
     TR.save_model(model, S.SERVICE_THRESHOLD, folder)

@@ -47,12 +47,17 @@ def feature_names(df: DataFrame, skip: Sequence[str] = ("user_id", "insurance",
     return [c for c in df.columns if c not in skip]
 
 
-def assembled(df: DataFrame, features: Sequence[str], target: str = "insurance", key: str = "user_id") -> DataFrame:
-    """(key, label, features); missing values, and the target of who owns nothing, are 0."""
-    ready = df.select(
+def ready(df: DataFrame, features: Sequence[str], target: str = "insurance", key: str = "user_id") -> DataFrame:
+    """(key, label, the features as doubles); missing values, and the target of who owns nothing, are 0."""
+    return df.select(
         key, F.coalesce(F.col(target).cast("int").cast("double"), F.lit(0.0)).alias("label"),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(ready).select(key, "label", "features")
+
+
+def assembled(df: DataFrame, features: Sequence[str], target: str = "insurance", key: str = "user_id") -> DataFrame:
+    """(key, label, features) with the features in one vector."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    return assembler.transform(ready(df, features, target, key)).select(key, "label", "features")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

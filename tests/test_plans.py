@@ -104,7 +104,7 @@ def test_importance_of_an_informative_feature(spark):
 
 def test_save_load_score_merge(matrix, spark, tmp_path):
     names = TR.feature_names(matrix)
-    ready = TR.class_weights(matrix.withColumn("label", F.coalesce(F.col("insurance").cast("double"), F.lit(0.0))))
+    ready = TR.class_weights(TR.ready(matrix, names))
     model = TR.pipeline(names, TR.boosted_trees(maxIter=2)).fit(ready)
     TR.save_model(model, 0.3, str(tmp_path))
     loaded, threshold = TR.load_model(str(tmp_path))
