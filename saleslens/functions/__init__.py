@@ -2,6 +2,7 @@
 
 from saleslens.functions.columns import (  # noqa: F401
     age_band,
+    all_named,
     amount_edges,
     amount_labels,
     cents,
@@ -10,12 +11,11 @@ from saleslens.functions.columns import (  # noqa: F401
     cut,
     dashboard_age_band,
     epoch,
-    first_largest,
+    first_named,
     income_lower_bound,
     label_probability,
     month_of,
     quarter_label,
     priority_band,
     series_name,
-    tied_largest,
 )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +24,8 @@ def month_of(date: str | Column) -> Column:
 
 
 def epoch(date: str | Column, unit: str = "s") -> Column:
-    """Date or timestamp as epoch seconds (``s``) or nanoseconds (``ns``); null stays null."""
-    seconds = F.unix_timestamp(_col(date).cast("timestamp"))
+    """Date as epoch seconds (``s``) or nanoseconds (``ns``), the same in every time zone."""
+    seconds = F.unix_date(F.to_date(_col(date))).cast("bigint") * 86_400
     return {"s": seconds, "ns": seconds * F.lit(1_000_000_000).cast("bigint")}[unit]
 
 
@@ -93,26 +92,15 @@ def combo_listed(flags: Mapping[str, Column]) -> Column:
 
 # -- best of a fixed set of columns ------------------------------------------
 
-def _largest(values: Mapping[str, Column]) -> Column:
-    return F.greatest(*values.values())
+def first_named(values: Mapping[str, Column], top: Column) -> Column:
+    """Name of the value equal to ``top``; on ties the first name in alphabetical order."""
+    return F.coalesce(*[F.when(values[name] == top, F.lit(name)) for name in sorted(values)])
 
 
-def first_largest(values: Mapping[str, Column]) -> Column:
-    """Name of the largest value; on ties the first name in alphabetical order."""
-    top = _largest(values)
-    return reduce(
-        lambda rest, name: F.when(values[name] == top, name).otherwise(rest),
-        sorted(values, reverse=True), F.lit(None).cast("string"),
-    )
-
-
-def tied_largest(values: Mapping[str, Column]) -> Column:
-    """Names of all the largest values joined with " + " (nulls never win)."""
-    top = _largest(values)
-    names = F.array_compact(F.array(*[
-        F.when(values[name] == top, F.lit(name)) for name in sorted(values)
-    ]))
-    return F.when(top.isNotNull(), F.array_join(names, " + "))
+def all_named(values: Mapping[str, Column], top: Column) -> Column:
+    """Names of all values equal to ``top`` joined with " + "; null when there is no ``top``."""
+    names = F.concat_ws(" + ", *[F.when(values[name] == top, F.lit(name)) for name in sorted(values)])
+    return F.when(top.isNotNull(), names)
 
 
 # -- scores, text --------------------------------------------------------------

@@ -7,14 +7,14 @@ therefore a few hundred rows by the time anything is grouped by customer alone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslens import schemas as S
-from saleslens.functions import cents, first_largest, month_of, tied_largest
+from saleslens.functions import all_named, cents, first_named, month_of
 
 
 def _is(category: str) -> Column:
@@ -122,46 +122,43 @@ def per_customer(base: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGOR
     )
 
 
-def _counts(categories: Sequence[str]) -> dict[str, Column]:
-    return {c: F.col(f"_n_{c}") for c in categories}
+def with_favourites(sums: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES,
+                    ties: str = "first") -> DataFrame:
+    """Add the favourite category by count and by amount, and the spend in the latter.
 
+    ``first`` takes the first name in the alphabet on ties; ``joined`` names all of them and adds
+    up their spend. The largest values are columns of their own, computed once per row.
+    """
+    if ties not in ("first", "joined"):
+        raise ValueError("ties is 'first' or 'joined'")
+    named = first_named if ties == "first" else all_named
 
-def _spend(categories: Sequence[str], observed_only: bool = False) -> dict[str, Column]:
-    def one(c: str) -> Column:
+    def spend(c: str) -> Column:
         filled = F.coalesce(F.col(f"_c_{c}"), F.lit(0))
-        return F.when(F.col(f"_n_{c}") > 0, filled) if observed_only else filled
-
-    return {c: one(c) for c in categories}
-
-
-def _concentration(spend: Mapping[str, Column]) -> Column:
-    whole = reduce(lambda a, b: a + b, spend.values()).cast("double")
-    shares = [F.pow(F.try_divide(s.cast("double"), whole), F.lit(2)) for s in spend.values()]
-    return F.coalesce(reduce(lambda a, b: a + b, shares), F.lit(0.0))
+        return F.when(F.col(f"_n_{c}") > 0, filled) if ties == "joined" else filled
+
+    filled = sums.withColumns({f"_s_{c}": spend(c) for c in categories})
+    counts = {c: F.col(f"_n_{c}") for c in categories}
+    spends = {c: F.col(f"_s_{c}") for c in categories}
+    topped = filled.withColumns({
+        "_top_n": F.greatest(*counts.values()), "_top_s": F.greatest(*spends.values())})
+    winners = F.lit(1) if ties == "first" else reduce(
+        lambda a, b: a + b, [F.when(s == F.col("_top_s"), 1).otherwise(0) for s in spends.values()])
+    return topped.withColumns({
+        "categoria_favorita": named(counts, F.col("_top_n")),
+        "categoria_favorita_monto": named(spends, F.col("_top_s")),
+        "total_spend_fav": F.col("_top_s") * winners / 100,
+    })
 
 
-def favourites(categories: Sequence[str] = S.MERCHANT_CATEGORIES, ties: str = "first") -> dict[str, Column]:
-    """Favourite category by count and by amount, and the spend in the latter.
+def _concentration(categories: Sequence[str]) -> Column:
+    """Sum of squared shares of the categories; 0 without spend."""
+    def add(terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, terms)
 
-    ``first`` takes the first name in the alphabet on ties; ``joined`` names all of them and adds
-    up their spend.
-    """
-    counts, spend = _counts(categories), _spend(categories, observed_only=ties == "joined")
-    top = F.greatest(*spend.values())
-    if ties == "first":
-        by_count, by_amount, in_favour = first_largest(counts), first_largest(spend), top
-    elif ties == "joined":
-        by_count, by_amount = tied_largest(counts), tied_largest(spend)
-        winners = reduce(lambda a, b: a + b, [
-            F.when(s == top, 1).otherwise(0) for s in spend.values()])
-        in_favour = top * winners
-    else:
-        raise ValueError("ties is 'first' or 'joined'")
-    return {
-        "categoria_favorita": by_count,
-        "categoria_favorita_monto": by_amount,
-        "total_spend_fav": in_favour / 100,
-    }
+    spends = [F.coalesce(F.col(f"_s_{c}").cast("double"), F.lit(0.0)) for c in categories]
+    whole = add(spends)
+    return F.coalesce(F.try_divide(add([s * s for s in spends]), whole * whole), F.lit(0.0))
 
 
 def transaction_features(
@@ -179,7 +176,6 @@ def transaction_features(
     sums = per_customer(monthly_base(transactions, categories), categories, change_variant)
     changes = F.col("_months") if change_variant == "v12" else F.col("_months") - 1
     change = F.col("_change") if change_variant == "skip_first" else F.coalesce("_change", F.lit(0))
-    best = favourites(categories, ties)
     total = F.col("_total") / 100
     columns = [
         F.col("_n").alias("total_transacciones"),
@@ -188,10 +184,13 @@ def transaction_features(
         F.col("_months").alias("n_meses_activos"),
         F.datediff(F.lit(reference_date).cast("date"), F.col("_last")).alias("recencia_transaccion"),
         *[F.col(f"_n_{c}").alias(f"{c}_count") for c in categories],
-        *([(v / 100).alias(f"{c}_spend") for c, v in _spend(categories).items()] if spend_columns else []),
-        *[c.alias(name) for name, c in best.items()],
-        _concentration(_spend(categories)).alias("hhi"),
-        F.try_divide(best["total_spend_fav"], total).alias("share_fav"),
+        *([(F.coalesce(F.col(f"_s_{c}"), F.lit(0)) / 100).alias(f"{c}_spend") for c in categories]
+          if spend_columns else []),
+        F.col("categoria_favorita"),
+        F.col("categoria_favorita_monto"),
+        F.col("total_spend_fav"),
+        _concentration(categories).alias("hhi"),
+        F.try_divide(F.col("total_spend_fav"), total).alias("share_fav"),
         F.col("mes_mas_compras"),
         F.col("mes_mayor_monto"),
         F.try_divide(F.col("_dated_total") / 100, F.col("_months")).alias("monto_promedio_mensual"),
@@ -199,7 +198,7 @@ def transaction_features(
         F.try_divide(change / 100, changes).alias("variacion_mensual_promedio"),
         F.col("variacion_mensual_promedio_pct"),
     ]
-    return sums.select("user_id", *columns)
+    return with_favourites(sums, categories, ties).select("user_id", *columns)
 
 
 def spend_trend(transactions: DataFrame, change_variant: str = "v12") -> DataFrame:
