@@ -17,6 +17,7 @@ from saleslens.operators import cleaning as C
 from saleslens.operators import dashboard as D
 from saleslens.operators import merge as M
 from saleslens.sources import tables as IO
+from saleslens.sources.adapters import table
 
 AS_OF = "2024-01-20"
 LIST = """SELECT id, user_id, probability, status, age, risk_profile, income_range,
@@ -210,13 +211,9 @@ def list_rows(spark, sf_dir):
     return D.list_row(Tables(spark, sf_dir).clients)
 
 
-@query("o02_resorted", over("clients") + "SELECT id, income_range, row_number() OVER (ORDER BY income_range, id) AS place FROM clients ORDER BY income_range, id LIMIT 100")
+@query("o02_resorted", over("clients") + "SELECT id, income_range FROM clients ORDER BY income_range, id")
 def resorted(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = D.resort(Tables(spark, sf_dir).clients, "income_range", descending=False).limit(100)
-    order = Window.orderBy("income_range", "id")  # of the 100 rows shown
-    return top.select("id", "income_range", F.row_number().over(order).cast("bigint").alias("place"))
+    return D.resort(Tables(spark, sf_dir).clients.select("id", "income_range"), "income_range", descending=False)
 
 
 @query("s10_exported_list", over("clients", more=f"list AS ({LIST})") + """
@@ -310,21 +307,26 @@ def labelled(spark, sf_dir):
 
 # -- merges ----------------------------------------------------------------------
 
-UPDATES = """stored AS (SELECT user_id, 0.5::DOUBLE AS probability, FALSE AS is_target, TIMESTAMP '2024-01-01' AS created_at
- FROM clients WHERE age < 40),
-incoming AS (SELECT user_id, probability, probability >= 0.5 AS is_target, TIMESTAMP '2024-02-01' AS created_at
- FROM clients WHERE age >= 30)"""
-
-
-def _stored_and_incoming(t):
-    clients = t.clients
-    stored = clients.where("age < 40").select(
-        "user_id", F.lit(0.5).alias("probability"), F.lit(False).alias("is_target"),
-        F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    incoming = clients.where("age >= 30").select(
-        "user_id", "probability", (F.col("probability") >= 0.5).alias("is_target"),
+# Stored: a prediction for every customer. Incoming: new ones for the customers met in the events,
+# some of them several times, and for suppliers, which are not stored yet.
+UPDATES = """stored AS (SELECT user_id, probability, probability >= 0.5 AS is_target, TIMESTAMP '2023-01-01' AS created_at FROM clients),
+arrived AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS created_at, (value + 1000) / 11000 AS probability FROM events
+ UNION ALL SELECT 's' || s_suppkey, TIMESTAMP '2024-02-01', (s_acctbal + 1000) / 11000 FROM supplier),
+incoming AS (SELECT user_id, probability, probability >= 0.5 AS is_target, created_at FROM arrived
+ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, probability DESC) = 1)"""
+
+
+def _stored_and_arrived(t):
+    columns = ["user_id", "probability", (F.col("probability") >= 0.5).alias("is_target"), "created_at"]
+    stored = t.clients.withColumn("created_at", F.lit("2023-01-01").cast("timestamp"))
+    events = table(t.spark, t.sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("user_id"), ((F.col("value") + 1000) / 11000).alias("probability"),
+        F.col("ts").cast("timestamp").alias("created_at"))
+    suppliers = table(t.spark, t.sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("user_id"),
+        ((F.col("s_acctbal") + 1000) / 11000).alias("probability"),
         F.lit("2024-02-01").cast("timestamp").alias("created_at"))
-    return stored, incoming
+    return stored.select(*columns), events.unionByName(suppliers).select(*columns)
 
 
 UPSERT_SQL = over("clients", more=UPDATES) + """
@@ -333,32 +335,42 @@ SELECT * FROM incoming UNION ALL SELECT * FROM stored s WHERE NOT EXISTS (SELECT
 
 @query("s06_prediction_upsert", UPSERT_SQL)
 def prediction_upsert(spark, sf_dir):
-    return M.upsert_predictions(*_stored_and_incoming(Tables(spark, sf_dir)))
+    return M.upsert_predictions(*_stored_and_arrived(Tables(spark, sf_dir)))
 
 
 @query("u04_union_of_upsert_halves", UPSERT_SQL)
 def upsert_union(spark, sf_dir):
-    return M.upsert(*_stored_and_incoming(Tables(spark, sf_dir)), order=["created_at"])
+    return M.upsert(*_stored_and_arrived(Tables(spark, sf_dir)), order=["created_at", "probability"])
 
 
 @query("j08_existence_checks", over("clients", more=UPDATES) + """
-SELECT i.user_id, EXISTS (SELECT 1 FROM stored s WHERE s.user_id = i.user_id) AS existe FROM incoming i""")
+SELECT a.user_id, a.created_at, EXISTS (SELECT 1 FROM stored s WHERE s.user_id = a.user_id) AS existe FROM arrived a""")
 def existence(spark, sf_dir):
-    stored, incoming = _stored_and_incoming(Tables(spark, sf_dir))
-    there = M.already_in(incoming, stored).select("user_id", F.lit(True).alias("existe"))
-    return there.unionByName(M.not_in(incoming, stored).select("user_id", F.lit(False).alias("existe")))
+    stored, arrived = _stored_and_arrived(Tables(spark, sf_dir))
+    rows = arrived.select("user_id", "created_at")
+    there = M.already_in(rows, stored).withColumn("existe", F.lit(True))
+    return there.unionByName(M.not_in(rows, stored).withColumn("existe", F.lit(False)))
+
+
+PEOPLE = """people AS (SELECT d.* FROM demographics d WHERE user_id IN (SELECT CAST(user_id AS VARCHAR) FROM events)
+ UNION ALL SELECT 's' || s_suppkey, 40, '150k+', 'moderate', 'SUPPLIER' FROM supplier)"""
 
 
-@query("s07_client_upsert", over("clients", "demographics") + """
-SELECT coalesce(c.user_id, d.user_id) AS user_id, coalesce(d.age, c.age) AS age,
+@query("s07_client_upsert", over("clients", "demographics", more=PEOPLE) + """
+SELECT coalesce(c.user_id, d.user_id) AS user_id, coalesce(d.age, c.age) AS age, coalesce(d.occupation, c.occupation) AS occupation,
  CASE WHEN d.user_id IS NULL THEN c.status ELSE 'pending' END AS status,
  CASE WHEN d.user_id IS NULL THEN c.probability ELSE 0.5 END AS probability,
  CASE WHEN d.user_id IS NULL THEN c.segment ELSE 'potential' END AS segment
-FROM (SELECT * FROM clients WHERE age < 45) c FULL JOIN (SELECT * FROM demographics WHERE age >= 35) d ON c.user_id = d.user_id""")
+FROM clients c FULL JOIN people d ON c.user_id = d.user_id""")
 def client_upsert(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    merged = M.upsert_clients(t.clients.where("age < 45"), t.demographics.where("age >= 35"), "2024-01-01")
-    return merged.select("user_id", "age", "status", "probability", "segment")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"))
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("user_id"), F.lit(40).alias("age"),
+        F.lit("150k+").alias("income_range"), F.lit("moderate").alias("risk_profile"), F.lit("SUPPLIER").alias("occupation"))
+    people = M.already_in(t.demographics, seen).unionByName(suppliers)
+    merged = M.upsert_clients(t.clients, people, "2024-01-01")
+    return merged.select("user_id", "age", "occupation", "status", "probability", "segment")
 
 
 @query("s08_loaded_products", over("products") + """

@@ -238,7 +238,7 @@ def merged(spark, sf_dir):
     folder = scratch(spark)
     TR.save_model(model, S.SERVICE_THRESHOLD, folder)
     loaded, threshold = TR.load_model(folder)
-    stored = Tables(spark, sf_dir).clients.where("age < 40").select(
+    stored = Tables(spark, sf_dir).clients.select(
         "user_id", F.lit(0.5).alias("probability"), F.lit(False).alias("is_target"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     return SC.score_and_merge(loaded, matrix, stored, threshold, as_of="2024-02-01")

@@ -612,4 +612,4 @@ def sorted_products(spark, sf_dir):
     from saleslens.operators.products import running_number
 
     df = running_number(Tables(spark, sf_dir).products)
-    return df.select("user_id", "contract_date", "product_type", F.col("rank").cast("bigint").alias("rank"))
+    return df.select("user_id", "contract_date", "product_type", "rank")

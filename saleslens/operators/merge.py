@@ -49,7 +49,7 @@ def upsert_predictions(base: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     written = ["probability", "is_target", "created_at"]
     incoming = latest_per_key(
-        predictions.select("user_id", *written), "user_id", ["created_at"])
+        predictions.select("user_id", *written), "user_id", ["created_at", "probability"])
     renamed = incoming.select(
         F.col("user_id").alias("_key"), *[F.col(c).alias(f"_{c}") for c in written])
     both = base.join(renamed, base["user_id"] == renamed["_key"], "full")

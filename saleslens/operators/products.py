@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from saleslens import schemas as S
 from saleslens.functions import combo_label, combo_listed
+from saleslens.operators.ranks import BUCKET, running_totals
 
 
 def recoded(products: DataFrame) -> DataFrame:
@@ -27,22 +28,32 @@ def ownership_flags(products: DataFrame) -> DataFrame:
     ])
 
 
-def running_number(products: DataFrame, upto: int | None = None) -> DataFrame:
-    """Number each customer's contracts by date, then product name, as ``rank``.
+def leading(products: DataFrame, upto: int = 2) -> DataFrame:
+    """Each customer's first contracts by date, then product name, numbered as ``rank``.
 
-    With ``upto`` Spark keeps only that many rows per customer before the shuffle, so a customer
-    with a great many contracts costs no more than any other.
+    Spark keeps only that many rows per customer before the shuffle, so a customer with a great
+    many contracts costs no more than any other.
     """
     by_date = Window.partitionBy("user_id").orderBy("contract_date", "product_type")
-    ranked = (
+    return (
         recoded(products).where(F.col("contract_date").isNotNull())
-        .withColumn("rank", F.row_number().over(by_date))
+        .withColumn("rank", F.row_number().over(by_date)).where(F.col("rank") <= upto)
     )
-    return ranked if upto is None else ranked.where(F.col("rank") <= upto)
+
+
+def running_number(products: DataFrame) -> DataFrame:
+    """Number all contracts of each customer by date, then product name, as ``rank``.
+
+    The contracts of one day are numbered together and the days before them are added, so that
+    no task holds all rows of one customer.
+    """
+    dated = recoded(products).where(F.col("contract_date").isNotNull()).withColumns({
+        "_one": F.lit(1), BUCKET: F.unix_date("contract_date")})
+    return running_totals(dated, {"rank": "_one"}, [F.col("product_type")], ["user_id"]).drop("_one", "rank_all")
 
 
 def nth_product(products: DataFrame, n: int = 2) -> DataFrame:
-    return running_number(products, upto=n).where(F.col("rank") == n).drop("rank")
+    return leading(products, n).where(F.col("rank") == n).drop("rank")
 
 
 def first_second(products: DataFrame) -> DataFrame:
@@ -50,7 +61,7 @@ def first_second(products: DataFrame) -> DataFrame:
     def at(rank: int, column: str) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col(column)))
 
-    return running_number(products, upto=2).groupBy("user_id").agg(
+    return leading(products, 2).groupBy("user_id").agg(
         at(1, "product_type").alias("primer_producto"),
         at(1, "contract_date").alias("fecha_primer_producto"),
         at(2, "product_type").alias("segundo_producto"),

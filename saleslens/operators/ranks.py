@@ -24,17 +24,15 @@ def bucket_by_value(rows: DataFrame, column: str, rows_per_bucket: int = ROWS_PE
     """Add a bucket number that grows with ``column``, about ``rows_per_bucket`` rows in each.
 
     Meant for rows already grouped to one per distinct value, so no single value can be large.
-    One aggregation finds the cut points; at most ``MAX_BUCKETS`` numbers reach the driver.
+    One aggregation finds the cut points; fewer than ``MAX_BUCKETS`` numbers reach the driver.
     """
     value = F.col(column).cast("double")
-    steps = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    found = rows.agg(F.count(value).alias("n"), F.percentile_approx(value, steps).alias("cuts")).first()
-    pieces = min(MAX_BUCKETS, -(-found["n"] // rows_per_bucket))
+    pieces = min(MAX_BUCKETS, -(-rows.count() // rows_per_bucket))
     if pieces <= 1:
         return rows.withColumn(BUCKET, F.lit(0.0))
-    cuts = found["cuts"][MAX_BUCKETS // pieces - 1::MAX_BUCKETS // pieces]
+    cuts = rows.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)])).first()[0]
     bucketizer = Bucketizer(
-        splits=[float("-inf"), *sorted(set(cuts)), float("inf")],
+        splits=[float("-inf"), *sorted(set(cuts or [])), float("inf")],
         inputCol="_value", outputCol=BUCKET, handleInvalid="keep",
     )
     return bucketizer.transform(rows.withColumn("_value", value)).drop("_value")

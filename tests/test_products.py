@@ -93,6 +93,16 @@ def test_a_hot_customer_counts_like_any_other(spark):
     assert P.with_own_count(many).where("user_id = 'hot' AND total_productos = 6667").count() == 6667
 
 
+def test_full_numbering(products, spark):
+    got = {(r["user_id"], str(r["contract_date"]), r["product_type"]): r["rank"] for r in P.running_number(products).collect()}
+    assert got[("three", "2022-01-01", "insurance")] == 3 and got[("same_day", "2021-03-01", "savings_account")] == 2
+    hot = spark.range(5000).select(F.lit("hot").alias("user_id"), F.lit("credit_card").alias("product_type"),
+                                   F.date_add(F.lit("2020-01-01"), (F.col("id") % 300).cast("int")).alias("contract_date"))
+    numbered = P.running_number(hot)
+    assert sorted(r["rank"] for r in numbered.collect()) == list(range(1, 5001))
+    assert numbered.where("contract_date = '2020-01-02'").agg(F.min("rank"), F.max("rank")).first()[:] == (18, 34)
+
+
 def test_combinations_are_sorted_and_distinct(products):
     got = by_user(P.combinations(products))
     assert got["three"]["combinacion"] == "checking_account + insurance + investment_account"
