@@ -239,17 +239,17 @@ def median_amount(spark, sf_dir):
 
 
 @query("a29_mean_by_category", over("transactions") + """
-SELECT merchant_category, round(avg(amount), 4) AS promedio FROM transactions GROUP BY 1""")
+SELECT merchant_category, CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE / count(*) AS promedio FROM transactions GROUP BY 1""")
 def mean_amount(spark, sf_dir):
-    return rounded(R.group_mean(Tables(spark, sf_dir).transactions, ["merchant_category"], "amount", ordered=True), 4)
+    return R.group_mean(Tables(spark, sf_dir).transactions, ["merchant_category"], "amount", ordered=True, money=True)
 
 
 @query("a29_mean_by_month_and_category", over("transactions") + """
-SELECT CAST(date_trunc('month', date) AS DATE) AS mes, merchant_category, round(avg(amount), 4) AS promedio
-FROM transactions GROUP BY 1, 2""")
+SELECT CAST(date_trunc('month', date) AS DATE) AS mes, merchant_category,
+ CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE / count(*) AS promedio FROM transactions GROUP BY 1, 2""")
 def mean_by_month(spark, sf_dir):
     months = Tables(spark, sf_dir).transactions.withColumn("mes", F.trunc("date", "month"))
-    return rounded(R.group_mean(months, ["mes", "merchant_category"], "amount"), 4)
+    return R.group_mean(months, ["mes", "merchant_category"], "amount", money=True)
 
 
 TARGETED = "SELECT coalesce(insurance, FALSE) AS insurance, total / 100.0::DOUBLE / months AS gasto FROM trend LEFT JOIN flags USING (user_id)"

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saleslens.functions import month_of, quarter_label
+from saleslens.functions import cents, month_of, quarter_label
 from saleslens.operators.ranks import exact_quantiles
 
 TOTAL = "Total"
@@ -168,8 +168,10 @@ def group_median(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def group_mean(df: DataFrame, by: Sequence[str], column: str, name: str = "promedio",
-               ordered: bool = False) -> DataFrame:
-    out = df.groupBy(*by).agg(F.avg(column).alias(name))
+               ordered: bool = False, money: bool = False) -> DataFrame:
+    """Mean per group; ``money`` adds up whole cents, so that the mean is the same on every run."""
+    mean = F.sum(cents(column)) / 100 / F.count(column) if money else F.avg(column)
+    out = df.groupBy(*by).agg(mean.alias(name))
     return out.orderBy(F.desc(name)) if ordered else out
 
 
