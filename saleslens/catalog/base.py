@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.operators.ranks import BUCKET  # noqa: F401
 from saleslens.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
