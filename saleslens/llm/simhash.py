@@ -6,8 +6,8 @@ the shuffle. All fingerprints that share a value are within 2r of each other, he
 needs links to its smallest member only. Links are verified, and components are found on them.
 
 A value and the flips that lead to it fill 64 bits: the bucket holds the leading bits, the rest is
-packed with the number of the flips, and a task sends one array for each bucket. The buckets are
-worked off in slices, so that the shuffle of one slice is gone before the next begins.
+packed with the number of the flips, and a task sends one array for each group of buckets. The
+groups are worked off in slices, so that the shuffle of one slice is gone before the next begins.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from saleslens.llm.common import connected, flat_texts, stored
 SHINGLE = 4
 RADIUS = 2
 _ODD = 0x9E3779B97F4A7C15
-#: Values that a bucket is to hold, and values in one slice of the shuffle for each shuffle partition.
-PER_BUCKET, PER_SLICE = 20_000, 1_500_000
+#: Values that a group of buckets is to hold, and slices that the shuffle is cut into.
+PER_GROUP, SLICES = 1_000_000, 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -96,20 +96,19 @@ def _pairs_of_bucket(packed: np.ndarray, bucket: int, bits: int, masks: np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKET, per_slice: int = PER_SLICE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, per_group: int = PER_GROUP, slices: int = SLICES) -> DataFrame:
     """Links (a, b) between different fingerprints ``fp`` at distance 2 * radius or less, enough of them for all components.
 
     A value has 64 - bits significant bits in its bucket, which leaves the low ``bits`` free for the
     number of the flips. Fingerprints are dealt to buckets after an odd multiplication, which spreads
-    similar ones and can be undone. Buckets grow in number with the table.
+    similar ones and can be undone. Groups of buckets grow in number with the table.
     """
-    spark = distinct.sparkSession
     masks = flips(radius)
     code = max(1, int(len(masks) - 1).bit_length())
     total = distinct.count() * len(masks)
-    bits = max(code, int(total / per_bucket).bit_length())
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, -(-total // (per_slice * partitions)))
+    group_bits = max(int(slices).bit_length(), (total // per_group).bit_length())
+    bits = max(code, group_bits)
+    per = 1 << (bits - group_bits)  # buckets in a group
 
     def emit(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,43 +117,50 @@ def links(distinct: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKE
                 for lo in range(0, len(all_fps), 2048):
                     fps = all_fps[lo:lo + 2048]
                     value = ((fps[:, None] ^ masks[None, :]) * np.uint64(_ODD)).ravel()
-                    bucket = value >> np.uint64(64 - bits)
-                    number = np.tile(np.arange(len(masks), dtype=np.uint64), len(fps))
-                    if slices > 1:
-                        mine = bucket % np.uint64(slices) == np.uint64(turn)
-                        value, bucket, number = value[mine], bucket[mine], number[mine]
+                    mine = np.flatnonzero((value >> np.uint64(64 - group_bits)) % np.uint64(slices) == np.uint64(turn))
+                    value, number = value[mine], (mine % len(masks)).astype(np.uint64)
+                    bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
                     packed = (value & np.uint64((1 << (64 - bits)) - 1)) << np.uint64(code) | number
                     order = np.argsort(bucket, kind="stable")
-                    packed, bucket = packed[order], bucket[order].astype(np.int64)
-                    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-                    offsets = pa.array(np.append(starts, len(bucket)) * 8, pa.int64())
-                    blobs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(packed.tobytes())])
-                    yield pa.record_batch([pa.array(bucket[starts]), blobs.cast(pa.binary())], names=["bucket", "packed"])
+                    packed, bucket = packed[order], bucket[order]
+                    group = bucket // per
+                    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+                    ends = np.append(starts[1:], len(group))
+                    sizes = [np.bincount(bucket[a:b] % per, minlength=per).astype(np.int32).tobytes() for a, b in zip(starts, ends, strict=True)]
+                    blobs = [packed[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                    yield pa.record_batch([pa.array(group[starts]), pa.array(sizes, pa.binary()), pa.array(blobs, pa.binary())],
+                                          names=["group", "sizes", "packed"])
         return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket is in memory at a time."""
-        held: list[bytes] = []
+        """Rows come sorted by group; one group is in memory at a time."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
 
         def done() -> pa.RecordBatch:
-            a, b = _pairs_of_bucket(np.frombuffer(b"".join(held), np.uint64), now, bits, masks)
+            found = []
+            for j in range(per):
+                part = np.concatenate([packed[ends[j] - size[j]:ends[j]] for packed, size, ends in held])
+                if len(part):
+                    found.append(_pairs_of_bucket(part, now * per + j, bits, masks))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
+            for group, sizes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now and held:
                     yield done()
                     held = []
-                now = bucket
-                held.append(packed)
+                now = group
+                size = np.frombuffer(sizes, np.int32).astype(np.int64)
+                held.append((np.frombuffer(packed, np.uint64), size, np.cumsum(size)))
         if held:
             yield done()
 
     found = []
     for turn in range(slices):
-        sent = distinct.select("fp").mapInArrow(emit(turn), "bucket long, packed binary")
-        met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+        sent = distinct.select("fp").mapInArrow(emit(turn), "group long, sizes binary, packed binary")
+        met = sent.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a long, b long")
         found.append(stored(met.distinct()))
     return reduce(DataFrame.union, found).distinct()
 
