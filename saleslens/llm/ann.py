@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from saleslens.llm.common import stored
 
-#: Curves, dimensions of each projection and bits of each dimension; rows in a block.
-CURVES, DIMENSIONS, BITS, BLOCK = 12, 4, 12, 512
+#: Curves, dimensions of each projection and bits of each dimension; rows in a block, which is as
+#: wide as the window within these bounds.
+CURVES, DIMENSIONS, BITS, BLOCK, MOST_IN_BLOCK = 12, 4, 12, 512, 65_536
 #: Queries that fit the window, and the recall it is to have on them.
 FITTED, WANTED = 200, 0.95
 SEED = 11
@@ -85,8 +86,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def ordered(rows: DataFrame, width: int, curves: int, dimensions: int, bits: int, block: int) -> DataFrame:
-    """curve, block, vec_id, v: every row once on every curve, in blocks of rows that are neighbours there."""
+def ordered(rows: DataFrame, width: int, curves: int, dimensions: int, bits: int) -> DataFrame:
+    """curve, place, vec_id, v: every row once on every curve, with its place in the order there."""
     planes, shifts = projections(width, curves, dimensions)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def ordered(rows: DataFrame, width: int, curves: int, dimensions: int, bits: int
         "before", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (placed.join(before.select("curve", "part", "before"), ["curve", "part"])
             .select("curve", "vec_id", (F.col("before") + F.col("inside")).alias("place"))
-            .join(rows, "vec_id").select("curve", F.floor(F.col("place") / block).alias("block"), "place", "vec_id", "v"))
+            .join(rows, "vec_id").select("curve", "place", "vec_id", "v"))
 
 
 def best_of(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,10 +206,12 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == head.w)
     queries = rows.filter(F.col("vec_id") % every == 0)
-    index = stored(ordered(rows, head.w, curves, dimensions, bits, block))
+    index = stored(ordered(rows, head.w, curves, dimensions, bits))
     reach = fit_window(index, queries, rows, k, fitted, wanted)
+    block = min(max(block, reach), MOST_IN_BLOCK)
     place = F.col("place")
-    asked = index.filter(F.col("vec_id") % every == 0).select("curve", "vec_id", "v", F.explode(F.sequence(
+    index = index.withColumn("block", F.floor(place / block))
+    asked = index.filter(F.col("vec_id") % every == 0).drop("block").select("curve", "vec_id", "v", F.explode(F.sequence(
         F.floor(F.greatest(place - reach, F.lit(0)) / block), F.floor((place + reach) / block))).alias("block"))
 
     def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
