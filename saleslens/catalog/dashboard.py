@@ -373,17 +373,39 @@ def client_upsert(spark, sf_dir):
     return merged.select("user_id", "age", "occupation", "status", "probability", "segment")
 
 
-@query("s08_loaded_products", over("products") + """
-SELECT user_id, product_type, CAST(contract_date AS TIMESTAMP) AS contract_date, 'active' AS status,
- 1000.0::DOUBLE AS product_value FROM products""")
+NUMBERED = """loaded AS (SELECT *, row_number() OVER (PARTITION BY user_id, product_type, contract_date ORDER BY 1) AS k FROM products)"""
+PRODUCT_ID = "md5(concat_ws('|', user_id, coalesce(product_type, ''), CAST(contract_date AS VARCHAR), CAST(k AS VARCHAR))) AS id"
+LOADED = " user_id, product_type, CAST(contract_date AS TIMESTAMP) AS contract_date, 'active' AS status, 1000.0::DOUBLE AS product_value"
+
+
+@query("s08_loaded_products", over("products", more=NUMBERED) + f"""
+SELECT {PRODUCT_ID},{LOADED}, TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at FROM loaded""")
 def loaded_products(spark, sf_dir):
-    return M.load_products(Tables(spark, sf_dir).products).drop("id")
+    return M.load_products(Tables(spark, sf_dir).products, "2024-01-01")
+
+
+@query("s08_loaded_products_with_repeats", over("products", more=NUMBERED.replace(
+    "FROM products", "FROM (SELECT * FROM products UNION ALL SELECT * FROM products)")) + f"""
+SELECT {PRODUCT_ID},{LOADED}, TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at FROM loaded""")
+def repeated_products(spark, sf_dir):
+    products = Tables(spark, sf_dir).products
+    return M.load_products(products.unionByName(products), "2024-01-01")
+
+
+@query("s08_upserted_products", over("products", more=NUMBERED) + f"""
+SELECT {PRODUCT_ID},{LOADED}, CASE WHEN year(contract_date) < 1998 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created_at,
+ TIMESTAMP '2024-02-01' AS updated_at FROM loaded""")
+def upserted_products(spark, sf_dir):
+    products = Tables(spark, sf_dir).products
+    first = M.load_products(products.where("year(contract_date) < 1998"), "2024-01-01")
+    return M.upsert_loaded(first, M.load_products(products, "2024-02-01"))
 
 
 @query("s08_loaded_transactions", over("transactions") + """
-SELECT user_id, date AS transaction_date, amount, 'payment' AS transaction_type FROM transactions""")
+SELECT md5(transaction_id) AS id, user_id, date AS transaction_date, amount, 'payment' AS transaction_type,
+ TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at FROM transactions""")
 def loaded_transactions(spark, sf_dir):
-    return M.load_transactions(Tables(spark, sf_dir).transactions).drop("id")
+    return M.load_transactions(Tables(spark, sf_dir).transactions, "2024-01-01")
 
 
 STATUS = over("clients", "changes", more="""

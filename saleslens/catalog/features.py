@@ -147,7 +147,23 @@ query("a10_spend_by_category", over("transactions") + "SELECT user_id, " + ", ".
     f"CAST(coalesce(sum(cents) FILTER (merchant_category = '{c}'), 0) AS BIGINT) / 100.0::DOUBLE AS {c}_spend"
     for c in S.MERCHANT_CATEGORIES) + " FROM transactions GROUP BY user_id")(
     _tx(*[f"{c}_spend" for c in S.MERCHANT_CATEGORIES], spend_columns=True))
+def _more_categories(transactions):
+    """An eighth category and rows without one, by the day of the month."""
+    ninth = F.day("date") % 9
+    return transactions.withColumn("merchant_category", F.when(ninth == 7, "fuel").when(ninth != 8, F.col("merchant_category")))
+
+
 query("a11_favourite_by_count", over("favour") + "SELECT user_id, categoria_favorita FROM favour")(_tx("categoria_favorita"))
+query("a11_a16_favourites_in_any_category", over("transactions", more="""
+named AS (SELECT user_id, cents, CASE WHEN day(date) % 9 = 7 THEN 'fuel' WHEN day(date) % 9 = 8 THEN NULL
+ ELSE merchant_category END AS category FROM transactions),
+other AS (SELECT user_id, category, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM named WHERE category IS NOT NULL
+ GROUP BY user_id, category)""") + """
+SELECT user_id, first(category ORDER BY n DESC, category) AS categoria_favorita,
+ first(category ORDER BY total DESC, category) AS categoria_favorita_monto, max(total) / 100.0::DOUBLE AS total_spend_fav,
+ round(sum(power(total::DOUBLE, 2)) / power(sum(total)::DOUBLE, 2), 6) AS hhi FROM other GROUP BY user_id""")(
+    lambda spark, sf_dir: rounded(X.transaction_features(_more_categories(Tables(spark, sf_dir).transactions)).where(
+        "categoria_favorita IS NOT NULL").select("user_id", "categoria_favorita", "categoria_favorita_monto", "total_spend_fav", "hhi"), 6, "hhi"))
 query("a12_favourite_by_count_tied", over("tied") + "SELECT user_id, categoria_favorita FROM tied")(
     _tx("categoria_favorita", ties="joined"))
 query("a13_favourite_by_amount", over("favour") + """
@@ -268,7 +284,7 @@ query("c02_raw_features", over(*ALL_V0, more=JOINED_V0) + "SELECT * FROM joined"
     lambda spark, sf_dir: _rounded_raw(raw(spark, sf_dir)))
 query("c03_cleaned_features", over(*ALL_V0, more=f"{JOINED_V0}, {CLEANED}") + "SELECT * FROM cleaned")(
     lambda spark, sf_dir: _rounded_raw(FE.cleaned_features(raw(spark, sf_dir))))
-query("c04_general_features", over(*ALL_V0, more=f"{JOINED_V0}, {CLEANED}, {GENERAL}") + "SELECT * FROM general")(
+query("c04_general_features", over(*ALL_V0, more=f"{JOINED_V0}, {CLEANED}, {GENERAL}") + "SELECT * EXCLUDE (categoria_favorita) FROM general")(
     lambda spark, sf_dir: _rounded_raw(FE.general_features(FE.cleaned_features(raw(spark, sf_dir)))))
 
 

@@ -145,10 +145,10 @@ def at_top_tied(spark, sf_dir):
 
 def _matrix(spark, sf_dir):
     """Boosted-tree matrix with the product columns that give the target away left out."""
-    from saleslens.plans.features import LEAKY
+    from saleslens.plans.features import LEAKY_IN_MATRIX
     from saleslens.plans.matrices import boosted_matrix
 
-    return boosted_matrix(general(spark, sf_dir)).drop(*LEAKY, "combinacion_productos", "categoria_favorita")
+    return boosted_matrix(general(spark, sf_dir)).drop(*LEAKY_IN_MATRIX)
 
 
 def _features(matrix):

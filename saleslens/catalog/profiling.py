@@ -296,10 +296,10 @@ CORRELATED = ["total_spend", "monto_promedio_transaccion", "hhi", "share_fav", "
 
 @query("a36_correlation", over("tx_v12") + " UNION ALL ".join(
     f"SELECT '{x}' AS variable_x, '{y}' AS variable_y, round(corr({x}::DOUBLE, {y}::DOUBLE), 5) AS correlacion FROM tx_v12"
-    for x in CORRELATED[:3] for y in CORRELATED[:3]))
+    for x in CORRELATED for y in CORRELATED))
 def correlation(spark, sf_dir):
     df = X.transaction_features(Tables(spark, sf_dir).transactions, REFERENCE_DATE)
-    return rounded(R.correlation(df, CORRELATED[:3]), 5)
+    return rounded(R.correlation(df, CORRELATED), 5)
 
 
 @query("a37_variance_inflation", over("basic") + """
@@ -498,7 +498,7 @@ def general(spark, sf_dir):
 def forest(spark, sf_dir):
     from saleslens.plans.matrices import forest_matrix
 
-    df = forest_matrix(general(spark, sf_dir)).drop("categoria_favorita")
+    df = forest_matrix(general(spark, sf_dir))
     return rounded(df, 6, "variacion_mensual_promedio_pct", "total_spend_fav")
 
 
@@ -518,7 +518,7 @@ CLIPPED = """clipped AS MATERIALIZED (SELECT * REPLACE (
 def boosted(spark, sf_dir):
     from saleslens.plans.matrices import boosted_matrix
 
-    df = boosted_matrix(general(spark, sf_dir)).drop("categoria_favorita")
+    df = boosted_matrix(general(spark, sf_dir))
     scaled = [c for c, t in df.dtypes if t == "double"
               and c not in ("transacciones_promedio_mensual", "variacion_mensual_promedio")]
     return rounded(rounded(df, 6, *scaled), 8, "variacion_mensual_promedio")

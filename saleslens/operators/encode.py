@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.operators.ranks import bucket_by_value, exact_quantiles, running_totals
+from saleslens.operators.ranks import ROWS_PER_BUCKET, bucket_by_value, exact_quantiles, running_totals
 from saleslens.session import durable
 
-LITERAL_LABELS = 256
-
 
 @dataclass(frozen=True)
 class StandardScaler:
@@ -62,49 +60,30 @@ def _as_text(column: str, missing: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(missing))
 
 
-def _prefix_number(text: Column, width: int = 6) -> Column:
-    """First bytes of a text as a number that grows with the order of the bytes."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, width)), 2 * width, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
 @dataclass(frozen=True)
 class LabelEncoder:
     """Code of a text = its place among the different texts in the order of their bytes, from 0.
 
-    Dictionaries of up to ``LITERAL_LABELS`` texts become part of the expression. A longer one is
-    kept as a table and joined; its codes come from running totals, so it may be of any length.
-    Null is the text ``missing``. A text not seen when fitting gives null.
+    The dictionary of each column is a table and is joined, so it may be of any length. Null is the
+    text ``missing``. A text not seen when fitting gives null.
     """
 
-    literals: Mapping[str, list[str]]
     tables: Mapping[str, DataFrame] = field(default_factory=dict)
     missing: str = "nan"
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], missing: str = "nan") -> LabelEncoder:
+        if not columns:
+            return cls({}, missing)
         pairs = df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), _as_text(c, missing).alias("label")) for c in columns
         ])).alias("p")).select("p.*").distinct()
-        # One text more than fits is enough to know that a dictionary is long; the limit per column
-        # is taken before the shuffle, so the driver gets a bounded number of texts.
-        place = F.row_number().over(Window.partitionBy("column").orderBy("label"))
-        found: dict[str, list[str]] = {c: [] for c in columns}
-        for r in pairs.withColumn("_place", place).where(F.col("_place") <= LITERAL_LABELS + 1).collect():
-            found[r["column"]].append(r["label"])
-        small = [c for c in columns if len(found[c]) <= LITERAL_LABELS]
-        literals = {c: found[c] for c in small}
-        tables = {c: label_table(df, c, missing) for c in columns if c not in small}
-        ordered = {c: sorted(v, key=lambda s: s.encode()) for c, v in literals.items()}
-        return cls(ordered, tables, missing)
+        # All dictionaries are numbered together; a column's codes start where its rows do.
+        coded = durable(_numbered(pairs))
+        return cls({c: coded.where(F.col("column") == c).select("label", "code") for c in columns}, missing)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        def code(c: str, labels: list[str]) -> Column:
-            place = F.array_position(F.array(*[F.lit(x) for x in labels]), _as_text(c, self.missing))
-            return F.nullif(place, F.lit(0).cast("bigint")).cast("int") - 1
-
-        order = df.columns
-        out = df.withColumns({c: code(c, labels) for c, labels in self.literals.items() if labels})
+        order, out = df.columns, df
         for c, table in self.tables.items():
             renamed = table.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
             out = (
@@ -114,27 +93,38 @@ class LabelEncoder:
         return out.select(*order)
 
 
-def label_table(df: DataFrame, column: str, missing: str = "nan") -> DataFrame:
+def _numbered(pairs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """column, label, code of distinct (column, label)."""
+    rows = durable(pairs.select(F.struct("column", "label").alias("_place"), F.lit(1).alias("_one")))
+    placed = bucket_by_value(rows, "_place", rows_per_bucket).withColumn("column", F.col("_place.column"))
+    ranked = running_totals(placed, {"_upto": "_one"}, [F.col("_place.label")], ["column"])
+    return ranked.select("column", F.col("_place.label").alias("label"), (F.col("_upto") - 1).cast("int").alias("code"))
+
+
+def label_table(df: DataFrame, column: str, missing: str = "nan", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Different texts of a column with their codes, for dictionaries of any length."""
-    labels = df.select(_as_text(column, missing).alias("label")).distinct().select(
-        "label", F.lit(1).alias("_one"), _prefix_number(F.col("label")).alias("_place"))
-    ranked = running_totals(bucket_by_value(durable(labels), "_place"), {"_upto": "_one"}, [F.col("label")])
-    return ranked.select("label", (F.col("_upto") - 1).cast("int").alias("code"))
+    pairs = df.select(F.lit(column).alias("column"), _as_text(column, missing).alias("label")).distinct()
+    return _numbered(pairs, rows_per_bucket).select("label", "code")
 
 
 @dataclass(frozen=True)
 class OneHot:
-    """One boolean column per category but the first; a null has false in all of them."""
+    """One boolean column per category but the first; a null has false in all of them.
+
+    The result has a column for each category, so their texts pass through the driver.
+    """
 
     categories: Mapping[str, list[str]]
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> OneHot:
-        seen = LabelEncoder.fit(df.select(*columns), columns, missing="\x00null").literals
-        wide = [c for c in columns if c not in seen]
-        if wide:
-            raise ValueError(f"too many categories for one column each: {wide}")
-        return cls({c: [x for x in seen[c] if x != "\x00null"] for c in columns})
+        found: dict[str, list[str]] = {c: [] for c in columns}
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label")) for c in columns
+        ])).alias("p")).select("p.*").where("label is not null").distinct()
+        for r in pairs.collect():
+            found[r["column"]].append(r["label"])
+        return cls({c: sorted(v, key=lambda s: s.encode()) for c, v in found.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         made = {

@@ -153,11 +153,11 @@ def areas(df: DataFrame, score: str = "score", label: str = "label", by: Sequenc
     precision = _ratio(tp, tp + fp)
     precision0 = F.coalesce(F.try_divide(tp0.cast("double"), tp0 + fp0), F.lit(1.0))
     return cumulative(df, score, label, by).groupBy(*by).agg(
-        F.sum(neg * (tp + tp0)).alias("_roc"),
+        F.sum(neg.cast("decimal(18,0)") * (tp + tp0).cast("decimal(19,0)")).alias("_roc"),
         F.sum(pos * (precision + precision0)).alias("_pr"),
         F.max("tp_all").alias("_p"), F.max("fp_all").alias("_n"),
     ).select(
-        *by, F.try_divide(F.col("_roc") / 2.0, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
+        *by, F.try_divide(F.col("_roc").cast("double") / 2.0, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
         F.try_divide(F.col("_pr") / 2.0, F.col("_p")).alias("pr_auc"),
     )
 

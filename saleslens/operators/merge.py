@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslens import schemas as S
@@ -88,23 +88,42 @@ def upsert_clients(base: DataFrame, demographics: DataFrame, today: str) -> Data
     ])
 
 
-def load_products(products: DataFrame) -> DataFrame:
-    """Product rows for the serving store. The id is a hash of the row, the same on every run."""
-    return products.select(
-        F.xxhash64("user_id", "product_type", "contract_date").alias("id"),
+def _key(*parts: Column) -> Column:
+    """128 bits of the parts, as hexadecimal digits; null is an empty part."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def load_products(products: DataFrame, as_of: str) -> DataFrame:
+    """Product rows for the serving store. The id is made of the contract and its number among equal ones."""
+    contract = [F.col("user_id"), F.col("product_type"), F.to_date("contract_date")]
+    number = F.row_number().over(Window.partitionBy(*contract).orderBy(F.lit(1)))
+    return products.withColumn("_number", number).select(
+        _key(*contract, F.col("_number")).alias("id"),
         "user_id", "product_type", F.col("contract_date").cast("timestamp").alias("contract_date"),
-        F.lit("active").alias("status"), F.lit(1000.0).alias("product_value"),
+        F.lit("active").alias("status"), F.lit(1000.0).alias("product_value"), *_times(as_of),
     )
 
 
-def load_transactions(transactions: DataFrame) -> DataFrame:
+def load_transactions(transactions: DataFrame, as_of: str) -> DataFrame:
+    """Transaction rows for the serving store; the id is made of the natural key."""
     return transactions.select(
-        F.xxhash64("transaction_id").alias("id"), "user_id",
+        _key(F.col("transaction_id")).alias("id"), "user_id",
         F.to_date("date").alias("transaction_date"), "amount",
-        F.lit("payment").alias("transaction_type"),
+        F.lit("payment").alias("transaction_type"), *_times(as_of),
     )
 
 
+def _times(as_of: str) -> list[Column]:
+    return [F.lit(as_of).cast("timestamp").alias(c) for c in ("created_at", "updated_at")]
+
+
+def upsert_loaded(base: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Loaded rows replace those with their id, which keep the time they were created; the others are added."""
+    before = base.select("id", F.col("created_at").alias("_created"))
+    dated = loaded.join(before, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at"))
+    return upsert(base, dated.select(*base.columns), "id")
+
+
 @dataclass(frozen=True)
 class StatusResult:
     clients: DataFrame

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +16,21 @@ from saleslens.session import durable
 
 BUCKET, GROUP = "_bucket", "_group"
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1024
 
 
 def bucket_by_value(rows: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add a bucket number that grows with ``column``, about ``rows_per_bucket`` rows in each.
 
-    Meant for rows already grouped to one per distinct value, so no single value can be large.
-    One aggregation finds the cut points; fewer than ``MAX_BUCKETS`` numbers reach the driver.
+    Meant for rows already grouped to one per distinct value, so no single value can be large. The
+    buckets are the range partitions of a sorted shuffle, for numbers and texts alike, and are
+    written with the rows; there is no bound on their number and no cut point on the driver.
     """
-    value = F.col(column).cast("double")
-    pieces = min(MAX_BUCKETS, -(-rows.count() // rows_per_bucket))
-    if pieces <= 1:
-        return rows.withColumn(BUCKET, F.lit(0.0))
-    cuts = rows.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)])).first()[0]
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *sorted(set(cuts or [])), float("inf")],
-        inputCol="_value", outputCol=BUCKET, handleInvalid="keep",
-    )
-    return bucketizer.transform(rows.withColumn("_value", value)).drop("_value")
+    spark = rows.sparkSession
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_bucket))
+    return durable(rows.repartitionByRange(pieces, column).withColumn(BUCKET, F.spark_partition_id()))
 
 
-def bucket_by_hash(hashed: Column, bits: int = 12) -> Column:
+def bucket_by_hash(hashed: Column, bits: int = 16) -> Column:
     """Top bits of a 64-bit hash: even buckets whose order is the order of the hash."""
     return F.shiftright(hashed, 64 - bits)
 

@@ -8,13 +8,12 @@ therefore a few hundred rows by the time anything is grouped by customer alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslens import schemas as S
-from saleslens.functions import all_named, cents, first_named, month_of
+from saleslens.functions import cents, month_of
 
 
 def _is(category: str) -> Column:
@@ -40,8 +39,12 @@ def monthly_base(transactions: DataFrame, categories: Sequence[str] = S.MERCHANT
     ``categories`` is the domain of the category column; rows outside it enter the totals only.
     The rows are placed by customer once, which serves this grouping and all that follow it.
     """
+    return base_of(monthly_by_category(transactions).repartition("user_id"), categories)
+
+
+def base_of(monthly: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES) -> DataFrame:
     return (
-        monthly_by_category(transactions).repartition("user_id").groupBy("user_id", "mes")
+        monthly.groupBy("user_id", "mes")
         .agg(
             F.sum("_n").alias("_n"),
             F.sum("_priced").alias("_priced"),
@@ -122,43 +125,34 @@ def per_customer(base: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGOR
     )
 
 
-def with_favourites(sums: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES,
-                    ties: str = "first") -> DataFrame:
-    """Add the favourite category by count and by amount, and the spend in the latter.
+def favourites(monthly: DataFrame, ties: str = "first") -> DataFrame:
+    """Favourite category by count and by amount, the spend in the latter, and the concentration, per customer.
 
-    ``first`` takes the first name in the alphabet on ties; ``joined`` names all of them and adds
-    up their spend. The largest values are columns of their own, computed once per row.
+    ``monthly`` has rows per customer, month and category, whatever the categories are; rows without
+    one are left out. ``first`` takes the first name in the alphabet on ties; ``joined`` names all
+    of them and adds up their spend. A customer without any category has no row.
     """
     if ties not in ("first", "joined"):
         raise ValueError("ties is 'first' or 'joined'")
-    named = first_named if ties == "first" else all_named
-
-    def spend(c: str) -> Column:
-        filled = F.coalesce(F.col(f"_c_{c}"), F.lit(0))
-        return F.when(F.col(f"_n_{c}") > 0, filled) if ties == "joined" else filled
-
-    filled = sums.withColumns({f"_s_{c}": spend(c) for c in categories})
-    counts = {c: F.col(f"_n_{c}") for c in categories}
-    spends = {c: F.col(f"_s_{c}") for c in categories}
-    topped = filled.withColumns({
-        "_top_n": F.greatest(*counts.values()), "_top_s": F.greatest(*spends.values())})
-    winners = F.lit(1) if ties == "first" else reduce(
-        lambda a, b: a + b, [F.when(s == F.col("_top_s"), 1).otherwise(0) for s in spends.values()])
-    return topped.withColumns({
-        "categoria_favorita": named(counts, F.col("_top_n")),
-        "categoria_favorita_monto": named(spends, F.col("_top_s")),
-        "total_spend_fav": F.col("_top_s") * winners / 100,
-    })
-
+    whole = Window.partitionBy("user_id")
+    category = F.col("merchant_category")
+    summed = (
+        monthly.where(category.isNotNull()).groupBy("user_id", "merchant_category")
+        .agg(F.sum("_n").alias("_n"), F.coalesce(F.sum("_cents"), F.lit(0)).alias("_s"))
+        .withColumns({"_top_n": F.max("_n").over(whole), "_top_s": F.max("_s").over(whole)})
+    )
 
-def _concentration(categories: Sequence[str]) -> Column:
-    """Sum of squared shares of the categories; 0 without spend."""
-    def add(terms: list[Column]) -> Column:
-        return reduce(lambda a, b: a + b, terms)
+    def named(value: str) -> Column:
+        winner = F.when(F.col(value) == F.col(f"_top{value}"), category)
+        return F.min(winner) if ties == "first" else F.array_join(F.array_sort(F.collect_list(winner)), " + ")
 
-    spends = [F.coalesce(F.col(f"_s_{c}").cast("double"), F.lit(0.0)) for c in categories]
-    whole = add(spends)
-    return F.coalesce(F.try_divide(add([s * s for s in spends]), whole * whole), F.lit(0.0))
+    winners = F.lit(1) if ties == "first" else F.count_if(F.col("_s") == F.col("_top_s"))
+    spend = F.col("_s").cast("double")
+    return summed.groupBy("user_id").agg(
+        named("_n").alias("categoria_favorita"), named("_s").alias("categoria_favorita_monto"),
+        (F.max("_top_s") * winners / 100).alias("total_spend_fav"),
+        F.coalesce(F.try_divide(F.sum(spend * spend), F.sum(spend) * F.sum(spend)), F.lit(0.0)).alias("hhi"),
+    )
 
 
 def transaction_features(
@@ -172,8 +166,11 @@ def transaction_features(
     """All transaction columns, one row per customer with transactions.
 
     ``change_variant`` is ``v12`` (the first month counts as a change of 0) or ``skip_first``.
+    ``categories`` names the count columns; favourites and concentration know every category.
     """
-    sums = per_customer(monthly_base(transactions, categories), categories, change_variant)
+    monthly = monthly_by_category(transactions).repartition("user_id")
+    sums = per_customer(base_of(monthly, categories), categories, change_variant).join(
+        favourites(monthly, ties), "user_id", "left")
     changes = F.col("_months") if change_variant == "v12" else F.col("_months") - 1
     change = F.col("_change") if change_variant == "skip_first" else F.coalesce("_change", F.lit(0))
     total = F.col("_total") / 100
@@ -184,13 +181,13 @@ def transaction_features(
         F.col("_months").alias("n_meses_activos"),
         F.datediff(F.lit(reference_date).cast("date"), F.col("_last")).alias("recencia_transaccion"),
         *[F.col(f"_n_{c}").alias(f"{c}_count") for c in categories],
-        *([(F.coalesce(F.col(f"_s_{c}"), F.lit(0)) / 100).alias(f"{c}_spend") for c in categories]
+        *([(F.coalesce(F.col(f"_c_{c}"), F.lit(0)) / 100).alias(f"{c}_spend") for c in categories]
           if spend_columns else []),
         F.col("categoria_favorita"),
         F.col("categoria_favorita_monto"),
-        F.col("total_spend_fav"),
-        _concentration(categories).alias("hhi"),
-        F.try_divide(F.col("total_spend_fav"), total).alias("share_fav"),
+        F.coalesce("total_spend_fav", F.lit(0.0)).alias("total_spend_fav"),
+        F.coalesce("hhi", F.lit(0.0)).alias("hhi"),
+        F.try_divide(F.coalesce("total_spend_fav", F.lit(0.0)), total).alias("share_fav"),
         F.col("mes_mas_compras"),
         F.col("mes_mayor_monto"),
         F.try_divide(F.col("_dated_total") / 100, F.col("_months")).alias("monto_promedio_mensual"),
@@ -198,7 +195,7 @@ def transaction_features(
         F.try_divide(change / 100, changes).alias("variacion_mensual_promedio"),
         F.col("variacion_mensual_promedio_pct"),
     ]
-    return with_favourites(sums, categories, ties).select("user_id", *columns)
+    return sums.select("user_id", *columns)
 
 
 def spend_trend(transactions: DataFrame, change_variant: str = "v12") -> DataFrame:

@@ -30,6 +30,8 @@ ENCODED = [
 ]
 IMPUTED_ZERO = ["dias_entre_productos", "variacion_mensual_promedio", "variacion_mensual_promedio_pct"]
 LEAKY = ["numero_productos", "segundo_producto", "primer_producto", "dias_entre_productos"]
+# The combination spells the target out, so no matrix may be trained with it either.
+LEAKY_IN_MATRIX = [*LEAKY, "combinacion_productos"]
 OUTPUT = [
     "user_id", "age", "income_range", "risk_profile", "occupation", "age_range_sturges",
     "primer_producto", "segundo_producto",
@@ -73,7 +75,8 @@ def cleaned_features(raw: DataFrame) -> DataFrame:
 
 
 def general_features(cleaned: DataFrame) -> DataFrame:
-    return drop_columns(cleaned, S.COLLINEAR_COLUMNS)
+    """The reduced table: without collinear columns and without the favourite by count."""
+    return drop_columns(cleaned, [*S.COLLINEAR_COLUMNS, "categoria_favorita"])
 
 
 def default_base(demographics: DataFrame, products: DataFrame, transactions: DataFrame,

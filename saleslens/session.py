@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that ``durable`` has written in this process.
+_WRITTEN: list[str] = []
+
 
 def local_session(cores: int = 8, app: str = "saleslens") -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -48,6 +51,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once: written as Parquet to a folder under the checkpoint folder and read back."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``durable`` has written; results that still read it must have been used up by then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

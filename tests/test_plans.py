@@ -68,7 +68,7 @@ def test_matrices(general):
 
 @pytest.fixture(scope="module")
 def matrix(general):
-    return MX.boosted_matrix(general).drop("categoria_favorita", *FE.LEAKY, "combinacion_productos").fillna(0)
+    return MX.boosted_matrix(general).drop(*FE.LEAKY_IN_MATRIX).fillna(0)
 
 
 def test_weights_are_balanced(spark):
