@@ -31,6 +31,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
            "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 "
                           "h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold running text; the label passes on to their children otherwise than in containers.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd figcaption blockquote pre".split())
 _WALLS = frozenset("html body table td th article section div main aside nav header footer ul ol dl form blockquote figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -125,12 +127,15 @@ def evidence(nodes: list[Node]) -> list[list[str]]:
 
 @dataclass
 class TreeModel:
-    """Logarithms: of the root's labels, of a child's label given its parent's, of features given the label."""
+    """Logarithms: of the root's labels, of a child's label given its parent's (for containers and for textual parents), of features given the label."""
 
     root: tuple[float, float]
-    step: tuple[tuple[float, float], tuple[float, float]]
+    steps: tuple[tuple[tuple[float, float], tuple[float, float]], tuple[tuple[float, float], tuple[float, float]]]
     features: dict[str, tuple[float, float]]
 
+    def step(self, parent: Node) -> tuple[tuple[float, float], tuple[float, float]]:
+        return self.steps[parent.tag in TEXTUAL]
+
     def local(self, own: list[str]) -> tuple[float, float]:
         a = b = 0.0
         for f in own:
@@ -149,11 +154,11 @@ def marginals(nodes: list[Node], own: list[list[str]], model: TreeModel) -> list
     """P(content) of every node: messages from the leaves to the root and back."""
     n = len(nodes)
     up = [model.local(x) for x in own]
-    (s00, s01), (s10, s11) = model.step
     message: list[tuple[float, float]] = [(0.0, 0.0)] * n
     belief0, belief1 = [x[0] for x in up], [x[1] for x in up]
     for i in range(n - 1, 0, -1):
         b0, b1 = belief0[i], belief1[i]
+        (s00, s01), (s10, s11) = model.step(nodes[nodes[i].parent])
         m0, m1 = _plus(s00 + b0, s01 + b1), _plus(s10 + b0, s11 + b1)
         message[i] = (m0, m1)
         p = nodes[i].parent
@@ -165,6 +170,7 @@ def marginals(nodes: list[Node], own: list[list[str]], model: TreeModel) -> list
     out[0] = 1 / (1 + math.exp(min(700.0, max(-700.0, belief0[0] - belief1[0]))))
     for i in range(1, n):
         p = nodes[i].parent
+        (s00, s01), (s10, s11) = model.step(nodes[p])
         c0, c1 = belief0[p] - message[i][0], belief1[p] - message[i][1]
         belief0[i] += _plus(s00 + c0, s10 + c1)
         belief1[i] += _plus(s01 + c0, s11 + c1)
@@ -197,16 +203,17 @@ def train(pages: Iterable[tuple[str, str]]) -> TreeModel:
         root[label[0]] += 1
         for i, own in enumerate(evidence(nodes)):
             if i:
-                step[label[nodes[i].parent], label[i]] += 1
+                step[nodes[nodes[i].parent].tag in TEXTUAL, label[nodes[i].parent], label[i]] += 1
             seen[label[i]].update(own)
             seen[label[i]]["#"] += 1
-    def log_step(p: int) -> tuple[float, float]:
-        total = step[p, 0] + step[p, 1] + 2
-        return math.log((step[p, 0] + 1) / total), math.log((step[p, 1] + 1) / total)
+
+    def log_step(textual: bool, p: int) -> tuple[float, float]:
+        total = step[textual, p, 0] + step[textual, p, 1] + 2
+        return math.log((step[textual, p, 0] + 1) / total), math.log((step[textual, p, 1] + 1) / total)
 
     features = {f: tuple(math.log((seen[y][f] + 0.3) / (seen[y]["#"] + 1)) for y in (0, 1)) for f in set(seen[0]) | set(seen[1]) if f != "#"}
     return TreeModel((math.log((root[0] + 1) / (sum(root.values()) + 2)), math.log((root[1] + 1) / (sum(root.values()) + 2))),
-                     (log_step(0), log_step(1)), features)
+                     tuple((log_step(k, 0), log_step(k, 1)) for k in (False, True)), features)
 
 
 #: Names that page authors give to parts around the text, for labelled pages.
