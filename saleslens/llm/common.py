@@ -18,6 +18,7 @@ from saleslens.session import scratch
 
 #: Bytes of text that one array pass covers; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,6 +39,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Python tasks get a few megabytes of text at a time, unless the session has a size of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -114,8 +114,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, per_group: int = PER_GROUP,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for lo in range(0, len(all_fps), 2048):
-                    fps = all_fps[lo:lo + 2048]
+                for lo in range(0, len(all_fps), 512):
+                    fps = all_fps[lo:lo + 512]
                     value = ((fps[:, None] ^ masks[None, :]) * np.uint64(_ODD)).ravel()
                     mine = np.flatnonzero((value >> np.uint64(64 - group_bits)) % np.uint64(slices) == np.uint64(turn))
                     value, number = value[mine], (mine % len(masks)).astype(np.uint64)
