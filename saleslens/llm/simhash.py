@@ -3,7 +3,8 @@
 Two fingerprints within Hamming distance 2r share a value within distance r of both. So every
 distinct fingerprint emits all values in its ball of radius r; equal values meet in one bucket of
 the shuffle. All fingerprints that share a value are within 2r of each other, hence each such group
-needs links to its smallest member only. Links are verified, and components are found on them.
+needs links to its smallest member only. Links are verified, thinned to stars, and components are
+found on them.
 
 A value and the flips that lead to it fill 64 bits: the bucket holds the leading bits, the rest is
 packed with the number of the flips, and a task sends one array for each group of buckets. The
@@ -96,8 +97,29 @@ def _pairs_of_bucket(packed: np.ndarray, bucket: int, bits: int, masks: np.ndarr
     return both[:, 0], both[:, 1]
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest of the component, other) that join the same nodes as the links given, one for each other node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        np.minimum.at(least, y, label[x])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, per_group: int = PER_GROUP, slices: int = SLICES) -> DataFrame:
-    """Links (a, b) between different fingerprints ``fp`` at distance 2 * radius or less, enough of them for all components.
+    """Links (a, b) between different fingerprints ``fp`` that join those at distance 2 * radius or less, directly or by way of others.
+
+    Verified links of a group of buckets are replaced by stars around the smallest fingerprint of
+    each component there. Groups that see the same dense cluster then give the same links, and a
+    cluster of n fingerprints has a few times n of them, not one for each pair.
 
     A value has 64 - bits significant bits in its bucket, which leaves the low ``bits`` free for the
     number of the flips. Fingerprints are dealt to buckets after an odd multiplication, which spreads
@@ -143,7 +165,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, per_group: int = PER_GROUP,
                 part = np.concatenate([packed[ends[j] - size[j]:ends[j]] for packed, size, ends in held])
                 if len(part):
                     found.append(_pairs_of_bucket(part, now * per + j, bits, masks))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:

@@ -457,3 +457,28 @@ def test_word_helpers_against_split():
     assert len(set(hashes.tolist())) == len(set(words))
     three = common.grams(hashes, 3, 12345)
     assert len(three) == len(words) - 2 and common.grams(hashes[5:8], 3, 12345)[0] == three[5]
+
+
+def test_dense_cluster_has_few_links(spark):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 300:
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(64), 2)))
+    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    found = simhash.links(table)
+    assert found.count() < 4 * len(fps)
+    labels = common.connected(found).collect()
+    assert len(labels) == len(fps) and len({r.component for r in labels}) == 1
+
+
+def test_stars_join_what_links_join():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = rng.integers(0, 60, (2, 40)).astype(np.uint64)
+        label = {int(n): int(n) for n in np.concatenate([a, b])}
+        for _ in range(60):
+            for x, y in zip(a.tolist(), b.tolist()):
+                label[x] = label[y] = min(label[x], label[y])
+        least, other = simhash._stars(a, b)
+        assert dict(zip(other.tolist(), least.tolist())) == {n: c for n, c in label.items() if n != c}
