@@ -36,6 +36,10 @@ HEADLINE = [
     "m12_m13_areas",
     "m14_best_threshold",
     "m20_precision_at_top",
+    "m03_random_forest_on_test_rows",
+    "f11_label_table",
+    "t01_streamed_status_changes",
+    "t02_late_contacts",
 ]
 
 

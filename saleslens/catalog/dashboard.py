@@ -60,6 +60,14 @@ def missing(spark, sf_dir):
     return D.missing_probabilities(Tables(spark, sf_dir).clients)
 
 
+@query("d03_missing_probabilities_found", over("clients") + """
+SELECT count(*) FILTER (id % 10 = 3) AS sin_probabilidad FROM clients""")
+def missing_found(spark, sf_dir):
+    """Clients of which a tenth has no probability."""
+    clients = Tables(spark, sf_dir).clients
+    return D.missing_probabilities(clients.withColumn("probability", F.when(F.col("id") % 10 != 3, F.col("probability"))))
+
+
 @query("d04_contacted_histogram", over("clients", more="bins AS (SELECT i FROM range(10) t(i))") + """
 SELECT (10 * i) || '-' || (10 * i + 10) || '%' AS range,
  count(*) FILTER (status = 'pending' AND probability >= i / 10.0::DOUBLE AND probability < (i + 1) / 10.0::DOUBLE) AS no_contacted,
@@ -182,6 +190,17 @@ def health(spark, sf_dir):
     return D.health_counts(t.clients, t.contacts, t.contacts, "2024-02-14", date="contacted_at")
 
 
+@query("d13_health_counts_of_predictions", over("clients", "contacts") + """
+SELECT (SELECT count(*) FROM clients WHERE probability >= 0.7) AS high_probability,
+ (SELECT count(*) FROM clients WHERE DATE '2024-02-14' - CAST(id % 60 AS INTEGER) >= DATE '2024-02-14' - 30) AS recent_predictions,
+ (SELECT count(*) FROM contacts) AS contacts""")
+def health_of_predictions(spark, sf_dir):
+    """Predictions of the last sixty days, each client on a day of its own."""
+    t = Tables(spark, sf_dir)
+    predictions = t.clients.select(F.date_sub(F.lit("2024-02-14").cast("date"), (F.col("id") % 60).cast("int")).alias("prediction_date"))
+    return D.health_counts(t.clients, predictions, t.contacts, "2024-02-14")
+
+
 # -- lists ----------------------------------------------------------------------
 
 

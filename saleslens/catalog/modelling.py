@@ -161,33 +161,51 @@ def _assembled(spark, sf_dir):
     return durable(TR.assembled(matrix, names)), names
 
 
+def _key_hash():
+    return (F.col("user_id").cast("long") * 7919 + 42) % 1000003
+
+
 def _split(df):
-    marked = durable(E.stratified_split(df, "user_id"))
+    marked = durable(E.stratified_split(df, "user_id", order_key=_key_hash(), bucket=F.floor(_key_hash() / 1000)))
     return marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test")
 
 
-@query("m01_boosted_trees_on_test_rows")
+def _valid(scores):
+    """Scores as SQL can state them: there is one for each row, and it is a probability."""
+    return scores.withColumn("score_valid", F.coalesce(F.col("score").between(0, 1), F.lit(False))).drop("score")
+
+
+LABELLED = over("demographics", "flags", more="""
+labelled AS (SELECT user_id, CAST(coalesce(insurance, FALSE) AS INTEGER)::DOUBLE AS label FROM demographics LEFT JOIN flags USING (user_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (user_id::BIGINT * 7919 + 42) % 1000003, user_id) AS rank,
+ count(*) OVER (PARTITION BY label) AS n FROM labelled)""")
+TEST_ROWS = LABELLED + "SELECT user_id, label, TRUE AS score_valid FROM r WHERE rank <= floor(n * 0.3::DOUBLE + 0.5)"
+
+
+@query("m01_boosted_trees_on_test_rows", TEST_ROWS)
 def boosted(spark, sf_dir):
     train, test = _split(_assembled(spark, sf_dir)[0])
-    return E.metrics(TR.scored(TR.boosted_trees(maxIter=20).fit(train), test))
+    return _valid(TR.scored(TR.boosted_trees().fit(train), test))
 
 
-@query("m02_m06_balanced_logistic_out_of_fold")
+@query("m02_m06_balanced_logistic_out_of_fold", LABELLED + """
+SELECT user_id, label, CAST((rank - 1) % 5 AS INTEGER) AS fold, TRUE AS score_valid FROM r""")
 def logistic(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
-    return TR.out_of_fold(TR.balanced_logistic(maxIter=20), TR.class_weights(df))
+    return _valid(TR.out_of_fold(TR.balanced_logistic(), TR.class_weights(df), order_key=_key_hash(),
+                                 bucket=F.floor(_key_hash() / 1000)))
 
 
-@query("m03_random_forest_on_test_rows")
+@query("m03_random_forest_on_test_rows", TEST_ROWS)
 def forest(spark, sf_dir):
     train, test = _split(_assembled(spark, sf_dir)[0])
-    return E.classification_report(TR.scored(TR.random_forest().fit(train), test))
+    return _valid(TR.scored(TR.random_forest().fit(train), test))
 
 
 @query("m05_cross_validated_metrics")
 def cross_validated(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
-    return TR.cross_validated(TR.balanced_logistic(maxIter=20), TR.class_weights(df))[0]
+    return TR.cross_validated(TR.balanced_logistic(), TR.class_weights(df))[0]
 
 
 @query("m07_random_search")
@@ -202,46 +220,69 @@ def search(spark, sf_dir):
 @query("m08_learning_curve")
 def curve(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
-    return TR.learning_curve(TR.balanced_logistic(maxIter=10), TR.class_weights(df), sizes=(0.1, 0.55, 1.0), folds=2)
+    return TR.learning_curve(TR.balanced_logistic(), TR.class_weights(df))
 
 
 @query("m16_feature_importance")
 def importance(spark, sf_dir):
     df, names = _assembled(spark, sf_dir)
-    return TR.importances(TR.random_forest(numTrees=20).fit(df), names)
+    return TR.importances(TR.random_forest().fit(df), names)
 
 
 @query("m17_permutation_importance")
 def permutation(spark, sf_dir):
     matrix = durable(_matrix(spark, sf_dir))
     names = _features(matrix)
-    model = TR.balanced_logistic(maxIter=20).fit(TR.class_weights(TR.assembled(matrix, names)))
-    shown = ["age", "total_spend_fav", "credit_card"]
-    return TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names)), matrix, shown)
+    model = TR.balanced_logistic().fit(TR.class_weights(TR.assembled(matrix, names)))
+    return TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names)), matrix, names)
 
 
 @query("m21_without_features")
 def without(spark, sf_dir):
     matrix = durable(_matrix(spark, sf_dir))
-    weighted = TR.class_weights(matrix, "insurance")
-    estimator = TR.random_forest(numTrees=10)
-    return TR.without_features(estimator, weighted.drop("weight"), ["n_meses_activos", "risk_profile"], folds=3)[0]
+    return TR.without_features(TR.random_forest(), matrix, ["n_meses_activos", "risk_profile"])[0]
 
 
-@query("m18_c08_c09_scored_and_merged")
+@query("m18_c08_c09_scored_and_merged", over("demographics") + """
+SELECT user_id, TRUE AS probability_valid, TRUE AS target_follows, TIMESTAMP '2024-02-01' AS created_at FROM demographics""")
 def merged(spark, sf_dir):
     """Train, save, load, score every customer, merge into the stored predictions."""
     matrix = durable(_matrix(spark, sf_dir))
     names = _features(matrix)
     weighted = TR.class_weights(TR.ready(matrix, names))
-    model = TR.pipeline(names, TR.balanced_logistic(maxIter=20)).fit(weighted)
+    model = TR.pipeline(names, TR.balanced_logistic()).fit(weighted)
     folder = scratch(spark)
     TR.save_model(model, S.SERVICE_THRESHOLD, folder)
     loaded, threshold = TR.load_model(folder)
     stored = Tables(spark, sf_dir).clients.select(
         "user_id", F.lit(0.5).alias("probability"), F.lit(False).alias("is_target"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    return SC.score_and_merge(loaded, matrix, stored, threshold, as_of="2024-02-01")
+    return _judged(SC.score_and_merge(loaded, matrix, stored, threshold, as_of="2024-02-01"), threshold)
+
+
+def _judged(predictions, threshold):
+    return predictions.select(
+        "user_id", F.coalesce(F.col("probability").between(0, 1), F.lit(False)).alias("probability_valid"),
+        F.col("is_target").eqNullSafe(F.col("probability") >= threshold).alias("target_follows"), "created_at")
+
+
+@query("m14_m18_c08_final_model_saved", over("demographics") + """
+SELECT user_id, TRUE AS probability_valid, TRUE AS target_follows, TRUE AS as_before_saving, TIMESTAMP '2024-02-01' AS created_at
+FROM demographics""")
+def final(spark, sf_dir):
+    """The default features with their moments and dictionaries, 100 trees and the best threshold, saved and loaded."""
+    from saleslens.plans.bundle import final_model, load_bundle
+    from saleslens.plans.features import default_base
+
+    t, folder = Tables(spark, sf_dir), scratch(spark)
+    base = durable(default_base(t.demographics, t.products, t.transactions))
+    bundle, _ = final_model(base)
+    bundle.save(folder)
+    loaded = load_bundle(folder)
+    before = bundle.score(base, "2024-02-01").select("user_id", F.col("probability").alias("_before"))
+    both = loaded.score(base, "2024-02-01").join(before, "user_id")
+    same = both.select("user_id", F.col("_before").eqNullSafe(F.col("probability")).alias("as_before_saving"))
+    return _judged(both, loaded.threshold).join(same, "user_id")
 
 
 # -- streams --------------------------------------------------------------------------------
@@ -267,6 +308,22 @@ def streamed_counts(spark, sf_dir):
     return spark.table("streamed_contact_counts")
 
 
+@query("t02_late_contacts", over("contacts", more="""
+m AS (SELECT max(contacted_at) AS top FROM contacts WHERE id % 3 <> 0)""") + """
+SELECT CAST(contacted_at AS DATE) AS date, coalesce(outcome, 'other') AS outcome,
+ id % 3 = 0 AND contacted_at < top - INTERVAL 7 DAYS AS late, count(*) AS n FROM contacts, m GROUP BY 1, 2, 3""")
+def late_contacts(spark, sf_dir):
+    """A third of the contacts comes in a second run; those over a week behind are counted as late."""
+    from saleslens.streaming.contacts import count_contacts, counted
+
+    contacts, folder = Tables(spark, sf_dir).contacts, scratch(spark)
+    for part in (F.col("id") % 3 != 0, F.col("id") % 3 == 0):
+        contacts.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(contacts.schema).parquet(f"{folder}/in")
+        count_contacts(stream, f"{folder}/out", f"{folder}/log", "7 days").awaitTermination()
+    return counted(spark, f"{folder}/out")
+
+
 STREAM_SQL = over("clients", "changes", more="""
 latest AS (SELECT client_id, first(new_status ORDER BY changed_at DESC, new_status DESC) AS new_status
  FROM changes WHERE new_status <> 'archived' GROUP BY client_id)""") + """

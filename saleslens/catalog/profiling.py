@@ -176,6 +176,30 @@ def product_by_year(spark, sf_dir):
     return R.contingency(years, "product_type", "year", range(1995, 2002))
 
 
+@query("a26_product_by_every_year", over("products") + """
+SELECT product_type, year(contract_date) AS year, count(*) AS n FROM products GROUP BY ALL""")
+def product_by_every_year(spark, sf_dir):
+    """All years there are, one row for each pair."""
+    years = Tables(spark, sf_dir).products.withColumn("year", F.year("contract_date").cast("bigint"))
+    return R.pair_counts(years, "product_type", "year")
+
+
+for first_column in ("age_range_sturges", "income_range"):
+    query(f"a26_{first_column}_by_risk", over("banded") + f"""
+SELECT {first_column}, {_wide(S.RISK_PROFILES, 'risk_profile')} FROM banded GROUP BY 1""")(
+        lambda spark, sf_dir, c=first_column: R.contingency(
+            FE.with_age_band(Tables(spark, sf_dir).demographics), c, "risk_profile", S.RISK_PROFILES))
+
+
+@query("a26_card_buyers_age_by_income", over("products", "banded") + f"""
+SELECT age_range_sturges, {_wide(S.INCOME_RANGES, 'income_range')} FROM products LEFT JOIN banded USING (user_id)
+WHERE product_type = 'credit_card' GROUP BY 1""")
+def card_buyers_by_income(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = C.holders(t.products, "credit_card").join(FE.with_age_band(t.demographics), "user_id", "left")
+    return R.contingency(rows, "age_range_sturges", "income_range", S.INCOME_RANGES)
+
+
 for attribute in ("income_range", "age_range_sturges", "risk_profile"):
     query(f"j05_a26_{attribute}_by_category", over("transactions", "banded") + f"""
 SELECT {attribute}, {_wide(S.MERCHANT_CATEGORIES, 'merchant_category')}
@@ -380,6 +404,13 @@ def aligned(spark, sf_dir):
     return C.align_columns(Tables(spark, sf_dir).demographics, ["hhi", "age"], keys=["user_id"])
 
 
+@query("p15_schema_differences", """
+SELECT * FROM (VALUES ('missing', 'hhi'), ('extra', 'income_range'), ('extra', 'risk_profile'), ('extra', 'occupation')) v(kind, columna)""")
+def differences(spark, sf_dir):
+    found = C.schema_differences(Tables(spark, sf_dir).demographics, ["user_id", "hhi", "age"])
+    return spark.createDataFrame([(k, c) for k, names in found.items() for c in names], "kind string, columna string")
+
+
 @query("p17_as_double", over("clients") + "SELECT user_id, id::DOUBLE AS id, age::DOUBLE AS age FROM clients")
 def doubles(spark, sf_dir):
     return C.to_double(Tables(spark, sf_dir).clients.select("user_id", "id", "age"))
@@ -553,6 +584,20 @@ def split(spark, sf_dir):
     return x.join(y, "user_id").select("user_id", "age", "numero_productos")
 
 
+@query("s04_written_split", over("banded", "prod_v12") + """
+SELECT user_id, age, numero_productos, insurance FROM banded LEFT JOIN prod_v12 USING (user_id)""")
+def written_split(spark, sf_dir):
+    """Features and target as they are in the two folders written."""
+    from saleslens.operators.products import product_features
+    from saleslens.session import scratch
+
+    t, folder = Tables(spark, sf_dir), scratch(spark)
+    df = t.demographics.join(product_features(t.products, REFERENCE_DATE), "user_id", "left")
+    IO.write_split(df, folder)
+    x, y = spark.read.parquet(f"{folder}/X"), spark.read.parquet(f"{folder}/y")
+    return x.drop(*[c for c in x.columns if c not in ("user_id", "age", "numero_productos")]).join(y, "user_id")
+
+
 # -- sources -------------------------------------------------------------------------------
 
 
@@ -569,6 +614,14 @@ def empties(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names], "tabla string")
 
 
+@query("s11_empty_tables_found", "SELECT 'transactions' AS tabla WHERE NOT EXISTS (SELECT * FROM lineitem WHERE l_shipdate < DATE '1900-01-01')")
+def empties_found(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    names = IO.empty_tables({"demographics": t.demographics, "products": t.products,
+                             "transactions": t.transactions.where("date < DATE '1900-01-01'")})
+    return spark.createDataFrame([(n,) for n in names], "tabla string")
+
+
 @query("s12_table_audit", over("clients", "contacts", "products", "transactions") + """
 SELECT 'demographics' AS tabla, TRUE AS presente, (SELECT count(*) FROM clients) AS filas
 UNION ALL SELECT 'prediction_results', FALSE, NULL UNION ALL SELECT 'contacts', TRUE, (SELECT count(*) FROM contacts)

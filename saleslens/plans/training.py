@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleslens.operators.evaluation import areas, confusion, metrics, stratified_folds
@@ -76,9 +76,10 @@ def scored(model: Model, df: DataFrame, key: str = "user_id") -> DataFrame:
     return out.select(key, *[c for c in ("label", "fold") if c in df.columns], "score")
 
 
-def out_of_fold(estimator: Estimator, df: DataFrame, folds: int = 5, seed: int = 42, key: str = "user_id") -> DataFrame:
+def out_of_fold(estimator: Estimator, df: DataFrame, folds: int = 5, seed: int = 42, key: str = "user_id",
+                order_key: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Score of every row by a model that has not seen its fold."""
-    folded = durable(stratified_folds(df, key, folds=folds, seed=seed))
+    folded = durable(stratified_folds(df, key, folds=folds, seed=seed, order_key=order_key, bucket=bucket))
     parts = None
     for i in range(folds):
         model = estimator.fit(folded.where(F.col("fold") != i))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,21 +12,61 @@ from saleslens import schemas as S
 from saleslens.operators.merge import apply_status_changes
 
 
+def _outcome() -> Column:
+    known = [o for o in S.OUTCOMES if o != "other"]
+    return F.when(F.col("outcome").isin(known), F.col("outcome")).otherwise("other")
+
+
 def contact_counts(contacts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Contacts per day and outcome from a stream; rows later than ``delay`` are left out.
 
-    State is one count per open day and outcome.
+    State is one count per open day and outcome. In ``append`` and ``update`` mode the watermark
+    frees it; ``complete`` mode keeps all of it. ``count_contacts`` keeps count of the late rows too.
     """
-    known = [o for o in S.OUTCOMES if o != "other"]
-    outcome = F.when(F.col("outcome").isin(known), F.col("outcome")).otherwise("other")
     return (
         contacts.withWatermark("contacted_at", delay)
-        .groupBy(F.window("contacted_at", "1 day").alias("w"), outcome.alias("outcome"))
+        .groupBy(F.window("contacted_at", "1 day").alias("w"), _outcome().alias("outcome"))
         .agg(F.count("*").alias("n"))
         .select(F.to_date(F.col("w")["start"]).alias("date"), "outcome", "n")
     )
 
 
+def count_contacts(contacts: DataFrame, folder: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Count each batch per day and outcome, with ``late`` for rows older than the batches before allow.
+
+    Batch ``n`` writes its counts to ``<folder>/counts/batch=n`` and the latest time up to it to
+    ``<folder>/marks/batch=n``, so it may be run again. A row is late if it is more than ``delay``
+    older than the latest time of the batches before; a row without a time counts under no date.
+    ``counted`` sums the batches.
+    """
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counts = f"{folder}/counts/batch={batch_id}"
+        mark = None
+        if batch_id > 0:
+            mark = spark.read.schema("mark timestamp").parquet(f"{folder}/marks/batch={batch_id - 1}").first()["mark"]
+        limit = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col("contacted_at") < limit, F.lit(False))
+        summed = batch.groupBy(F.to_date("contacted_at").alias("date"), _outcome().alias("outcome"), late.alias("late")).agg(
+            F.count("*").alias("n"), F.max("contacted_at").alias("_latest"))
+        summed.write.mode("overwrite").parquet(counts)
+        newest = spark.read.schema(summed.schema).parquet(counts).agg(
+            F.greatest(F.max("_latest"), F.lit(mark).cast("timestamp")).alias("mark"))
+        newest.write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+
+    return (
+        contacts.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def counted(spark: SparkSession, folder: str) -> DataFrame:
+    """(date, outcome, late, n) over all batches that ``count_contacts`` has written."""
+    parts = spark.read.schema("date date, outcome string, late boolean, n bigint").parquet(f"{folder}/counts")
+    return parts.groupBy("date", "outcome", "late").agg(F.sum("n").alias("n"))
+
+
 def apply_status_stream(changes: DataFrame, read_clients: Callable[[int], DataFrame], folder: str,
                         checkpoint: str) -> StreamingQuery:
     """Apply each batch of changes to the client snapshot before it.

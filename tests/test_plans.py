@@ -8,6 +8,7 @@ from saleslens.plans import features as FE
 from saleslens.plans import matrices as MX
 from saleslens.plans import scoring as SC
 from saleslens.plans import training as TR
+from saleslens.plans.bundle import final_model, load_bundle
 from saleslens.operators import evaluation as E
 
 D = dt.date
@@ -115,3 +116,25 @@ def test_save_load_score_merge(matrix, spark, tmp_path):
     merged = SC.score_and_merge(loaded, matrix, stored, threshold, "2024-01-01")
     assert merged.count() == 81 and merged.where("user_id = 'gone'").first()["probability"] == 0.2
     assert E.class_balance(ready).count() == 2
+
+
+def test_bundle_scores_a_later_batch_as_before(tables, tmp_path):
+    people, products, spend = tables
+    bundle, report = final_model(FE.default_base(*tables), TR.boosted_trees(maxIter=2))
+    assert report.where("threshold = 0.5").count() == 5
+    bundle.save(str(tmp_path))
+    loaded = load_bundle(str(tmp_path))
+    assert loaded.threshold == bundle.threshold and loaded.features.scaler == bundle.features.scaler
+    later = FE.default_base(people.where("age < 30"), products, spend)
+    full = bundle.score(FE.default_base(*tables), "2024-01-01")
+    again = loaded.score(later, "2024-01-01")
+    assert again.count() == later.count() and again.exceptAll(full).isEmpty()
+
+
+def test_boosted_trees_find_an_informative_feature(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 3 == 0).alias("insurance"),
+                                 (F.col("id") % 3).alias("tells"), F.rand(3).alias("noise"))
+    rows = TR.assembled(df, ["tells", "noise"])
+    for estimator in (TR.boosted_trees(maxIter=5), TR.random_forest(numTrees=5)):
+        got = E.metrics(TR.scored(estimator.fit(rows.where("user_id % 2 = 0")), rows.where("user_id % 2 = 1"))).first()
+        assert got["accuracy"] > 0.95

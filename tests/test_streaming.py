@@ -1,7 +1,7 @@
 import datetime as dt
 
 from saleslens import schemas as S
-from saleslens.streaming.contacts import apply_status_stream, contact_counts
+from saleslens.streaming.contacts import apply_status_stream, contact_counts, count_contacts, counted
 
 T = dt.datetime
 
@@ -42,3 +42,19 @@ def test_late_contacts_are_left_out(spark, tmp_path):
     query.stop()
     got = {(str(r["date"]), r["outcome"]): r["n"] for r in spark.table("late_contacts").collect()}
     assert got == {("2024-01-01", "success"): 1, ("2024-01-01", "other"): 1}
+
+
+def test_late_contacts_are_counted(spark, tmp_path):
+    schema = "id long, client_id long, contacted_at timestamp, outcome string"
+    incoming = f"{tmp_path}/in"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(incoming)
+        count_contacts(spark.readStream.schema(schema).parquet(incoming), f"{tmp_path}/out", f"{tmp_path}/log", "2 days").awaitTermination()
+
+    run([(1, 1, T(2024, 1, 9), "success"), (2, 1, T(2024, 1, 1), "martian"), (3, 1, None, "success")])
+    run([(4, 1, T(2024, 1, 1, 5), "success"), (5, 1, T(2024, 1, 8), "success"), (6, 1, None, "success")])
+    run([(7, 1, T(2024, 1, 6), "success")])
+    got = {(str(r["date"]), r["outcome"], r["late"]): r["n"] for r in counted(spark, f"{tmp_path}/out").collect()}
+    assert got == {("2024-01-09", "success", False): 1, ("2024-01-01", "other", False): 1, ("None", "success", False): 2,
+                   ("2024-01-01", "success", True): 1, ("2024-01-08", "success", False): 1, ("2024-01-06", "success", True): 1}
