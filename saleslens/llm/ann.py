@@ -6,6 +6,9 @@ and its number there. A query looks through the blocks within a window around it
 curve, the best candidates of all windows are merged, and they are ranked by their exact inner
 product on the original vectors.
 
+Equal vectors are one place on the curves: the row with the smallest vec_id stands for them in the
+search, and the groups found are taken apart into their rows afterwards.
+
 The window is fitted: for a bounded sample of queries, true neighbours are found by brute force and
 the window is made wide enough for the wanted recall. Neighbours that are close lie close on the
 curves and need narrow windows at every size. Where vectors have no structure (neighbours hardly
@@ -129,22 +132,24 @@ def ordered(rows: DataFrame, width: int, curves: int, dimensions: int, bits: int
             .join(rows, "vec_id").select("curve", "place", "vec_id", "v"))
 
 
-def best_of(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of the k best rows for every query, apart from itself; ties to the smaller vec_id."""
+def best_of(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score, slack of all rows that may be among the k best for a query, apart from itself.
+
+    The last bits of a product depend on the order of addition; no order takes it further from ``score`` than ``slack``.
+    """
     q, v = _matrix(queries.column("v")), _matrix(rows.column("v"))
     qi, vi = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
     out = []
-    order = np.argsort(vi, kind="stable")
-    v, vi = v[order], vi[order]
+    q_norm, v_norm = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     for lo in range(0, len(q), 256):
         s = np.einsum("ij,kj->ik", q[lo:lo + 256], v, optimize=True)
         s[vi[None, :] == qi[lo:lo + 256, None]] = -np.inf
+        slack = 4 * np.finfo(float).eps * v.shape[1] * q_norm[lo:lo + 256, None] * v_norm[None, :]
         m = min(k, s.shape[1])
-        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-        # a margin, as the last bits of a product depend on the order of addition
-        a, b = np.nonzero((s >= least[:, None] - 1e-9) & np.isfinite(s))
-        out.append((qi[lo + a], vi[b], s[a, b]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = -np.partition(slack - s, m - 1, axis=1)[:, m - 1]
+        a, b = np.nonzero((s + slack >= least[:, None]) & np.isfinite(s))
+        out.append((qi[lo + a], vi[b], s[a, b], slack[a, b]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
 def scan(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -154,19 +159,28 @@ def scan(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and held.num_rows:
-                a, b, s = best_of(held, pa.table([batch.column(0), batch.column(1)], names=["vec_id", "v"]), k)
+                a, b, s, _ = best_of(held, pa.table([batch.column(0), batch.column(1)], names=["vec_id", "v"]), k)
                 yield pa.record_batch([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query's candidates, each counted once."""
+    """query_id, rank, vec_id, score: the k best of each query's candidates, each counted once; ties to the smaller vec_id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = candidates.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def within_reach(candidates: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id: each query's candidates that may be among its k best once scores are exact, however many there are."""
+    once = candidates.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("slack").alias("slack"))
+    low, own = F.col("score") - F.col("slack"), Window.partitionBy("query_id")
+    placed = once.withColumn("low", low).withColumn("n", F.row_number().over(own.orderBy(F.desc("low"))))
+    least = F.max(F.when(F.col("n") == k, F.col("low"))).over(own)
+    return placed.withColumn("least", least).filter("least is null or score + slack >= least").select("query_id", "vec_id")
+
+
 def exact(candidates: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
     """The candidates' scores as sums in the order of the components, in double precision."""
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -192,6 +206,13 @@ def fit_window(index: DataFrame, queries: DataFrame, rows: DataFrame, k: int, fi
     return int(np.quantile(got, wanted)) + 1 if got else 1
 
 
+def grouped(rows: DataFrame, most: int) -> DataFrame:
+    """group, vec_id, v: the ``most`` smallest vec_ids of each group of equal vectors; group is the smallest of all."""
+    same = Window.partitionBy("v")
+    first = rows.withColumn("n", F.row_number().over(same.orderBy("vec_id"))).filter(F.col("n") <= most)
+    return first.withColumn("group", F.min("vec_id").over(same)).select("group", "vec_id", "v")
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS,
             block: int = BLOCK, fitted: int = FITTED, wanted: float = WANTED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id is divisible by ``every``.
@@ -205,24 +226,31 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES
     if head is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == head.w)
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    index = stored(ordered(rows, head.w, curves, dimensions, bits))
-    reach = fit_window(index, queries, rows, k, fitted, wanted)
+    members = stored(grouped(rows, k + 1))
+    groups = members.filter(F.col("vec_id") == F.col("group")).select("vec_id", "v")
+    asking = stored(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+                    .join(groups.withColumnRenamed("vec_id", "group"), "v").select("query_id", "group"))
+    queries = stored(groups.join(asking.select(F.col("group").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    index = stored(ordered(groups, head.w, curves, dimensions, bits))
+    reach = fit_window(index, queries, groups, k, fitted, wanted)
     block = min(max(block, reach), MOST_IN_BLOCK)
     place = F.col("place")
     index = index.withColumn("block", F.floor(place / block))
-    asked = index.filter(F.col("vec_id") % every == 0).drop("block").select("curve", "vec_id", "v", F.explode(F.sequence(
+    asked = index.join(queries.select("vec_id"), "vec_id", "left_semi").select(*(F.col(c).alias(c) for c in ("curve", "vec_id", "v")), F.explode(F.sequence(
         F.floor(F.greatest(place - reach, F.lit(0)) / block), F.floor((place + reach) / block))).alias("block"))
 
     def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            a, b, s, slack = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         else:
-            a, b, s = best_of(left, right, k)
-        return pa.table([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
+            a, b, s, slack = best_of(left, right, k)
+        return pa.table([pa.array(a), pa.array(b), pa.array(s), pa.array(slack)], names=["query_id", "vec_id", "score", "slack"])
 
     found = asked.groupBy("curve", "block").cogroup(index.select("curve", "block", "vec_id", "v").groupBy("curve", "block")).applyInArrow(
-        look, "query_id long, vec_id long, score double")
-    # a few more than k, so that ties in the last bits are settled on exact scores
-    near = ranked(found, k + 12).select("query_id", "vec_id")
-    return ranked(exact(near, queries, rows), k)
+        look, "query_id long, vec_id long, score double, slack double")
+    # copies of the query are its neighbours too; k other groups hold k rows at least
+    near = within_reach(found, k).union(queries.select(F.col("vec_id").alias("query_id"), "vec_id"))
+    best = ranked(exact(near, queries, groups), k + 1).select("query_id", F.col("vec_id").alias("group"), "score")
+    each = ranked(best.join(members.select("group", "vec_id"), "group"), k + 1).select(F.col("query_id").alias("group"), "vec_id", "score")
+    # one row more than k, as a query's own row is among them at most once
+    return ranked(asking.join(each, "group").filter("vec_id <> query_id"), k)

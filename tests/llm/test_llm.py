@@ -435,6 +435,35 @@ def test_nearest_neighbours_recall(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_copies_give_their_smallest_ids(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2400, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    kind = rng.choice(4, 2400, p=[0.5, 0.3, 0.15, 0.05])  # 0: a vector of its own, otherwise one of three groups of copies
+    near = np.flatnonzero((kind == 0) & (np.arange(2400) % 20 == 0))[:20]
+    for c in (1, 2, 3):
+        x[kind == c] = x[np.flatnonzero(kind == c)[0]]
+    x[near] = x[kind == 2][0] + 0.01 * x[near]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in ann.nearest(table, block=32, wanted=0.3).collect():  # groups are wider than the window
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == list(range(0, 2400, 20))
+    for c in (1, 2, 3):
+        ids = np.flatnonzero(kind == c).tolist()
+        for q in set(ids) & set(got):
+            found = [v for _, v in sorted(got[q])]
+            others = [i for i in ids if i != q][:20]
+            if c != 2:  # apart from those beside the second group, nothing is as near as a copy
+                assert found == others, q
+    for q in near.tolist():
+        found = [v for _, v in sorted(got[q])]
+        copies = [v for v in found if kind[v] == 2]
+        assert copies == np.flatnonzero(kind == 2)[:len(copies)].tolist()
+        exact = sorted((-sum((a * b for a, b in zip(x[q].tolist(), x[i].tolist())), 0.0), i) for i in range(2400) if i != q)
+        assert found == [i for _, i in exact[:20]]
+
+
 def test_hilbert_curve_is_continuous():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     key = ann.hilbert(cells, 3)
