@@ -36,6 +36,9 @@ TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd figcaption bloc
 _WALLS = frozenset("html body table td th article section div main aside nav header footer ul ol dl form blockquote figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]*)[^;!]*(!\s*important)?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -50,6 +53,27 @@ class Node:
     hidden: bool = False
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of an opening tag's attributes; the first of a name counts, as in browsers."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), entities.unescape("".join(values)))
+    return out
+
+
+def is_hidden(raw: str) -> bool:
+    """Whether an element with these attributes is not shown: hidden, aria-hidden with value true, or display none in its style."""
+    low = raw.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    own = attributes(raw)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    said = _DISPLAY.findall(_COMMENT.sub("", own.get("style", "").lower()))
+    # the last declaration counts, those marked important before others
+    return bool(said) and ([x for x in said if x[1]] or said)[-1][0] == "none"
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; a parent comes before its children. Broken markup closes as browsers close it."""
     nodes = [Node("#root", -1)]
@@ -90,7 +114,7 @@ def parse(page: str) -> list[Node]:
         while ended and nodes[open_[-1]].tag in ended:
             open_.pop()
         marks = " ".join(a or b or c for a, b, c in _MARKS.findall(m[3])).lower()
-        nodes.append(Node(tag, open_[-1], marks=marks, hidden=tag in RAW or bool(re.search(r"\bhidden\b|display\s*:\s*none", m[3], re.I))))
+        nodes.append(Node(tag, open_[-1], marks=marks, hidden=tag in RAW or is_hidden(m[3])))
         nodes[open_[-1]].children.append(len(nodes) - 1)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)

@@ -300,6 +300,21 @@ def test_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_only_hidden_elements_are_dropped():
+    shown = ['class="overflow-hidden"', 'aria-hidden="false"', "data-hidden", 'title="The hidden valley"', "title='a hidden b'", 'data-style="display:none"',
+             'title="display: none"', 'style="--display:none"', 'style="display:none;display:block"', 'style="overflow:hidden"', 'style="/* display:none */"',
+             'style="visibility:visible" class=hidden', "id=hidden/", 'href="/hidden-gems"', "aria-hidden", "title=hidden"]
+    gone = ["hidden", 'HIDDEN=""', 'class="a"hidden', "hidden=until-found", 'aria-hidden="true"', "ARIA-HIDDEN=true", 'style="display:none"', "style='color:red; DISPLAY : none !important'",
+            "style=display:none", 'style="display:none!important;display:block"', 'style="display&#58;none"', 'title="x>y" hidden', 'style="display:block;display:none"']
+    for raw, want in [(r, False) for r in shown] + [(r, True) for r in gone]:
+        assert html_extract.parse(f"<div {raw}>x</div>")[1].hidden == want, raw
+    model = html_extract.train(html_extract.labelled_pages())
+    article = PAGE.replace("<article>", '<div class="overflow-hidden"><article>').replace("</article>", "</article></div>")
+    link = PAGE.replace('<a href="/x">', '<a href="/hidden-gems" title="The hidden valley">')
+    want = html_extract.main_text(PAGE, model)
+    assert "Adjoined link" in want and html_extract.main_text(article, model) == want == html_extract.main_text(link, model)
+
+
 def test_marginals_against_all_labellings():
     model = html_extract.train(html_extract.labelled_pages(60))
     nodes = html_extract.parse("<body><nav><a>x</a></nav><article><p>some words here</p></article></body>")
