@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
-from saleslens.llm.common import stored, table
+from saleslens.llm.common import row_digest, stored, table
 
 #: Words that a text must keep after removal of repeats, unless nothing was removed from it.
 LEAST_WORDS = 1
@@ -28,15 +28,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near-duplicates."""
+    """Keeps one row of each component of near-duplicates: that with the smallest id, rows without id last."""
     return simhash.one_of_each(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``__row``, in the order of their ids; rows without id come last, equal ids in the order of a digest.
+
+    Numbers are ids themselves where these are whole numbers and each row has its own.
+    """
+    if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and not (
+            docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1)):
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), *row_digest(docs, ["doc_id", "text"]), *row_digest(docs, docs.columns)]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(docs.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; a document of which nothing is left goes. n_chars follows the text."""
-    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text"), texts=True).filter(
+    """Takes repeated passages out of the texts; a document of which nothing is left goes. n_chars follows the text.
+
+    Every row is a document of its own, also without id or with the id of another.
+    """
+    rows = numbered(docs)
+    kept = substring_dedup.remove_repeats(rows.select(F.col("__row").alias("doc_id"), "text"), texts=True).filter(
         "n_removed > 0").select(F.col("doc_id").alias("__cut_id"), F.col("kept").alias("__kept"), (F.col("n_words") - F.col("n_removed")).alias("__left"))
-    joined = docs.join(kept, docs["doc_id"] == kept["__cut_id"], "left").filter(F.col("__left").isNull() | (F.col("__left") >= LEAST_WORDS))
+    joined = rows.join(kept, rows["__row"] == kept["__cut_id"], "left").filter(F.col("__left").isNull() | (F.col("__left") >= LEAST_WORDS))
     text = F.when(F.col("__cut_id").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:

@@ -45,6 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_digest(rows: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """128 bits over the named columns, where a null is a value of its own. Maps, which have no order, are left out."""
+    parts = [x for c in columns if "map<" not in rows.schema[c].dataType.simpleString() for x in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

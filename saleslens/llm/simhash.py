@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import connected, flat_texts, stored
+from saleslens.llm.common import connected, flat_texts, row_digest, stored
 
 SHINGLE = 4
 RADIUS = 2
@@ -205,7 +205,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with all columns."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi")
+    """One row of each component, with all columns: the one with the smallest id, among equal ids that with the smallest digest of id and text.
+
+    Rows without doc_id come last, so one of them stays only where its component has no id. Of rows
+    alike in id and text one stays.
+    """
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_digest(docs, ["doc_id", "text"]), strict=True)))
+    own = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), "__k1", "__k2")
+    found = near_duplicates(keyed.select(own.alias("doc_id"), "text")).filter(F.col("doc_id") == F.col("component_id"))
+    kept = stored(found.groupBy(F.col("doc_id.__k1").alias("__k1"), F.col("doc_id.__k2").alias("__k2")).agg(F.count("*").alias("__n")))
+    once = keyed.join(kept.filter("__n = 1").select("__k1", "__k2"), ["__k1", "__k2"], "left_semi").select(docs.columns)
+    if not kept.filter("__n > 1").head(1):
+        return once
+    first = Window.partitionBy("__k1", "__k2").orderBy(*row_digest(docs, [c for c in docs.columns if c not in ("doc_id", "text")]))
+    several = keyed.join(kept.filter("__n > 1").select("__k1", "__k2"), ["__k1", "__k2"], "left_semi")
+    return once.union(several.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(docs.columns))

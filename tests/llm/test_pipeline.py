@@ -74,3 +74,28 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
     clash = docs.withColumn("__cut_id", F.lit(1)).limit(5)
     assert corpus_pipeline.drop_test_items(spark, clash, path).count() <= 5
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "byte_bpe"]
+
+
+def test_rows_without_and_with_repeated_ids(spark, folder):
+    path, _, items, _ = folder
+    rng = random.Random(33)
+    passage = prose(rng, 60)
+    own = [prose(rng, 50) for _ in range(8)]
+    rows = [(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (None, own[3]), (None, own[0]), (2, own[4]), (2, own[4]), (3, own[4]),
+            (5, f"{own[5]} {passage}"), (5, f"{own[6]} {passage}"), (None, f"{own[7]} {passage}"), (None, own[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, path)
+    want = sorted([(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (2, own[4]), *rows[9:]], key=str)
+    assert sorted(((r.doc_id, r.text) for r in once.collect()), key=str) == want and once.columns == docs.columns
+    cut = corpus_pipeline.cut_repeats(spark, once, path)
+    assert cut.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in cut.collect()), key=str)
+    plain = [(i, t) for i, t in want if passage not in t and t != own[7]]
+    assert [(i, t) for i, t, _ in got if (i, t) in plain] == plain
+    rest = [x[:2] for x in got if x[:2] not in plain]
+    # the first of the rows with id 5 keeps the passage; of the two rows without id one keeps the text that both have
+    assert sorted(t for i, t in rest if i == 5) in (sorted([own[5], rows[10][1]]), sorted([own[6], rows[9][1]]))
+    assert [t for i, t in rest if i is None] == [own[7]] and all(n == len(t) for _, t, n in got)
+    again = docs.limit(0).union(docs.filter("doc_id is null and text = '" + own[3] + "'"))
+    assert corpus_pipeline.drop_near_duplicates(spark, again, path).count() == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.withColumn("doc_id", F.lit(None).cast("long")), path).count() == len({t for _, t in rows})
