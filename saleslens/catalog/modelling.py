@@ -211,8 +211,7 @@ def cross_validated(spark, sf_dir):
 @query("m07_random_search")
 def search(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
-    space = {"maxIter": [5, 10], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
-    found = TR.random_search(TR.boosted_trees(), df, space, n=2, folds=3)
+    found = TR.random_search(TR.boosted_trees(), df, parallelism=max(4, spark.sparkContext.defaultParallelism))
     rows = [(str({k.name: v for k, v in m.items()}), float(a)) for m, a in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
     return spark.createDataFrame(rows, "parametros string, roc_auc double")
 

@@ -138,3 +138,27 @@ def test_boosted_trees_find_an_informative_feature(spark):
     for estimator in (TR.boosted_trees(maxIter=5), TR.random_forest(numTrees=5)):
         got = E.metrics(TR.scored(estimator.fit(rows.where("user_id % 2 = 0")), rows.where("user_id % 2 = 1"))).first()
         assert got["accuracy"] > 0.95
+
+
+def test_registered_search_is_the_whole_one(spark, monkeypatch):
+    from saleslens.catalog import QUERIES
+
+    seen = {}
+
+    class Recorded:
+        def __init__(self, **settings):
+            seen.update(settings)
+            self.avgMetrics = [0.5] * len(settings["estimatorParamMaps"])
+
+        def fit(self, rows):
+            seen["rows"] = rows.groupBy("fold").count().count()
+            return self
+
+        def getEstimatorParamMaps(self):
+            return seen["estimatorParamMaps"]
+
+    monkeypatch.setattr(TR, "CrossValidator", Recorded)
+    out = QUERIES["m07_random_search"](spark, "/root/testdata/sf0.001").collect()
+    drawn = [{k.name: v for k, v in m.items()} for m in seen["estimatorParamMaps"]]
+    assert len(out) == len({r.parametros for r in out}) == 50 and seen["numFolds"] == 5 == seen["rows"] and seen["parallelism"] >= 4
+    assert all(m[k] in TR.SEARCH_SPACE[k] for m in drawn for k in TR.SEARCH_SPACE) and {m["maxIter"] for m in drawn} == {100, 200, 300}
