@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from saleslens.operators import ranks
 from saleslens.operators.evaluation import areas, confusion, metrics, stratified_folds
 from saleslens.operators.ranks import bucket_by_hash
 from saleslens.session import durable
@@ -153,13 +154,15 @@ def importances(model: Model, features: Sequence[str]) -> DataFrame:
 
 
 def permutation_importance(model_of: Callable[[DataFrame], DataFrame], table: DataFrame, features: Sequence[str],
-                           key: str = "user_id", seed: int = 42, bits: int = 10) -> DataFrame:
+                           key: str = "user_id", seed: int = 42, bits: int | None = None) -> DataFrame:
     """Loss of area when one feature at a time is exchanged between rows, largest loss first.
 
     ``model_of`` gives (label, score) for a table of features. Rows are spread over hash buckets;
     inside a bucket the values are handed out in another hash order and matched by row number, so
-    no order of all rows is needed.
+    no order of all rows is needed. Their number, two to the power of ``bits``, follows the number of rows.
     """
+    if bits is None:
+        bits = max(10, (-(-table.count() // ranks.ROWS_PER_BUCKET) - 1).bit_length())
     marked = durable(table.withColumn("_bucket", bucket_by_hash(F.xxhash64(F.col(key), F.lit(seed)), bits)))
     here = Window.partitionBy("_bucket").orderBy(F.col(key))
     outcomes = model_of(table).select(F.lit("").alias("feature"), "label", "score")

@@ -162,3 +162,14 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
     drawn = [{k.name: v for k, v in m.items()} for m in seen["estimatorParamMaps"]]
     assert len(out) == len({r.parametros for r in out}) == 50 and seen["numFolds"] == 5 == seen["rows"] and seen["parallelism"] >= 4
     assert all(m[k] in TR.SEARCH_SPACE[k] for m in drawn for k in TR.SEARCH_SPACE) and {m["maxIter"] for m in drawn} == {100, 200, 300}
+
+
+def test_permutation_buckets_follow_the_rows(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(TR, "bucket_by_hash", lambda hashed, bits: used.append(bits) or F.shiftright(hashed, 64 - bits))
+    table = spark.range(3000).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("double").alias("x"))
+    for rows in (200_000, 1):
+        monkeypatch.setattr("saleslens.operators.ranks.ROWS_PER_BUCKET", rows)
+        out = TR.permutation_importance(lambda t: t.select(F.col("x").alias("score"), (F.col("user_id").cast("int") % 2).alias("label")), table, ["x"])
+        assert out.first()["auc_loss"] > 0
+    assert used == [10, 12]
