@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import (ann, byte_bpe, decontaminate, html_extract, quality, sharding, simhash, substring_dedup,
-                           token_counts, toxicity)
+from saleslens.llm import (ann, byte_bpe, decontaminate, filter_audit, html_extract, quality, sharding, simhash,
+                           substring_dedup, token_counts, toxicity)
 from saleslens.llm.common import table
 from saleslens.session import scratch
 
 SHARDS = 40
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of these operators can be stated in the SQL of the comparison: hashes, automata, models and
-#: tokenizers are missing there. Tests compare them with brute force.
+#: Most of these operators can't be stated in the SQL of the comparison: hashes, automata, models and
+#: tokenizers are missing there. Tests compare those with brute force.
 SQL: dict[str, str] = {}
 
 
@@ -86,6 +86,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_filter_audit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = filter_audit.SQL
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
