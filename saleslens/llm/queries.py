@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.llm import (ann, byte_bpe, decontaminate, filter_audit, html_extract, quality, sharding, simhash,
-                           substring_dedup, token_counts, toxicity)
+                           substring_dedup, token_counts, token_files, toxicity)
 from saleslens.llm.common import table
 from saleslens.session import scratch
 
@@ -94,6 +94,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op11_filter_audit"] = filter_audit.SQL
 
 
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files and reads every document back from them."""
+    folder = scratch(spark)
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.digests(files, folder)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
