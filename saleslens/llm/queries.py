@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import (ann, byte_bpe, decontaminate, filter_audit, html_extract, quality, sharding, simhash,
-                           substring_dedup, token_counts, token_files, toxicity)
+from saleslens.llm import (ann, byte_bpe, collocations, decontaminate, filter_audit, html_extract, quality, sharding,
+                           simhash, substring_dedup, token_counts, token_files, toxicity)
 from saleslens.llm.common import table
 from saleslens.session import scratch
 
@@ -102,6 +102,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(files, folder)
 
 
+@query("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = collocations.SQL
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
