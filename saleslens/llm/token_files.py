@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import stored, text_or_empty, worker_memo
+from saleslens.llm.common import stored, text_chunks, text_or_empty, word_hashes, worker_memo
 from saleslens.operators.ranks import BUCKET, running_totals
 
 #: Id after each document, ids in a frame at most, bytes of text in a file, on average.
 END, FRAME_IDS, FILE_BYTES = 0, 1 << 18, 64 << 20
-#: Characters of a text that the tokenizer gets at once, about, and in one call.
-PIECE_CHARS, CALL_CHARS = 1 << 16, 1 << 20
+#: Pieces of text that a task remembers at most, about; bytes of pieces joined to one text, and texts of one call of the tokenizer.
+MEMO, BLOCK, CALL = 300_000, 1 << 16, 10_000
 # Magic numbers of skippable frames, of the seek table's frame and of its end; its flag for checksums.
 _INDEX, _TABLE, _END_MAGIC, _CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _DOCUMENT = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("frames", "<u4"), ("ids", "<u8")])
 FILES = "file string, number long, documents long, n_ids long, n_bytes long"
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -54,19 +54,6 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
 
 # -- encoding -------------------------------------------------------------------------------------
 
-def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
-    """A long text cut before single spaces between two other characters, where a byte-level tokenizer cuts it anyway."""
-    out, start = [], 0
-    while len(text) - start > most:
-        found = _SAFE.search(text, start + most)
-        if found is None:
-            break
-        out.append(text[start:found.start()])
-        start = found.start()
-    out.append(text[start:])
-    return out
-
-
 def tokenizer(path: str):
     held = worker_memo("file_tokenizer")
     if path not in held:
@@ -81,26 +68,100 @@ def tokenizer(path: str):
     return held[path]
 
 
-def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of every text as the library gives them, with the end id. Calls are bounded in characters, whatever the texts."""
-    encode = tokenizer(path).encode_batch_fast
-    parts = [(i, piece) for i, text in enumerate(texts) for piece in pieces(text)]
-    held: list[np.ndarray] = []
-    now, at = 0, 0
-    end = np.array([END], "<u4")
-    while at < len(parts):
-        size, upto = 0, at
-        while upto < len(parts) and (upto == at or size + len(parts[upto][1]) <= CALL_CHARS):
-            size += len(parts[upto][1])
-            upto += 1
-        for (i, _), found in zip(parts[at:upto], encode([p for _, p in parts[at:upto]], add_special_tokens=False), strict=True):
-            if i != now:
-                yield np.concatenate([*held, end])
-                held, now = [], i
-            held.append(np.array(found.ids, "<u4"))
-        at = upto
-    if texts:
-        yield np.concatenate([*held, end])
+def _cut_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes after which, and before which, a space may be cut at: not those that end or begin a white-space character."""
+    after, before = np.ones(256, bool), np.ones(256, bool)
+    for t in (after, before):
+        t[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = False
+    after[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+    before[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+    return after, before
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of all texts. A piece begins at a single space between two other characters, where the
+    pattern of a byte-level tokenizer cuts as well, so the pieces' ids in a row are the ids of the text."""
+    after, before = _cut_tables()
+    space = np.flatnonzero(data == 0x20)
+    space = space[(space > 0) & (space < len(data) - 1)]
+    space = space[after[data[space - 1]] & before[data[space + 1]]]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    return np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], space[~edge[space] & ~edge[space + 1]]]))
+
+
+class Encoder:
+    """Ids of texts as the library gives them. Each distinct piece is encoded once in a pass, and once for a while: pieces are
+    remembered by hash until there are ``MEMO`` of them."""
+
+    def __init__(self, path: str) -> None:
+        made = tokenizer(path)
+        self._encode = made.encode_batch_fast
+        #: Bytes of each token: those of a byte-level alphabet have a character for each byte.
+        self._bytes = np.zeros(made.get_vocab_size(), np.int64)
+        for token, i in made.get_vocab().items():
+            self._bytes[i] = len(token)
+        for i, token in made.get_added_tokens_decoder().items():
+            self._bytes[i] = len(token.content.encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known, self._first, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, "<u4")
+
+    def _of_blocks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number for pieces that may be joined to longer texts; where a piece ends follows from the bytes of
+        the tokens. None if the tokens' bytes are not those of the pieces (a tokenizer that changes the text)."""
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        joined = data[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1])].tobytes()
+        cut = np.unique(np.append(np.searchsorted(upto, np.arange(BLOCK, upto[-1], BLOCK)), len(upto) - 1))
+        edges = [0, *upto[cut].tolist()]
+        blocks = [joined[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self._encode(blocks, add_special_tokens=False)])
+        token_ends = np.cumsum(self._bytes[ids])
+        last = np.searchsorted(token_ends, upto)
+        if len(token_ends) == 0 or token_ends[-1] != upto[-1] or (token_ends[last] != upto).any():
+            return None
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _of_each(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = data.tobytes()
+        pieces = [whole[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        found = [x.ids for lo in range(0, len(pieces), CALL) for x in self._encode(pieces[lo:lo + CALL], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        after, _ = _cut_tables()
+        joins = (data[starts] == 0x20) & after[data[ends - 1]] & (ends - starts > 1)
+        for some, ways in ((joins, (self._of_blocks, self._of_each)), (~joins, (self._of_each,))):
+            if not some.any():
+                continue
+            ids, count = next(x for way in ways if (x := way(data, starts[some], ends[some])) is not None)
+            self._known, self._count = np.append(self._known, hashes[some]), np.append(self._count, count)
+            self._first = np.append(self._first, len(self._ids) + np.cumsum(count) - count)
+            self._ids = np.append(self._ids, ids)
+        order = np.argsort(self._known, kind="stable")
+        self._known, self._first, self._count = self._known[order], self._first[order], self._count[order]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of a column, and the end id after them."""
+        for _, _, data, offsets in text_chunks(texts):
+            starts = cuts(data, offsets)
+            ends = np.append(starts[1:], len(data)).astype(np.int64)
+            hashes, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            if len(self._known) > MEMO:
+                self._forget()
+            new = ~np.isin(hashes, self._known, assume_unique=True)
+            if new.any():
+                self._learn(hashes[new], data, starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self._known, hashes)[which]
+            counts = self._count[at]
+            upto = np.concatenate(([0], np.cumsum(counts)))
+            out = self._ids[np.repeat(self._first[at] - upto[:-1], counts) + np.arange(upto[-1])]
+            bounds = upto[np.searchsorted(starts, offsets)].tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield np.append(out[a:b], np.uint32(END))
 
 
 # -- the format ---------------------------------------------------------------------------------
@@ -198,10 +259,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, file_bytes: int = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, writer, out = TaskContext.get().partitionId(), None, None
+        number, writer, out, encoder = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc_id, found in zip(ids, encoded(batch.column(1).to_pylist(), tokenizer_path), strict=True):
+            if encoder is None:
+                encoder = Encoder(tokenizer_path)
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
                 if writer is None:
                     store, path = filesystem(folder)
                     store.create_dir(path, recursive=True)
