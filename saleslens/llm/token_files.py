@@ -37,8 +37,8 @@ from saleslens.operators.ranks import BUCKET, running_totals
 
 #: Id after each document, ids in a frame at most, bytes of text in a file, on average.
 END, FRAME_IDS, FILE_BYTES = 0, 1 << 18, 64 << 20
-#: Pieces of text that a task remembers at most, about; bytes of pieces joined to one text, and texts of one call of the tokenizer.
-MEMO, BLOCK, CALL = 300_000, 1 << 16, 10_000
+#: Pieces of text that a worker remembers at most, about; bytes of pieces joined to one text, and texts of one call of the tokenizer.
+MEMO, BLOCK, CALL = 1_000_000, 1 << 16, 10_000
 # Magic numbers of skippable frames, of the seek table's frame and of its end; its flag for checksums.
 _INDEX, _TABLE, _END_MAGIC, _CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
@@ -55,16 +55,21 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
 # -- encoding -------------------------------------------------------------------------------------
 
 def tokenizer(path: str):
-    held = worker_memo("file_tokenizer")
-    if path not in held:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
 
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker, with what it remembers; one at a time."""
+    held = worker_memo("file_encoder")
+    if path not in held:
         held.clear()
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        held[path] = made
+        held[path] = Encoder(path)
     return held[path]
 
 
@@ -91,8 +96,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts as the library gives them. Each distinct piece is encoded once in a pass, and once for a while: pieces are
-    remembered by hash until there are ``MEMO`` of them."""
+    """Ids of texts as the library gives them. Each distinct piece is encoded once in a pass, and once for a while: a Python
+    worker remembers pieces by hash until there are ``MEMO`` of them, about 40 MB, and begins anew."""
 
     def __init__(self, path: str) -> None:
         made = tokenizer(path)
@@ -107,7 +112,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._known, self._first, self._count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._ids = np.zeros(0, "<u4")
+        self._ids, self._used = np.zeros(1 << 16, "<u4"), 0
 
     def _of_blocks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and their number for pieces that may be joined to longer texts; where a piece ends follows from the bytes of
@@ -138,11 +143,14 @@ class Encoder:
             if not some.any():
                 continue
             ids, count = next(x for way in ways if (x := way(data, starts[some], ends[some])) is not None)
-            self._known, self._count = np.append(self._known, hashes[some]), np.append(self._count, count)
-            self._first = np.append(self._first, len(self._ids) + np.cumsum(count) - count)
-            self._ids = np.append(self._ids, ids)
-        order = np.argsort(self._known, kind="stable")
-        self._known, self._first, self._count = self._known[order], self._first[order], self._count[order]
+            upto = self._used + len(ids)
+            if upto > len(self._ids):
+                self._ids = np.concatenate([self._ids[:self._used], np.zeros(2 * upto - self._used, "<u4")])
+            self._ids[self._used:upto] = ids
+            at = np.searchsorted(self._known, hashes[some])
+            self._known, self._count = np.insert(self._known, at, hashes[some]), np.insert(self._count, at, count)
+            self._first = np.insert(self._first, at, self._used + np.cumsum(count) - count)
+            self._used = upto
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of a column, and the end id after them."""
@@ -259,11 +267,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, file_bytes: int = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, writer, out, encoder = TaskContext.get().partitionId(), None, None, None
+        number, writer, out = TaskContext.get().partitionId(), None, None
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(tokenizer_path)
-            for doc_id, found in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder(tokenizer_path)(batch.column(1)), strict=True):
                 if writer is None:
                     store, path = filesystem(folder)
                     store.create_dir(path, recursive=True)
