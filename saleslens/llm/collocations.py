@@ -1,15 +1,17 @@
-"""Collocated phrases by Toivonen's method: a sample proposes, full passes count exactly.
+"""Collocated phrases by Toivonen's method: a sample proposes, full passes count.
 
 1. A sample of the documents is mined with a lowered threshold. Its frequent phrases are the proposal.
-2. A pass over all documents counts exactly every phrase whose two parts (all but its last word, all
-   but its first) are proposed: that is the proposal together with its negative border, and all words.
+2. A pass over all documents counts every phrase whose two parts (all but its last word, all but its
+   first) are proposed: that is the proposal together with its negative border, and all words.
 3. Frequent phrases that were not proposed are failures of the border: phrases they are parts of have
    not been counted. A further pass counts what the frequent phrases found so far newly allow, and so
    on until a pass finds nothing new. Phrases have four words at most, so there are four such passes at most.
+4. A last pass counts the frequent phrases by their text.
 
-Tasks hold the proposal as a bitmap over hashes, of ``MOST_BITS`` bits at most whatever the data. Phrases
-that are not proposed but share a bit are counted as well, which costs time only: counts are kept by
-the phrase itself, and the threshold is applied to full counts. Everything after counting is joins on phrases.
+The passes before the last count hashes of 64 bits, so what they call frequent holds every phrase that
+is; the last one settles the counts by text, and the threshold is applied to those. Tasks hold the phrases
+that may grow as a bitmap over hashes, of ``MOST_BITS`` bits at most whatever the data; phrases that share a
+bit with one of them are counted as well, which costs time only. Everything after counting is joins on phrases.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslens.llm.common import chunks, flat_texts, lower_ascii, mixed, stored, text_or_empty, word_bounds, word_hashes
@@ -28,7 +31,9 @@ LONGEST, LEAST, MOST_PER_LANG = 4, 30, 2000
 #: One document of so many is in the sample; a phrase is proposed from so many occurrences there.
 SAMPLE, SAMPLE_LEAST = 8, 2
 #: Bits of the bitmap of a proposal at most (16 MB), bits of one piece of it, and bytes of text in an array pass.
-MOST_BITS, PIECE_BITS, PASS_BYTES = 27, 19, 3 << 20
+MOST_BITS, PIECE_BITS, PASS_BYTES = 27, 19, 1 << 20
+#: Rows that a task hands over at once.
+ROWS = 50_000
 #: A longer phrase with so many parts of a phrase's occurrences, in fifths, makes it redundant.
 REDUNDANT_FIFTHS = 4
 _RADIX = np.uint64(0x9FB21C651E98DF25)
@@ -60,16 +65,16 @@ class Words:
             self.goes_on[:-1] = (before[self.starts[1:]] == before[self.ends[:-1]]) & (self.text[1:] == self.text[:-1])
         self.hashes = mixed(word_hashes(self.data, self.starts, self.ends) + salts[self.lang]) if n else np.zeros(0, np.uint64)
 
-    def levels(self, keep=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def levels(self, keep=None, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, first words, hashes) of the phrases, from single words up.
 
-        ``keep`` tells from hashes which phrases may be parts of longer ones; without it all may.
+        ``keep`` tells from length and hashes which phrases may be parts of longer ones; without it all may.
         """
         at, h = np.arange(len(self.hashes)), self.hashes
         yield 1, at, h
-        for n in range(2, LONGEST + 1):
+        for n in range(2, longest + 1):
             if keep is not None:
-                kept = keep(h)
+                kept = keep(n - 1, h)
                 at, h = at[kept], h[kept]
             # The part without the first word begins one word later and must be kept too.
             pair = np.flatnonzero((np.diff(at) == 1) & self.goes_on[at[:-1] + n - 2]) if n == 2 else np.flatnonzero(np.diff(at) == 1)
@@ -150,61 +155,64 @@ def bitmap_of(proposed: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     return out
 
 
-def proposal(texts: DataFrame, least: int = SAMPLE_LEAST) -> DataFrame:
-    """Hashes ``h`` of the phrases with ``least`` occurrences or more in the texts given."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _ in _of(batches):
-            for _, _, h in words.levels():
-                found, n = np.unique(h, return_counts=True)
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
+def proposal(texts: DataFrame, least: int = SAMPLE_LEAST, most_bits: int = MOST_BITS) -> DataFrame:
+    """Hashes ``h`` of the phrases with ``least`` occurrences or more in the texts given; long ones are looked for among those whose pairs have as many."""
+    def counted(sizes: range, pairs: Broadcast | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep = None if pairs is None else lambda n, h: _holds(pairs.value, h) if n <= 2 else np.ones(len(h), bool)
+            for words, _ in _of(batches):
+                for n, _, h in words.levels(keep, sizes[-1]):
+                    if n in sizes:
+                        found, c = np.unique(h, return_counts=True)
+                        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+        sums = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        return stored(sums.filter(F.col("c") >= least).select("h"))
+
+    short = counted(range(1, 3), None)
+    return short.union(counted(range(3, LONGEST + 1), texts.sparkSession.sparkContext.broadcast(bitmap_of(short, most_bits))))
 
-    counted = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return stored(counted.filter(F.col("c") >= least).select("h"))
 
+# -- counts ----------------------------------------------------------------------------------------
+
+def _tagged(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes with the length of their phrases in the last two bits. The leading bits name the place in a bitmap."""
+    return (h & ~np.uint64(3) | np.uint64(size - 1)).view(np.int64)
 
-# -- exact counts ----------------------------------------------------------------------------------
 
 def count_pass(texts: DataFrame, bitmaps: Sequence[np.ndarray], least: int) -> DataFrame:
-    """lang, size, h, phrase, f of the frequent phrases that the last bitmap allows and none before it did.
+    """Tagged hashes ``h`` of the frequent phrases among those that the last bitmap allows and none before it did.
 
-    The first pass also counts all words, and gives the number of words of each language as a phrase of size 0.
+    The first pass also counts all words.
     """
-    spark = texts.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in bitmaps]
+    shared = [texts.sparkSession.sparkContext.broadcast(b) for b in bitmaps]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *earlier, now = [b.value for b in shared]
-
-        def rows(words: Words, names: pa.Array, n: int, at: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([names.take(pa.array(words.lang[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64)),
-                                    words.phrases(at, n), pa.array(c.astype(np.int64))], names=["lang", "size", "h", "phrase", "c"])
-
-        for words, names in _of(batches):
-            done = [{n: at for n, at, _ in words.levels(lambda h, b=b: _holds(b, h))} for b in earlier]
-            for n, at, h in words.levels(lambda h: _holds(now, h)):
+        for words, _ in _of(batches):
+            done = [{n: at for n, at, _ in words.levels(lambda _, h, b=b: _holds(b, h))} for b in earlier]
+            for n, at, h in words.levels(lambda _, h: _holds(now, h)):
                 if n == 1 and earlier:
                     continue
-                if n == 1:
-                    c = np.bincount(words.lang, minlength=len(names))
-                    yield pa.record_batch([names, pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)),
-                                           pa.array([""] * len(names), pa.string()), pa.array(c.astype(np.int64))], names=["lang", "size", "h", "phrase", "c"])
                 for d in done:
-                    new = ~np.isin(at, d[n], assume_unique=True)
-                    at, h = at[new], h[new]
-                found, first, c = np.unique(h, return_index=True, return_counts=True)
-                if len(found):
-                    yield rows(words, names, n, at[first], found, c)
-
-    counted = texts.mapInArrow(run, "lang string, size int, h long, phrase string, c long").groupBy(
-        "lang", "size", "h", "phrase").agg(F.sum("c").alias("f"))
-    out = stored(counted.filter((F.col("f") >= least) | (F.col("size") == 0)))
+                    h, at = (x[~np.isin(at, d[n], assume_unique=True)] for x in (h, at))
+                found, c = np.unique(_tagged(h, n), return_counts=True)
+                yield pa.record_batch([pa.array(found), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+    counted = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    out = stored(counted.filter(F.col("c") >= least).select("h"))
     for b in shared:
         b.unpersist()
     return out
 
 
+def _growing(found: DataFrame) -> DataFrame:
+    """The phrases that may be parts of longer ones."""
+    return found.filter(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)
+
+
 def _any_not_in(bitmap: np.ndarray, found: DataFrame) -> bool:
-    """Whether any frequent phrase that can be a part of a longer one has no bit."""
+    """Whether any phrase that may be a part of a longer one has no bit."""
     shared = found.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +220,44 @@ def _any_not_in(bitmap: np.ndarray, found: DataFrame) -> bool:
             out = ~_holds(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             yield pa.record_batch([pa.array([int(out.sum())], pa.int64())], names=["n"])
 
-    n = found.filter(F.col("size").between(1, LONGEST - 1)).select("h").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
-    return bool(n)
+    return bool(_growing(found).mapInArrow(run, "n long").agg(F.sum("n")).first()[0])
+
+
+def count_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """lang, size, phrase, f of the phrases in the bitmap, and the number of words of each language as a phrase of size 0."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    names = ["lang", "size", "phrase", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs in _of(batches):
+            c = np.bincount(words.lang, minlength=len(langs))
+            yield pa.record_batch([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.array(c.astype(np.int64))], names=names)
+            for n, at, h in words.levels(lambda _, h: _holds(shared.value, h)):
+                kept = _holds(shared.value, h)
+                _, first, c = np.unique(h[kept], return_index=True, return_counts=True)
+                at = at[kept][first]
+                for lo in range(0, len(at), ROWS):
+                    some = at[lo:lo + ROWS]
+                    yield pa.record_batch([langs.take(pa.array(words.lang[some])), pa.array(np.full(len(some), n, np.int32)), words.phrases(some, n),
+                                           pa.array(c[lo:lo + ROWS].astype(np.int64))], names=names)
+
+    counted = texts.mapInArrow(run, "lang string, size int, phrase string, c long")
+    return counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"))
 
 
 def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEAST,
              most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """lang, size, h, phrase, f of all phrases of up to four words with ``least`` occurrences, and the number of full passes it took.
+    """lang, size, phrase, f of all phrases of up to four words with ``least`` occurrences, and the number of passes until closed.
 
     Both tables have the columns lang and text; ``sample`` decides the number of passes, never the result.
     """
-    bitmaps = [bitmap_of(proposal(sample, sample_least), most_bits)]
-    passes = [count_pass(texts, bitmaps, least)]
-    found = passes[0]
-    while _any_not_in(bitmaps[-1], found):
-        bitmaps.append(bitmap_of(found.filter(F.col("size").between(1, LONGEST - 1)).select("h"), most_bits))
-        passes.append(count_pass(texts, bitmaps, least))
-        found = reduce(DataFrame.union, passes)
-    return found, len(passes)
+    bitmaps = [bitmap_of(proposal(sample, sample_least, most_bits), most_bits)]
+    found = [count_pass(texts, bitmaps, least)]
+    while _any_not_in(bitmaps[-1], reduce(DataFrame.union, found)):
+        bitmaps.append(bitmap_of(_growing(reduce(DataFrame.union, found)), most_bits))
+        found.append(count_pass(texts, bitmaps, least))
+    counts = count_texts(texts, bitmap_of(reduce(DataFrame.union, found), most_bits))
+    return stored(counts.filter((F.col("f") >= least) | (F.col("size") == 0))), len(found)
 
 
 # -- scores ------------------------------------------------------------------------------------
