@@ -33,27 +33,22 @@ def monthly_by_category(transactions: DataFrame) -> DataFrame:
     )
 
 
-def monthly_base(transactions: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES) -> DataFrame:
-    """Counts and cents per customer and month, in total and per category.
+def by_month_and_category(monthly: DataFrame, categories_too: bool = True) -> DataFrame:
+    """Counts and cents per customer and month and, in rows of their own, per customer and category.
 
-    ``categories`` is the domain of the category column; rows outside it enter the totals only.
-    The rows are placed by customer once, which serves this grouping and all that follow it.
+    Both come from one placement by customer: each row is taken once for its month and once for its
+    category. Rows of months have ``_by_month`` and no category, rows of categories have no month.
     """
-    return base_of(monthly_by_category(transactions).repartition("user_id"), categories)
-
-
-def base_of(monthly: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES) -> DataFrame:
-    return (
-        monthly.groupBy("user_id", "mes")
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.sum("_priced").alias("_priced"),
-            F.coalesce(F.sum("_cents"), F.lit(0)).alias("_total"),
-            F.max("_last").alias("_last"),
-            *[F.coalesce(F.sum(F.when(_is(c), F.col("_n"))), F.lit(0)).alias(f"_n_{c}") for c in categories],
-            *[F.sum(F.when(_is(c), F.col("_cents"))).alias(f"_c_{c}") for c in categories],
-        )
-    )
+    month, category = F.col("mes"), F.col("merchant_category")
+    none = F.lit(None)
+    ways = [F.struct(F.lit(True).alias("by_month"), month.alias("mes"), none.cast("string").alias("category"))]
+    if categories_too:
+        ways.append(F.struct(F.lit(False).alias("by_month"), none.cast("date").alias("mes"), category.alias("category")))
+    placed = monthly.repartition("user_id").select("user_id", F.explode(F.array(*ways)).alias("_way"), "_n", "_priced", "_cents", "_last")
+    return placed.groupBy(
+        "user_id", F.col("_way.by_month").alias("_by_month"), F.col("_way.mes").alias("mes"), F.col("_way.category").alias("merchant_category"),
+    ).agg(F.sum("_n").alias("_n"), F.sum("_priced").alias("_priced"), F.sum("_cents").alias("_cents"),
+          F.coalesce(F.sum("_cents"), F.lit(0)).alias("_total"), F.max("_last").alias("_last"))
 
 
 def monthly_rollup(transactions: DataFrame) -> DataFrame:
@@ -67,9 +62,9 @@ def monthly_rollup(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _previous(column: str) -> Column:
+def _previous(column: str, *within: str) -> Column:
     """Value of the previous month that has transactions; months without any are not filled in."""
-    by_month = Window.partitionBy("user_id").orderBy("mes")
+    by_month = Window.partitionBy("user_id", *within).orderBy("mes")
     return F.lag(F.when(F.col("mes").isNotNull(), F.col(column))).over(by_month)
 
 
@@ -92,66 +87,60 @@ def _relative_change(variant: str) -> Column:
     return F.when(nothing, F.lit(0.0)).otherwise(change)
 
 
-def per_customer(base: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES,
-                 variant: str = "v12") -> DataFrame:
-    """Sum the monthly base to one row per customer, still in cents and counts."""
-    dated = F.col("mes").isNotNull()
+def per_customer(sums: DataFrame, categories: Sequence[str] = S.MERCHANT_CATEGORIES,
+                 variant: str = "v12", ties: str = "first") -> DataFrame:
+    """Sum the rows of months and categories to one per customer, still in cents and counts.
+
+    Favourites know every category there is; rows without one are left out. ``first`` takes the
+    first name in the alphabet on ties; ``joined`` names all of them and adds up their spend.
+    """
+    if ties not in ("first", "joined"):
+        raise ValueError("ties is 'first' or 'joined'")
+    month, category = F.col("_by_month"), F.col("merchant_category")
+    dated, named = month & F.col("mes").isNotNull(), ~month & category.isNotNull()
     # Same order as the lag, so one sort and one window serve all three.
-    whole = Window.partitionBy("user_id").orderBy("mes").rowsBetween(
+    whole = Window.partitionBy("user_id", "_by_month").orderBy("mes").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = sums.withColumns({
+        "_previous": _previous("_total", "_by_month"),
+        "_top_n": F.max(F.when(dated | named, F.col("_n"))).over(whole),
+        "_top_total": F.max(F.when(dated | named, F.col("_total"))).over(whole),
+    })
 
     def earliest_best(value: str) -> Column:
-        return F.min(F.when(F.col(value) == F.col(f"_top{value}"), F.col("mes")))
-
-    with_lag = base.withColumns({
-        "_previous": _previous("_total"),
-        "_top_n": F.max(F.when(dated, F.col("_n"))).over(whole),
-        "_top_total": F.max(F.when(dated, F.col("_total"))).over(whole),
-    })
-    return with_lag.groupBy("user_id").agg(
-        F.sum("_n").alias("_n"),
-        F.sum("_priced").alias("_priced"),
-        F.sum("_total").alias("_total"),
+        return F.min(F.when(dated & (F.col(value) == F.col(f"_top{value}")), F.col("mes")))
+
+    def favourite(value: str) -> Column:
+        winner = F.when(named & (F.col(value) == F.col(f"_top{value}")), category)
+        if ties == "first":
+            return F.min(winner)
+        return F.when(F.count(winner) > 0, F.array_join(F.array_sort(F.collect_list(winner)), " + "))
+
+    def of_months(value: str) -> Column:
+        return F.when(month, F.col(value))
+
+    def of_category(c: str, value: str) -> Column:
+        return F.sum(F.when(~month & _is(c), F.col(value)))
+
+    winners = F.lit(1) if ties == "first" else F.count_if(named & (F.col("_total") == F.col("_top_total")))
+    spend = F.when(named, F.col("_total").cast("double"))
+    return ranked.groupBy("user_id").agg(
+        F.sum(of_months("_n")).alias("_n"),
+        F.sum(of_months("_priced")).alias("_priced"),
+        F.sum(of_months("_total")).alias("_total"),
         F.count("mes").alias("_months"),
-        F.max("_last").alias("_last"),
+        F.max(of_months("_last")).alias("_last"),
         earliest_best("_n").alias("mes_mas_compras"),
         earliest_best("_total").alias("mes_mayor_monto"),
         F.sum(F.when(dated, F.col("_total"))).alias("_dated_total"),
         F.sum(F.when(dated, F.col("_n"))).alias("_dated_n"),
         F.sum(F.when(dated, F.col("_total") - F.col("_previous"))).alias("_change"),
-        F.avg(_relative_change(variant)).alias("variacion_mensual_promedio_pct"),
-        *[F.sum(f"_n_{c}").alias(f"_n_{c}") for c in categories],
-        *[F.sum(f"_c_{c}").alias(f"_c_{c}") for c in categories],
-    )
-
-
-def favourites(monthly: DataFrame, ties: str = "first") -> DataFrame:
-    """Favourite category by count and by amount, the spend in the latter, and the concentration, per customer.
-
-    ``monthly`` has rows per customer, month and category, whatever the categories are; rows without
-    one are left out. ``first`` takes the first name in the alphabet on ties; ``joined`` names all
-    of them and adds up their spend. A customer without any category has no row.
-    """
-    if ties not in ("first", "joined"):
-        raise ValueError("ties is 'first' or 'joined'")
-    whole = Window.partitionBy("user_id")
-    category = F.col("merchant_category")
-    summed = (
-        monthly.where(category.isNotNull()).groupBy("user_id", "merchant_category")
-        .agg(F.sum("_n").alias("_n"), F.coalesce(F.sum("_cents"), F.lit(0)).alias("_s"))
-        .withColumns({"_top_n": F.max("_n").over(whole), "_top_s": F.max("_s").over(whole)})
-    )
-
-    def named(value: str) -> Column:
-        winner = F.when(F.col(value) == F.col(f"_top{value}"), category)
-        return F.min(winner) if ties == "first" else F.array_join(F.array_sort(F.collect_list(winner)), " + ")
-
-    winners = F.lit(1) if ties == "first" else F.count_if(F.col("_s") == F.col("_top_s"))
-    spend = F.col("_s").cast("double")
-    return summed.groupBy("user_id").agg(
-        named("_n").alias("categoria_favorita"), named("_s").alias("categoria_favorita_monto"),
-        (F.max("_top_s") * winners / 100).alias("total_spend_fav"),
-        F.coalesce(F.try_divide(F.sum(spend * spend), F.sum(spend) * F.sum(spend)), F.lit(0.0)).alias("hhi"),
+        F.avg(F.when(month, _relative_change(variant))).alias("variacion_mensual_promedio_pct"),
+        *[F.coalesce(of_category(c, "_n"), F.lit(0)).alias(f"_n_{c}") for c in categories],
+        *[of_category(c, "_cents").alias(f"_c_{c}") for c in categories],
+        favourite("_n").alias("categoria_favorita"), favourite("_total").alias("categoria_favorita_monto"),
+        (F.max(F.when(named, F.col("_top_total"))) * winners / 100).alias("total_spend_fav"),
+        F.try_divide(F.sum(spend * spend), F.sum(spend) * F.sum(spend)).alias("hhi"),
     )
 
 
@@ -162,15 +151,17 @@ def transaction_features(
     ties: str = "first",
     categories: Sequence[str] = S.MERCHANT_CATEGORIES,
     spend_columns: bool = False,
+    by_category: bool = True,
 ) -> DataFrame:
     """All transaction columns, one row per customer with transactions.
 
+    Without ``by_category`` nothing is summed per category; the columns that tell of categories hold
+    no information then and are meant to be left out.
+
     ``change_variant`` is ``v12`` (the first month counts as a change of 0) or ``skip_first``.
     ``categories`` names the count columns; favourites and concentration know every category.
     """
-    monthly = monthly_by_category(transactions).repartition("user_id")
-    sums = per_customer(base_of(monthly, categories), categories, change_variant).join(
-        favourites(monthly, ties), "user_id", "left")
+    sums = per_customer(by_month_and_category(monthly_by_category(transactions), by_category), categories, change_variant, ties)
     changes = F.col("_months") if change_variant == "v12" else F.col("_months") - 1
     change = F.col("_change") if change_variant == "skip_first" else F.coalesce("_change", F.lit(0))
     total = F.col("_total") / 100
@@ -200,7 +191,7 @@ def transaction_features(
 
 def spend_trend(transactions: DataFrame, change_variant: str = "v12") -> DataFrame:
     """Monthly spend trend and peak months of each customer."""
-    return transaction_features(transactions, change_variant=change_variant).select(
+    return transaction_features(transactions, change_variant=change_variant, by_category=False).select(
         "user_id", "n_meses_activos", "mes_mas_compras", "mes_mayor_monto",
         "monto_promedio_mensual", "transacciones_promedio_mensual",
         "variacion_mensual_promedio", "variacion_mensual_promedio_pct",
