@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleslens.functions import cents, month_of, quarter_label
+from saleslens.operators.factoring import inflation, triangle
 from saleslens.operators.ranks import exact_quantiles
 
 TOTAL = "Total"
@@ -258,24 +258,11 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def variance_inflation(df: DataFrame, columns: Sequence[str], constant: bool = True) -> DataFrame:
     """Variance inflation factors over complete rows, largest first.
 
-    The data pass is one aggregation to means and covariances; the driver inverts the small
-    matrix of columns by columns. ``constant`` adds the row of the intercept.
+    Rows are reduced to triangular factors in the tasks (``factoring``). A column that others make up has an
+    infinite factor; a constant column, and every column of a table without rows, has none (null).
+    ``constant`` adds the row of the intercept.
     """
-    names = list(columns)
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    complete = df.dropna(subset=names)
-    found = complete.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(names)],
-        *[F.covar_pop(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"s_{i}_{j}")
-          for i, j in pairs],
-    ).first()
-    cov = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = found[f"s_{i}_{j}"]
-    mean = np.array([found[f"m_{i}"] for i in range(len(names))])
-    inverse = np.linalg.inv(cov)
-    factors = {c: float(inverse[i, i] * cov[i, i]) for i, c in enumerate(names)}
-    if constant:
-        factors["const"] = float(1 + mean @ inverse @ mean)
-    ordered = sorted(factors.items(), key=lambda kv: -kv[1])
+    factors, intercept = inflation(*triangle(df, columns))
+    rows = [*zip(columns, factors), *([("const", intercept)] if constant else [])]
+    ordered = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0)))
     return df.sparkSession.createDataFrame(ordered, "variable string, vif double")

@@ -181,3 +181,38 @@ def test_univariate(spark):
     assert got["varianza"] == pytest.approx(0.7) and got["desviacion"] == pytest.approx(math.sqrt(0.7))
     nulls = {r["columna"]: r["nulos"] for r in R.columns_with_nulls(df).collect()}
     assert nulls == {"v": 1}
+
+
+def test_inflation_of_dependent_columns(spark):
+    df = spark.range(500).repartition(40).select(
+        (F.rand(1) + 1e6).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"), F.lit(3.0).alias("k"), F.lit(0.0).alias("zero"))
+    df = df.withColumns({"ab": F.col("a") * 2 - F.col("b"), "missing": F.lit(None).cast("double")}).cache()
+
+    def factors(columns, rows=df):
+        return {r["variable"]: r["vif"] for r in R.variance_inflation(rows, columns).collect()}
+
+    got = factors(["a", "b", "c", "ab"])
+    assert got["a"] == got["b"] == got["ab"] == float("inf") and 1 <= got["c"] < 1.1 and got["const"] < float("inf")
+    got = factors(["b", "c", "k"])
+    assert got["k"] is None and got["const"] == float("inf") and 1 <= got["b"] < 1.1
+    got = factors(["b", "c", "zero"])
+    assert got["zero"] is None and 1 < got["const"] < 20
+    assert set(factors(["a", "b"], df.limit(0)).values()) == {None}
+    assert set(factors(["b", "missing"]).values()) == {None}
+    assert factors(["b"], df.limit(1))["b"] is None
+    assert factors(["b", "c"], df.withColumns({"c": 1 - F.col("b")}))["b"] == float("inf")
+
+
+def test_triangle_keeps_the_digits(spark):
+    """Columns of size 1e8 that differ by 1e-4: their covariance has lost that, the triangle has not."""
+    import numpy as np
+
+    from saleslens.operators.factoring import inflation, triangle
+
+    rng = np.random.default_rng(0)
+    x, y = rng.random(400), rng.random(400)
+    df = spark.createDataFrame([(1e8 + float(a), 1e8 + float(a) + 1e-4 * float(b)) for a, b in zip(x, y)], "p double, q double").repartition(20)
+    (p, q), _ = inflation(*triangle(df, ["p", "q"]))
+    rows = np.array(df.collect()) - 1e8
+    exact = 1 / (1 - np.corrcoef(rows.T)[0, 1] ** 2)
+    assert p == pytest.approx(exact, rel=0.05) and q == pytest.approx(p)
