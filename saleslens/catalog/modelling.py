@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saleslens import schemas as S
 from saleslens.catalog.base import Tables, over, query, rounded
 from saleslens.catalog.profiling import general
 from saleslens.operators import evaluation as E
+from saleslens.plans import attribution as AT
+from saleslens.plans import boosting as BO
 from saleslens.plans import scoring as SC
 from saleslens.plans import training as TR
 from saleslens.session import durable, scratch
@@ -151,6 +154,16 @@ def _matrix(spark, sf_dir):
     return boosted_matrix(general(spark, sf_dir)).drop(*LEAKY_IN_MATRIX)
 
 
+# The features of the matrix, in its order.
+MATRIX_FEATURES = [
+    "age", "income_range", "risk_profile", "occupation", "age_range_sturges", "checking_account", "savings_account", "credit_card",
+    "investment", "antiguedad_cliente", "n_meses_activos", "recencia_transaccion", "entertainment_count", "food_count", "health_count",
+    "shopping_count", "supermarket_count", "transport_count", "travel_count", "categoria_favorita_monto", "total_spend_fav",
+    "transacciones_promedio_mensual", "variacion_mensual_promedio", "variacion_mensual_promedio_pct", "fecha_primer_producto_ts",
+    "fecha_segundo_producto_ts", "mes_mas_compras_ts", "mes_mayor_monto_ts",
+]
+
+
 def _features(matrix):
     return TR.feature_names(matrix)
 
@@ -208,12 +221,67 @@ def cross_validated(spark, sf_dir):
     return TR.cross_validated(TR.balanced_logistic(), TR.class_weights(df))[0]
 
 
-@query("m07_random_search")
+def _folded(spark, sf_dir):
+    """Matrix with label and folds that SQL can state, and its features."""
+    matrix = _matrix(spark, sf_dir)
+    names = _features(matrix)
+    ready = matrix.select("user_id", F.coalesce(F.col("insurance").cast("int").cast("double"), F.lit(0.0)).alias("label"), *names)
+    return durable(E.stratified_folds(ready, "user_id", order_key=_key_hash(), bucket=F.floor(_key_hash() / 1000))), names
+
+
+def _grid(name):
+    return f"(VALUES {', '.join(f'({v}::{"INTEGER" if isinstance(v, int) else "DOUBLE"})' for v in TR.SEARCH_SPACE[name])}) {name}_({name})"
+
+
+FOLDED = LABELLED.rstrip() + ", folded AS (SELECT user_id, label, CAST((rank - 1) % 5 AS INTEGER) AS fold FROM r)\n"
+
+
+@query("m07_random_search", FOLDED.rstrip() + f""",
+grid AS (SELECT *, row_number() OVER (ORDER BY trees, depth, rate, rows, columns) - 1 AS i FROM {', '.join(map(_grid, TR.SEARCH_SPACE))}),
+drawn AS (SELECT *, row_number() OVER (ORDER BY md5(i || ':42')) - 1 AS setting FROM grid),
+sizes AS (SELECT fold, count(*) AS n, count(*) FILTER (label = 1) AS positives FROM folded GROUP BY fold)
+SELECT CAST(setting AS INTEGER) AS setting, trees, depth, rate, rows, columns, fold, n, positives, TRUE AS roc_auc_valid
+FROM drawn, sizes WHERE setting < 50""")
 def search(spark, sf_dir):
-    df, _ = _assembled(spark, sf_dir)
-    found = TR.random_search(TR.boosted_trees(), df, parallelism=max(4, spark.sparkContext.defaultParallelism))
-    rows = [(str({k.name: v for k, v in m.items()}), float(a)) for m, a in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
-    return spark.createDataFrame(rows, "parametros string, roc_auc double")
+    """50 of 243 settings on 5 folds; the area of each is checked to be one."""
+    folded, names = _folded(spark, sf_dir)
+    found = TR.random_search(folded, names, TR.drawn_settings(n=50))
+    return found.withColumn("roc_auc_valid", F.coalesce(F.col("roc_auc").between(0, 1), F.lit(False))).drop("roc_auc")
+
+
+@query("m07_best_setting")
+def best_setting(spark, sf_dir):
+    """The settings of the search with their mean area over the folds, best first: those of up to 100 trees with all rows drawn."""
+    folded, names = _folded(spark, sf_dir)
+    space = TR.SEARCH_SPACE | {"trees": [100], "rows": [1.0]}
+    return TR.search_means(TR.random_search(folded, names, TR.drawn_settings(space, n=9)))
+
+
+@query("m01_second_order_trees_on_test_rows", TEST_ROWS)
+def second_order(spark, sf_dir):
+    folded, names = _folded(spark, sf_dir)
+    train, test = _split(folded.drop("fold"))
+    return _valid(BO.scored(BO.fit(BO.binned(train, names), BO.Setting()), test).drop("margin"))
+
+
+@query("m01_m06_second_order_out_of_fold", FOLDED + "SELECT user_id, label, fold, TRUE AS score_valid FROM folded")
+def second_order_out_of_fold(spark, sf_dir):
+    folded, names = _folded(spark, sf_dir)
+    scores = BO.held_out_scores(BO.binned(folded, names, fold="fold"), [BO.Setting()], 5)
+    return _valid(scores.drop("setting"))
+
+
+@query("m08_boosted_learning_curve", FOLDED.rstrip() + """,
+sizes AS (SELECT unnest([0.1, 0.325, 0.55, 0.775, 1.0]::DOUBLE[]) AS size)
+SELECT size, f AS fold, count(*) FILTER (fold = f) AS n, CASE WHEN size = 1 THEN count(*) FILTER (fold <> f) END AS train_rows_of_all,
+ TRUE AS nested, TRUE AS areas_valid FROM folded, sizes, range(5) t(f) GROUP BY size, f""")
+def boosted_curve(spark, sf_dir):
+    folded, names = _folded(spark, sf_dir)
+    curve = TR.boosted_learning_curve(folded, names, BO.Setting())
+    before = F.lag("train_rows", 1, 0).over(Window.partitionBy("fold").orderBy("size"))
+    valid = F.coalesce(F.col("train_auc").between(0, 1) & F.col("validation_auc").between(0, 1), F.lit(False))
+    return curve.select("size", F.col("fold").cast("bigint").alias("fold"), "n", F.when(F.col("size") == 1, F.col("train_rows")).alias("train_rows_of_all"),
+                        (F.col("train_rows") > before).alias("nested"), valid.alias("areas_valid"))
 
 
 @query("m08_learning_curve")
@@ -228,12 +296,52 @@ def importance(spark, sf_dir):
     return TR.importances(TR.random_forest().fit(df), names)
 
 
+def _values(names):
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") v(feature)"
+
+
+@query("m16_boosted_importance", f"SELECT feature, TRUE AS importance_valid, TRUE AS adds_up FROM {_values(MATRIX_FEATURES)}")
+def boosted_importance(spark, sf_dir):
+    """Mean gain of the splits on each feature, as parts of one."""
+    folded, names = _folded(spark, sf_dir)
+    found = BO.fit(BO.binned(folded, names), BO.Setting()).importances()
+    whole = abs(sum(found.values()) - 1) < 1e-9
+    return spark.createDataFrame([(f, 0 <= v <= 1, whole) for f, v in found.items()], "feature string, importance_valid boolean, adds_up boolean")
+
+
 @query("m17_permutation_importance")
 def permutation(spark, sf_dir):
     matrix = durable(_matrix(spark, sf_dir))
     names = _features(matrix)
     model = TR.balanced_logistic().fit(TR.class_weights(TR.assembled(matrix, names)))
-    return TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names)), matrix, names)
+    return TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names, key="feature"), key="feature"), matrix, names)
+
+
+@query("m17_exchanged_rows", over("demographics", more="""
+p AS (SELECT count(*) AS n, CAST(sum(age) AS BIGINT) AS ages FROM demographics)""") + f"""
+SELECT feature, n, ages FROM p, (SELECT '' AS feature UNION ALL VALUES ('age'), ('income_range'), ('risk_profile'), ('occupation')) f""")
+def exchanged_rows(spark, sf_dir):
+    """Every feature is exchanged between all rows and keeps its values, so its sum."""
+    people = Tables(spark, sf_dir).demographics
+    return TR.exchanged(people, ["age", "income_range", "risk_profile", "occupation"]).groupBy("feature").agg(
+        F.count("*").alias("n"), F.sum("age").alias("ages"))
+
+
+@query("m17_contributions", over("demographics") + f"SELECT user_id, {len(MATRIX_FEATURES)} AS features, TRUE AS adds_up FROM demographics")
+def contributions(spark, sf_dir):
+    """Exact contributions of every feature to the margin of every customer; with the base they add up to it."""
+    folded, names = _folded(spark, sf_dir)
+    model = BO.fit(BO.binned(folded, names), BO.Setting())
+    total = F.aggregate("contributions", F.col("base"), lambda a, x: a + x)
+    return AT.contributions(model, folded).select(
+        "user_id", F.size("contributions").alias("features"), (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"))
+
+
+@query("m17_mean_contributions", f"SELECT feature, TRUE AS valid FROM {_values(MATRIX_FEATURES)}")
+def mean_contributions(spark, sf_dir):
+    folded, names = _folded(spark, sf_dir)
+    model = BO.fit(BO.binned(folded, names), BO.Setting())
+    return AT.mean_contributions(model, folded).select("feature", (F.col("mean_contribution") >= 0).alias("valid"))
 
 
 @query("m21_without_features")

@@ -334,10 +334,22 @@ def vif(spark, sf_dir):
     return rounded(R.variance_inflation(df, ["total_transacciones", "n_meses_activos"], constant=False), 4)
 
 
-@query("a37_variance_inflation_all")
+_SIX = range(len(CORRELATED))
+
+
+@query("a37_variance_inflation_all", over("tx_v12").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+m AS (SELECT [{', '.join(f'avg({c}::DOUBLE)' for c in CORRELATED)}] AS mean, [{', '.join(f'stddev_pop({c}::DOUBLE)' for c in CORRELATED)}] AS deviation,
+ [{', '.join(f'corr({a}::DOUBLE, {b}::DOUBLE)' for a in CORRELATED for b in CORRELATED)}] AS c FROM tx_v12),
+inverse AS (SELECT 0 AS k, c FROM m UNION ALL SELECT k + 1,
+ [CASE WHEN x // 6 = k AND x % 6 = k THEN 1 / c[7 * k + 1] WHEN x // 6 = k THEN c[x + 1] / c[7 * k + 1]
+  WHEN x % 6 = k THEN -c[x + 1] / c[7 * k + 1] ELSE c[x + 1] - c[x - x % 6 + k + 1] * c[6 * k + x % 6 + 1] / c[7 * k + 1] END
+  FOR x IN range(36)] FROM inverse WHERE k < 6)
+SELECT 'const' AS variable, round(1 + list_sum([c[x + 1] * mean[x // 6 + 1] / deviation[x // 6 + 1] * mean[x % 6 + 1] / deviation[x % 6 + 1]
+  FOR x IN range(36)]), 4) AS vif FROM (SELECT c FROM inverse WHERE k = 6), (SELECT mean, deviation FROM m)
+{' '.join(f"UNION ALL SELECT '{CORRELATED[i]}', round(c[{7 * i + 1}], 4) FROM inverse WHERE k = 6" for i in _SIX)}""")
 def vif_all(spark, sf_dir):
-    df = X.transaction_features(Tables(spark, sf_dir).transactions, REFERENCE_DATE)
-    return R.variance_inflation(df, CORRELATED)
+    df = rounded(X.transaction_features(Tables(spark, sf_dir).transactions, REFERENCE_DATE), 6, "hhi", "share_fav")
+    return rounded(R.variance_inflation(df, CORRELATED), 4)
 
 
 # -- cleaning -----------------------------------------------------------------------

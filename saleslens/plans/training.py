@@ -1,32 +1,34 @@
-"""Training and model selection with MLlib; metrics come from the evaluation operators."""
+"""Training and model selection; metrics come from the evaluation operators.
+
+Linear models and forests are MLlib's. Boosted trees as they are searched, curved and explained are those of
+``boosting``: second-order gains, columns drawn per tree. MLlib's boosted trees remain for pipelines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from hashlib import md5
 from itertools import product
-from random import Random
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.operators import ranks
 from saleslens.operators.evaluation import areas, confusion, metrics, stratified_folds
 from saleslens.operators.ranks import bucket_by_hash
+from saleslens.plans import boosting
 from saleslens.session import durable
 
-# The searched hyper-parameters.
+# The searched hyper-parameters, by the names of ``boosting.Setting``.
 SEARCH_SPACE = {
-    "maxIter": [100, 200, 300],
-    "maxDepth": [3, 5, 7],
-    "stepSize": [0.01, 0.1, 0.2],
-    "subsamplingRate": [0.5, 0.7, 1.0],
-    "featureSubsetStrategy": ["0.5", "0.7", "1.0"],
+    "trees": [100, 200, 300],
+    "depth": [3, 5, 7],
+    "rate": [0.01, 0.1, 0.2],
+    "rows": [0.5, 0.7, 1.0],
+    "columns": [0.5, 0.7, 1.0],
 }
 
 
@@ -98,24 +100,49 @@ def cross_validated(estimator: Estimator, df: DataFrame, folds: int = 5, seed: i
     return means, confusion(held_out, threshold=threshold)
 
 
-def parameter_maps(estimator: Estimator, space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = 50,
-                   seed: int = 42) -> list[dict]:
-    """``n`` different combinations drawn from the whole grid."""
-    names = list(space)
-    grid = list(product(*space.values()))
-    chosen = Random(seed).sample(grid, min(n, len(grid)))
-    return [{getattr(estimator, k): v for k, v in zip(names, values)} for values in chosen]
+def drawn_settings(space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = 50, seed: int = 42) -> list[boosting.Setting]:
+    """``n`` different settings from the whole grid, in the order of a digest of their place in it."""
+    grid = [dict(zip(space, values)) for values in product(*space.values())]
+    order = sorted(range(len(grid)), key=lambda i: md5(f"{i}:{seed}".encode()).hexdigest())
+    return [boosting.Setting(**grid[i]) for i in order[:n]]
+
 
+def random_search(folded: DataFrame, features: Sequence[str], settings: Sequence[boosting.Setting], folds: int = 5,
+                  key: str = "user_id") -> DataFrame:
+    """(setting, the fields of the settings, fold, n, positives, roc_auc): held-out area of every setting on every fold.
 
-def random_search(estimator: Estimator, df: DataFrame, space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = 50,
-                  folds: int = 5, seed: int = 42, parallelism: int = 4, key: str = "user_id") -> CrossValidatorModel:
-    """Random search by area under the ROC curve over the stratified folds."""
-    folded = durable(stratified_folds(df, key, folds=folds, seed=seed))
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=parameter_maps(estimator, space, n, seed),
-        evaluator=BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label"),
-        numFolds=folds, foldCol="fold", parallelism=parallelism,
-    ).fit(folded)
+    ``folded`` has a label and a fold from 0. All models are trained together; settings that differ in the
+    number of trees share one. Means over the folds rank the settings (``search_means``).
+    """
+    data = boosting.binned(folded, features, key, fold="fold")
+    scores = durable(boosting.held_out_scores(data, settings, folds))
+    groups = ["setting", "fold"]
+    measured = areas(scores, by=groups).select(*groups, "roc_auc").join(
+        scores.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives")), groups)
+    names = list(SEARCH_SPACE)
+    listed = folded.sparkSession.createDataFrame(
+        [(i, *(getattr(s, n) for n in names)) for i, s in enumerate(settings)], "setting int, trees int, depth int, rate double, rows double, columns double")
+    return measured.join(F.broadcast(listed), "setting").select("setting", *names, "fold", "n", "positives", "roc_auc")  # a row per setting
+
+
+def search_means(found: DataFrame) -> DataFrame:
+    """(setting, its fields, mean area over the folds), best first; the first listed setting on ties."""
+    return found.groupBy("setting", *SEARCH_SPACE).agg(F.avg("roc_auc").alias("roc_auc")).orderBy(F.desc("roc_auc"), "setting")
+
+
+def boosted_learning_curve(folded: DataFrame, features: Sequence[str], setting: boosting.Setting, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
+                           folds: int = 5, key: str = "user_id") -> DataFrame:
+    """(size, fold, n of validation rows, train_rows, train_auc, validation_auc) of nested training samples, all models in the same passes."""
+    data = boosting.binned(folded, features, key, fold="fold")
+    plans = [boosting.Plan(setting, i, (setting.trees,), size, both=True) for size in sizes for i in range(folds)]
+    scores = durable(boosting.scores_of(data, plans))
+    groups = ["plan", "trained"]
+    measured = scores.groupBy(*groups).agg(F.count("*").alias("n")).join(areas(scores, by=groups), groups, "left")
+    listed = folded.sparkSession.createDataFrame([(p, float(plan.part), plan.fold) for p, plan in enumerate(plans)], "plan int, size double, fold int")
+    trained = F.col("trained")
+    return measured.join(F.broadcast(listed), "plan").groupBy("size", "fold").agg(  # a row per plan
+        F.sum(F.when(~trained, F.col("n"))).alias("n"), F.coalesce(F.sum(F.when(trained, F.col("n"))), F.lit(0)).alias("train_rows"),
+        F.max(F.when(trained, F.col("roc_auc"))).alias("train_auc"), F.max(F.when(~trained, F.col("roc_auc"))).alias("validation_auc"))
 
 
 def learning_curve(estimator: Estimator, df: DataFrame, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
@@ -153,30 +180,47 @@ def importances(model: Model, features: Sequence[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
+def exchanged(table: DataFrame, features: Sequence[str], seed: int = 42, rows_per_bucket: int = 1000) -> DataFrame:
+    """Every row once for each feature, with the value of that feature taken from another row, and once as it is (feature '').
+
+    Rows are dealt to buckets by a hash and put in its order. In a bucket the values of each feature
+    move on by a number of places of its own, so one exchange serves all features and each keeps its values.
+    A bucket holds about ``rows_per_bucket`` rows, also where keys repeat, as rows are told apart by their place.
+    """
+    marked = durable(table)
+    bits = max(0, (-(-marked.count() // rows_per_bucket) - 1).bit_length())
+    hashed = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    others = [c for c in table.columns if c not in features]
+    whole = F.struct(F.col("_hash").alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate([*others, *features])])
+    buckets = (
+        marked.withColumn("_hash", hashed).groupBy((bucket_by_hash(F.col("_hash"), bits) if bits else F.lit(0)).alias("_bucket"))
+        .agg(F.array_sort(F.collect_list(whole)).alias("_rows"))
+    )
+    n = F.size("_rows")
+
+    def given(i: Column, j: int) -> Column:
+        step = F.when(n > 1, 1 + F.pmod(F.xxhash64("_bucket", F.lit(seed + 1 + j)), F.greatest(n - 1, F.lit(1)))).otherwise(0)
+        return F.col("_rows")[((i + step) % n).cast("int")][f"c{len(others) + j}"]
+
+    moved = F.transform("_rows", lambda row, i: F.struct(
+        row.alias("own"), *[given(i, j).alias(f"g{j}") for j in range(len(features))]))
+    rows = buckets.select(F.explode(moved).alias("_r")).select("_r.*")
+    long = rows.select("*", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_j"))
+    names = F.array(F.lit(""), *[F.lit(f) for f in features])
+    return long.select(
+        names[F.col("_j") + 1].alias("feature"), *[F.col(f"own.c{i}").alias(c) for i, c in enumerate(others)],
+        *[F.when(F.col("_j") == j, F.col(f"g{j}")).otherwise(F.col(f"own.c{len(others) + j}")).alias(f) for j, f in enumerate(features)])
+
+
 def permutation_importance(model_of: Callable[[DataFrame], DataFrame], table: DataFrame, features: Sequence[str],
-                           key: str = "user_id", seed: int = 42, bits: int | None = None) -> DataFrame:
+                           seed: int = 42, rows_per_bucket: int = 1000) -> DataFrame:
     """Loss of area when one feature at a time is exchanged between rows, largest loss first.
 
-    ``model_of`` gives (label, score) for a table of features. Rows are spread over hash buckets;
-    inside a bucket the values are handed out in another hash order and matched by row number, so
-    no order of all rows is needed. Their number, two to the power of ``bits``, follows the number of rows.
+    ``model_of`` gives (feature, label, score) for the table of ``exchanged``: all features are scored in one pass.
     """
-    if bits is None:
-        bits = max(10, (-(-table.count() // ranks.ROWS_PER_BUCKET) - 1).bit_length())
-    marked = durable(table.withColumn("_bucket", bucket_by_hash(F.xxhash64(F.col(key), F.lit(seed)), bits)))
-    here = Window.partitionBy("_bucket").orderBy(F.col(key))
-    outcomes = model_of(table).select(F.lit("").alias("feature"), "label", "score")
-    for i, feature in enumerate(features):
-        there = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1 + i)), F.col(key))
-        given = marked.select("_bucket", F.row_number().over(there).alias("_n"), F.col(feature).alias("_given"))
-        exchanged = (
-            marked.withColumn("_n", F.row_number().over(here)).join(given, ["_bucket", "_n"])
-            .withColumn(feature, F.col("_given")).drop("_bucket", "_n", "_given")
-        )
-        outcomes = outcomes.unionByName(
-            model_of(exchanged).select(F.lit(feature).alias("feature"), "label", "score"))
-    measured = {r["feature"]: r["roc_auc"] for r in areas(durable(outcomes), by=["feature"]).collect()}
-    rows = sorted(((f, measured[""] - measured[f]) for f in features), key=lambda r: -r[1])
+    outcomes = durable(model_of(exchanged(table, features, seed, rows_per_bucket)).select("feature", "label", "score"))
+    measured = {r["feature"]: r["roc_auc"] for r in areas(outcomes, by=["feature"]).collect()}
+    rows = sorted(((f, None if measured.get("") is None else measured[""] - measured[f]) for f in features), key=lambda r: -(r[1] or 0.0))
     return table.sparkSession.createDataFrame(rows, "feature string, auc_loss double")
 
 

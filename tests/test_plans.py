@@ -88,8 +88,10 @@ def test_cross_validation_covers_every_row(matrix):
 
 
 def test_search_draws_different_settings():
-    maps = TR.parameter_maps(TR.boosted_trees(), n=50)
-    assert len({str(sorted((k.name, str(v)) for k, v in m.items())) for m in maps}) == 50
+    drawn = TR.drawn_settings(n=50)
+    assert len(set(drawn)) == 50 and len(set(TR.drawn_settings(n=1000))) == 243
+    assert all(getattr(s, k) in TR.SEARCH_SPACE[k] for s in drawn for k in TR.SEARCH_SPACE) and {s.trees for s in drawn} == {100, 200, 300}
+    assert drawn != TR.drawn_settings(n=50, seed=1)
 
 
 def test_importance_of_an_informative_feature(spark):
@@ -98,7 +100,8 @@ def test_importance_of_an_informative_feature(spark):
     train = TR.assembled(df, ["tells", "noise"])
     model = TR.random_forest(numTrees=5).fit(train)
     assert TR.importances(model, ["tells", "noise"]).first()["feature"] == "tells"
-    got = TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, ["tells", "noise"])), df, ["noise", "tells"], bits=2)
+    got = TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, ["tells", "noise"], key="feature"), key="feature"),
+                                    df, ["noise", "tells"], rows_per_bucket=120)
     rows = got.collect()
     assert rows[0]["feature"] == "tells" and rows[0]["auc_loss"] > 0.3 and abs(rows[1]["auc_loss"]) < 0.1
 
@@ -144,32 +147,51 @@ def test_registered_search_is_the_whole_one(spark, monkeypatch):
     from saleslens.catalog import QUERIES
 
     seen = {}
+    whole = TR.boosting.held_out_scores
 
-    class Recorded:
-        def __init__(self, **settings):
-            seen.update(settings)
-            self.avgMetrics = [0.5] * len(settings["estimatorParamMaps"])
+    def recorded(data, settings, folds):
+        seen.update(settings=settings, folds=folds)
+        return whole(data, [TR.boosting.Setting(trees=1, depth=1, seed=i) for i in range(len(settings))], folds)
 
-        def fit(self, rows):
-            seen["rows"] = rows.groupBy("fold").count().count()
-            return self
-
-        def getEstimatorParamMaps(self):
-            return seen["estimatorParamMaps"]
-
-    monkeypatch.setattr(TR, "CrossValidator", Recorded)
+    monkeypatch.setattr(TR.boosting, "held_out_scores", recorded)
     out = QUERIES["m07_random_search"](spark, "/root/testdata/sf0.001").collect()
-    drawn = [{k.name: v for k, v in m.items()} for m in seen["estimatorParamMaps"]]
-    assert len(out) == len({r.parametros for r in out}) == 50 and seen["numFolds"] == 5 == seen["rows"] and seen["parallelism"] >= 4
-    assert all(m[k] in TR.SEARCH_SPACE[k] for m in drawn for k in TR.SEARCH_SPACE) and {m["maxIter"] for m in drawn} == {100, 200, 300}
-
-
-def test_permutation_buckets_follow_the_rows(spark, monkeypatch):
-    used = []
-    monkeypatch.setattr(TR, "bucket_by_hash", lambda hashed, bits: used.append(bits) or F.shiftright(hashed, 64 - bits))
-    table = spark.range(3000).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("double").alias("x"))
-    for rows in (200_000, 1):
-        monkeypatch.setattr("saleslens.operators.ranks.ROWS_PER_BUCKET", rows)
-        out = TR.permutation_importance(lambda t: t.select(F.col("x").alias("score"), (F.col("user_id").cast("int") % 2).alias("label")), table, ["x"])
-        assert out.first()["auc_loss"] > 0
-    assert used == [10, 12]
+    assert seen["folds"] == 5 and seen["settings"] == TR.drawn_settings()
+    assert len(out) == 250 and len({(r.trees, r.depth, r.rate, r.rows, r.columns) for r in out}) == 50 and len({r.fold for r in out}) == 5
+
+
+def test_search_against_separate_fits(spark):
+    from saleslens.plans import boosting as B
+
+    df = spark.range(200).select(
+        F.col("id").cast("string").alias("user_id"), ((F.col("id") * 7 % 10 + F.rand(1) * 6) > 7).cast("double").alias("label"),
+        (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") * 7 % 10).alias("x"), F.rand(2).alias("z")).cache()
+    settings = [B.Setting(trees=3), B.Setting(trees=6), B.Setting(trees=4, depth=2, rows=0.5)]
+    found = TR.random_search(df, ["x", "z"], settings)
+    got = {(r["setting"], r["fold"]): r["roc_auc"] for r in found.collect()}
+    data = B.binned(df, ["x", "z"], fold="fold")
+    for s, setting in enumerate(settings):
+        for fold in (0, 3):
+            alone = E.areas(B.scored(B.fit(data, setting, fold), df.where(F.col("fold") == fold))).first()["roc_auc"]
+            assert got[s, fold] == pytest.approx(alone)
+    means = TR.search_means(found).collect()
+    assert [r["roc_auc"] for r in means] == sorted((sum(got[s, f] for f in range(5)) / 5 for s in range(3)), reverse=True)
+
+
+def test_exchange_keeps_the_values_of_each_feature(spark):
+    df = spark.range(700).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("user_id"),
+                                 F.col("id").alias("x"), (F.col("id") * 2).alias("y"), (F.col("id") % 4).alias("group"))
+    rows = TR.exchanged(df, ["x", "y"], rows_per_bucket=64).toPandas()
+    for f in ("", "x", "y"):
+        own = rows[rows.feature == f]
+        assert sorted(own.x) == list(range(700)) and sorted(own.y) == list(range(0, 1400, 2)) and len(own) == 700
+    assert (rows[rows.feature == ""].y == 2 * rows[rows.feature == ""].x).all()
+    assert (rows[rows.feature == "x"].y != 2 * rows[rows.feature == "x"].x).all()  # every row has the value of another one
+    assert (rows[rows.feature == "x"].y % 8 // 2 == rows[rows.feature == "x"].group).all()
+    assert TR.exchanged(df.limit(1), ["x"]).count() == 2 and TR.exchanged(df.limit(0), ["x"]).count() == 0
+
+
+def test_exchange_has_one_shuffle_whatever_the_features(spark):
+    df = spark.range(100).select("id", *[F.rand(i).alias(f"f{i}") for i in range(12)])
+    for n in (1, 12):
+        plan = TR.exchanged(df, [f"f{i}" for i in range(n)], rows_per_bucket=10)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
