@@ -16,12 +16,10 @@ bit with one of them are counted as well, which costs time only. Everything afte
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ LONGEST, LEAST, MOST_PER_LANG = 4, 30, 2000
 SAMPLE, SAMPLE_LEAST = 8, 2
 #: Bits of the bitmap of a proposal at most (16 MB), bits of one piece of it, and bytes of text in an array pass.
 MOST_BITS, PIECE_BITS, PASS_BYTES = 27, 19, 1 << 20
-#: Rows that a task hands over at once.
-ROWS = 50_000
+#: Bytes of text whose phrases make a range of hashes, counts of hashes and of phrases that a task keeps, and rows that it hands over at once.
+RANGE_BYTES, KEPT, KEPT_TEXTS, ROWS = 8 << 20, 1 << 20, 300_000, 50_000
 #: A longer phrase with so many parts of a phrase's occurrences, in fifths, makes it redundant.
 REDUNDANT_FIFTHS = 4
 _RADIX = np.uint64(0x9FB21C651E98DF25)
@@ -155,72 +153,149 @@ def bitmap_of(proposed: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     return out
 
 
-def proposal(texts: DataFrame, least: int = SAMPLE_LEAST, most_bits: int = MOST_BITS) -> DataFrame:
+class _Sums:
+    """Counts of hashes, added up until there are too many to keep."""
+
+    def __init__(self, most: int = KEPT) -> None:
+        self._most, self._held, self._size = most, [], 0
+
+    def add(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sums to hand over, if it is time for that."""
+        self._held.append((h, c))
+        self._size += len(h)
+        if self._size < self._most:
+            return None
+        h, c = self.all()
+        if 2 * len(h) > self._most:
+            self._held, self._size = [], 0
+            return h, c
+        self._held, self._size = [(h, c)], len(h)
+        return None
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order, and their counts."""
+        if not self._held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h, c = (np.concatenate(x) for x in zip(*self._held, strict=True))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def frequent_hashes(texts: DataFrame, phrases_of, least: int, n_bytes: int) -> DataFrame:
+    """Hashes ``h`` (long) that occur ``least`` times or more in what ``phrases_of`` gives for some words.
+
+    Tasks add counts up and send them on as arrays, one for each of the ranges that hashes are cut into; the
+    receivers add up a range at a time. The number of ranges follows the size of the texts.
+    """
+    bits = max(6, (n_bytes // RANGE_BYTES).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            at = (h >> np.uint64(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
+            return pa.record_batch([pa.array(at[first]), pa.array([h[a:b].tobytes() for a, b in bounds], pa.binary()),
+                                    pa.array([c[a:b].tobytes() for a, b in bounds], pa.binary())], names=["range", "h", "c"])
+
+        sums = _Sums()
+        for words, _ in _of(batches):
+            for h in phrases_of(words):
+                found, c = np.unique(h, return_counts=True)
+                ready = sums.add(found, c)
+                if ready is not None:
+                    yield packed(*ready)
+        h, c = sums.all()
+        if len(h):
+            yield packed(h, c)
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(sums: list) -> pa.RecordBatch:
+            held = _Sums(1 << 62)
+            held._held = sums
+            h, c = held.all()
+            return pa.record_batch([pa.array(h[c >= least].view(np.int64))], names=["h"])
+
+        now, sums, size = None, [], 0
+        for batch in batches:
+            for place, hs, cs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != now and sums:
+                    yield done(sums)
+                    sums, size = [], 0
+                now = place
+                sums.append((np.frombuffer(hs, np.uint64), np.frombuffer(cs, np.int64)))
+                size += len(sums[-1][0])
+                if size > 4 * KEPT:  # a range keeps one count for each of its hashes, however many tasks sent them
+                    held = _Sums(1 << 62)
+                    held._held = sums
+                    sums = [held.all()]
+                    size = len(sums[0][0])
+        if sums:
+            yield done(sums)
+
+    sent = texts.mapInArrow(send, "range long, h binary, c binary")
+    return stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(receive, "h long"))
+
+
+def proposal(texts: DataFrame, n_bytes: int, least: int = SAMPLE_LEAST, most_bits: int = MOST_BITS) -> DataFrame:
     """Hashes ``h`` of the phrases with ``least`` occurrences or more in the texts given; long ones are looked for among those whose pairs have as many."""
-    def counted(sizes: range, pairs: Broadcast | None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keep = None if pairs is None else lambda n, h: _holds(pairs.value, h) if n <= 2 else np.ones(len(h), bool)
-            for words, _ in _of(batches):
-                for n, _, h in words.levels(keep, sizes[-1]):
-                    if n in sizes:
-                        found, c = np.unique(h, return_counts=True)
-                        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+    short = frequent_hashes(texts, lambda words: (h for _, _, h in words.levels(None, 2)), least, n_bytes)
+    pairs = texts.sparkSession.sparkContext.broadcast(bitmap_of(short, most_bits))
 
-        sums = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        return stored(sums.filter(F.col("c") >= least).select("h"))
+    def longer(words: Words) -> Iterator[np.ndarray]:
+        return (h for n, _, h in words.levels(lambda n, h: _holds(pairs.value, h) if n <= 2 else np.ones(len(h), bool)) if n > 2)
 
-    short = counted(range(1, 3), None)
-    return short.union(counted(range(3, LONGEST + 1), texts.sparkSession.sparkContext.broadcast(bitmap_of(short, most_bits))))
+    return short.union(frequent_hashes(texts, longer, least, n_bytes))
 
 
 # -- counts ----------------------------------------------------------------------------------------
 
 def _tagged(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes with the length of their phrases in the last two bits. The leading bits name the place in a bitmap."""
-    return (h & ~np.uint64(3) | np.uint64(size - 1)).view(np.int64)
+    return h & ~np.uint64(3) | np.uint64(size - 1)
 
 
-def count_pass(texts: DataFrame, bitmaps: Sequence[np.ndarray], least: int) -> DataFrame:
-    """Tagged hashes ``h`` of the frequent phrases among those that the last bitmap allows and none before it did.
+def _growing(found: DataFrame) -> DataFrame:
+    """The phrases that may be parts of longer ones."""
+    return found.filter(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)
 
-    The first pass also counts all words.
-    """
-    shared = [texts.sparkSession.sparkContext.broadcast(b) for b in bitmaps]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *earlier, now = [b.value for b in shared]
-        for words, _ in _of(batches):
-            done = [{n: at for n, at, _ in words.levels(lambda _, h, b=b: _holds(b, h))} for b in earlier]
-            for n, at, h in words.levels(lambda _, h: _holds(now, h)):
-                if n == 1 and earlier:
-                    continue
-                for d in done:
-                    h, at = (x[~np.isin(at, d[n], assume_unique=True)] for x in (h, at))
-                found, c = np.unique(_tagged(h, n), return_counts=True)
-                yield pa.record_batch([pa.array(found), pa.array(c.astype(np.int64))], names=["h", "c"])
-
-    counted = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    out = stored(counted.filter(F.col("c") >= least).select("h"))
-    for b in shared:
-        b.unpersist()
-    return out
+def count_pass(texts: DataFrame, allowed: np.ndarray, new: np.ndarray | None, least: int, n_bytes: int) -> DataFrame:
+    """Tagged hashes ``h`` of the frequent phrases whose parts are all allowed: with ``new``, of those with a part in it, without it also all words."""
+    spark = texts.sparkSession
+    shared = [None if b is None else spark.sparkContext.broadcast(b) for b in (allowed, new)]
 
+    def phrases(words: Words) -> Iterator[np.ndarray]:
+        fresh = np.zeros(len(words.hashes) + 1, bool)
 
-def _growing(found: DataFrame) -> DataFrame:
-    """The phrases that may be parts of longer ones."""
-    return found.filter(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)
+        def keep(n: int, h: np.ndarray) -> np.ndarray:
+            return _holds(shared[0].value, h)
 
+        for n, at, h in words.levels(keep):
+            own = h
+            if shared[1] is not None:
+                own = h[fresh[at] | fresh[at + 1]] if n > 1 else h[:0]
+                fresh = np.zeros(len(words.hashes) + 1, bool)
+                fresh[at] = _holds(shared[1].value, h)
+            yield _tagged(own, n)
 
-def _any_not_in(bitmap: np.ndarray, found: DataFrame) -> bool:
-    """Whether any phrase that may be a part of a longer one has no bit."""
+    out = frequent_hashes(texts, phrases, least, n_bytes)
+    for b in shared:
+        if b is not None:
+            b.unpersist()
+    return out
+
+
+def _not_in(bitmap: np.ndarray, found: DataFrame) -> DataFrame:
+    """The phrases without a bit."""
     shared = found.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ~_holds(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.record_batch([pa.array([int(out.sum())], pa.int64())], names=["n"])
+            yield batch.filter(pa.array(~_holds(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return bool(_growing(found).mapInArrow(run, "n long").agg(F.sum("n")).first()[0])
+    return found.select("h").mapInArrow(run, "h long")
 
 
 def count_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -229,17 +304,38 @@ def count_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     names = ["lang", "size", "phrase", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, texts_of, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        place = np.zeros(0, np.int64)  # of a phrase in texts_of
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if texts_of:
+                whole = pa.Table.from_batches(texts_of, pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string())]))
+                by_place = np.empty(len(counts), np.int64)
+                by_place[place] = counts
+                yield from whole.append_column("c", pa.array(by_place)).to_batches(max_chunksize=ROWS)
+
         for words, langs in _of(batches):
             c = np.bincount(words.lang, minlength=len(langs))
             yield pa.record_batch([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.array(c.astype(np.int64))], names=names)
             for n, at, h in words.levels(lambda _, h: _holds(shared.value, h)):
                 kept = _holds(shared.value, h)
-                _, first, c = np.unique(h[kept], return_index=True, return_counts=True)
-                at = at[kept][first]
-                for lo in range(0, len(at), ROWS):
-                    some = at[lo:lo + ROWS]
-                    yield pa.record_batch([langs.take(pa.array(words.lang[some])), pa.array(np.full(len(some), n, np.int32)), words.phrases(some, n),
-                                           pa.array(c[lo:lo + ROWS].astype(np.int64))], names=names)
+                h, first, c = np.unique(_tagged(h[kept], n), return_index=True, return_counts=True)
+                spot = np.searchsorted(known, h)
+                old = np.zeros(len(h), bool)
+                inside = spot < len(known)
+                old[inside] = known[spot[inside]] == h[inside]
+                counts[spot[old]] += c[old]
+                some = at[kept][first][~old]
+                if len(some):
+                    texts_of.append(pa.record_batch([langs.take(pa.array(words.lang[some])).cast(pa.string()), pa.array(np.full(len(some), n, np.int32)), words.phrases(some, n)],
+                                                    names=["lang", "size", "phrase"]))
+                    place = np.insert(place, spot[~old], size + np.arange(len(some)))
+                    known, counts = np.insert(known, spot[~old], h[~old]), np.insert(counts, spot[~old], c[~old])
+                    size += len(some)
+            if size > KEPT_TEXTS:
+                yield from rows()
+                known, counts, place, texts_of, size = known[:0], counts[:0], place[:0], [], 0
+        yield from rows()
 
     counted = texts.mapInArrow(run, "lang string, size int, phrase string, c long")
     return counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"))
@@ -250,14 +346,19 @@ def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, sample_lea
     """lang, size, phrase, f of all phrases of up to four words with ``least`` occurrences, and the number of passes until closed.
 
     Both tables have the columns lang and text; ``sample`` decides the number of passes, never the result.
+    After the first pass the new phrases are the frequent ones without a bit in the proposal, after a further
+    pass all that were not found before it.
     """
-    bitmaps = [bitmap_of(proposal(sample, sample_least, most_bits), most_bits)]
-    found = [count_pass(texts, bitmaps, least)]
-    while _any_not_in(bitmaps[-1], reduce(DataFrame.union, found)):
-        bitmaps.append(bitmap_of(_growing(reduce(DataFrame.union, found)), most_bits))
-        found.append(count_pass(texts, bitmaps, least))
-    counts = count_texts(texts, bitmap_of(reduce(DataFrame.union, found), most_bits))
-    return stored(counts.filter((F.col("f") >= least) | (F.col("size") == 0))), len(found)
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    proposed = bitmap_of(proposal(sample, n_bytes, sample_least, most_bits), most_bits)
+    found = count_pass(texts, proposed, None, least, n_bytes)
+    new, passes = stored(_not_in(proposed, _growing(found))), 1
+    while new.head(1):
+        more = count_pass(texts, bitmap_of(_growing(found), most_bits), bitmap_of(new, most_bits), least, n_bytes)
+        new = stored(_growing(more).join(found, "h", "left_anti"))
+        found, passes = stored(found.union(more).distinct()), passes + 1
+    counts = count_texts(texts, bitmap_of(found, most_bits))
+    return stored(counts.filter((F.col("f") >= least) | (F.col("size") == 0))), passes
 
 
 # -- scores ------------------------------------------------------------------------------------
