@@ -14,14 +14,15 @@ from saleslens.catalog.features import (
     raw,
     scaled_sql,
 )
-from saleslens.functions import age_band, amount_edges, amount_labels, cut, epoch, quarter_label
+from saleslens.functions import age_band, amount_edges, amount_labels, cut, epoch, month_of, quarter_label
 from saleslens.operators import cleaning as C
 from saleslens.operators import encode as E
 from saleslens.operators import profile as R
+from saleslens.operators import ranks as RK
 from saleslens.operators import transactions as X
 from saleslens.operators.ranks import exact_quantiles
 from saleslens.plans import features as FE
-from saleslens.session import scratch
+from saleslens.session import durable, scratch
 from saleslens.sources import tables as IO
 from saleslens.sources.adapters import REFERENCE_DATE, table
 
@@ -108,6 +109,20 @@ def describe_clients(spark, sf_dir):
     return rounded(R.describe(Tables(spark, sf_dir).clients, ["age", "probability"]), 6)
 
 
+@query("a34_sketched_quartiles", over("transactions") + """
+SELECT merchant_category, cuartil, TRUE AS cerca FROM (SELECT DISTINCT merchant_category FROM transactions), (VALUES ('q25'), ('q50'), ('q75')) v(cuartil)""")
+def sketched_quartiles(spark, sf_dir):
+    """Quartiles from one sketch for each month, merged; each has the right part of the amounts below it, within twice the stated error."""
+    tx, quartiles = Tables(spark, sf_dir).transactions.withColumn("mes", month_of("date")), {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    merged = RK.merged_sketches(RK.quantile_sketch(tx, "amount", ["merchant_category", "mes"]), ["merchant_category"])
+    found = durable(RK.sketched_quantiles(merged, quartiles))
+    parts = tx.join(found, "merchant_category").groupBy("merchant_category").agg(*[
+        F.array(F.avg((F.col("amount") < F.col(q)).cast("int")), F.avg((F.col("amount") <= F.col(q)).cast("int"))).alias(q) for q in quartiles])
+    near = F.array(*[F.struct(F.lit(q).alias("cuartil"), ((F.col(q)[0] - f < 0.0266) & (f - F.col(q)[1] < 0.0266)).alias("cerca"))
+                     for q, f in quartiles.items()])
+    return parts.select("merchant_category", F.explode(near).alias("r")).select("merchant_category", "r.*")
+
+
 @query("a35_top_values", over("products") + """
 SELECT product_type, count(*) AS n FROM products GROUP BY 1 ORDER BY n DESC, product_type LIMIT 3""")
 def top(spark, sf_dir):
@@ -601,7 +616,7 @@ SELECT user_id, age, numero_productos, insurance FROM banded LEFT JOIN prod_v12
 def written_split(spark, sf_dir):
     """Features and target as they are in the two folders written."""
     from saleslens.operators.products import product_features
-    from saleslens.session import scratch
+    from saleslens.session import durable, scratch
 
     t, folder = Tables(spark, sf_dir), scratch(spark)
     df = t.demographics.join(product_features(t.products, REFERENCE_DATE), "user_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saleslens.functions import cents, month_of, quarter_label
 from saleslens.operators.factoring import inflation, triangle
-from saleslens.operators.ranks import exact_quantiles
+from saleslens.operators.ranks import quantiles_of_counts, value_counts
 
 TOTAL = "Total"
 
@@ -39,39 +39,55 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def mode(df: DataFrame, column: str) -> DataFrame:
     """Most frequent value, the smallest on ties, from counts per value."""
     counts = frequency(df.where(F.col(column).isNotNull()), column)
-    return counts.agg(F.min(F.struct((-F.col("n")).alias("v"), F.col(column).alias("x")))["x"].alias("moda"))
+    return counts.agg(_most_frequent(column, "n").alias("moda"))
 
 
-def moments(column: str, prefix: str = "") -> list[Column]:
-    x = F.col(column).cast("double")
-    return [
-        F.avg(x).alias(f"{prefix}media"),
-        F.min(column).alias(f"{prefix}minimo"),
-        F.max(column).alias(f"{prefix}maximo"),
-        F.var_samp(x).alias(f"{prefix}varianza"),
-        F.stddev_samp(x).alias(f"{prefix}desviacion"),
-    ]
+def _most_frequent(column: str, n: str) -> Column:
+    return F.min(F.when(F.col(column).isNotNull(), F.struct((-F.col(n)).alias("v"), F.col(column).alias("x"))))["x"]
+
+
+def moments_of_counts(counts: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """Per group of ``by``: rows, rows with a value, mean, extremes, mode, sample variance and deviation, from ``value_counts``.
+
+    The variance is summed around the mean, so it keeps its digits; both passes are over the counts.
+    """
+    n, x = F.col("_n"), F.col("_x")
+    present = F.col(column).isNotNull()
+    first = counts.groupBy(*by).agg(
+        F.sum("_n").alias("filas"), F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("n"),
+        F.sum(x * n).alias("_sum"), F.min(column).alias("minimo"), F.max(column).alias("maximo"),
+        _most_frequent(column, "_n").alias("moda"),
+    ).withColumn("media", F.try_divide("_sum", F.col("n").cast("double"))).drop("_sum")
+    means = first.select(F.struct(*by).alias("_group"), F.col("media").alias("_mean"))
+    around = counts.withColumn("_group", F.struct(*by)).join(means, "_group").groupBy("_group").agg(
+        F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares"))
+    variance = F.try_divide("_squares", (F.col("n") - 1).cast("double"))
+    return first.withColumn("_group", F.struct(*by)).join(around, "_group", "left").withColumns(
+        {"varianza": variance, "desviacion": F.sqrt(variance)}).drop("_group", "_squares")
 
 
 def univariate(df: DataFrame, column: str) -> DataFrame:
-    """Mean, median, mode, range, sample variance and deviation in one row."""
-    median = exact_quantiles(df, column, {"mediana": 0.5})
-    return df.agg(*moments(column)).select(
-        "*", median.scalar().alias("mediana"), mode(df, column).scalar().alias("moda"))
+    """Mean, median, mode, range, sample variance and deviation in one row, from one scan.
+
+    A table without rows has a row of nulls.
+    """
+    counts = value_counts(df.select(column, F.lit(1).alias("_all")), column, ["_all"])
+    if not counts.head(1):
+        counts = counts.unionByName(df.sparkSession.createDataFrame([(1, 0)], "_all int, _n long"), allowMissingColumns=True)
+    found = moments_of_counts(counts, column, ["_all"]).join(
+        quantiles_of_counts(counts, {"mediana": 0.5}, ["_all"]), "_all", "left")
+    return found.select("media", "minimo", "maximo", "varianza", "desviacion", "mediana", "moda")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, deviation, extremes and exact quartiles; one row per column."""
+    """count, mean, deviation, extremes and exact quartiles; one row per column, all from one scan and one shuffle."""
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("columna"), F.col(c).cast("double").alias("valor")) for c in columns
     ])).alias("p")).select("p.*")
-    basic = pairs.groupBy("columna").agg(
-        F.count("valor").alias("n"), F.avg("valor").alias("media"),
-        F.stddev_samp("valor").alias("desviacion"),
-        F.min("valor").alias("minimo"), F.max("valor").alias("maximo"),
-    )
-    return basic.join(exact_quantiles(pairs, "valor", quartiles, by=["columna"]), "columna", "left")
+    counts = value_counts(pairs, "valor", ["columna"])
+    basic = moments_of_counts(counts, "valor", ["columna"]).select("columna", "n", "media", "desviacion", "minimo", "maximo")
+    return basic.join(quantiles_of_counts(counts, quartiles, ["columna"]), "columna", "left")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -161,10 +177,15 @@ def with_total_row(table: DataFrame, label: str, numeric: Sequence[str]) -> Data
     return table.unionByName(row, allowMissingColumns=True)
 
 
+def _with_median(groups: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    medians = quantiles_of_counts(counts, {"mediana": 0.5}, [by]).withColumnRenamed(by, "_by")
+    return groups.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
 def group_median(df: DataFrame, by: str, column: str) -> DataFrame:
-    sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-    medians = exact_quantiles(df, column, {"mediana": 0.5}, by=[by])
-    return sizes.join(medians.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    """Rows and median of ``column`` per value of ``by``, from one scan."""
+    counts = value_counts(df, column, [by])
+    return _with_median(counts.groupBy(by).agg(F.sum("_n").alias("n")), counts, by)
 
 
 def group_mean(df: DataFrame, by: Sequence[str], column: str, name: str = "promedio",
@@ -176,11 +197,10 @@ def group_mean(df: DataFrame, by: Sequence[str], column: str, name: str = "prome
 
 
 def grouped_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Mean, median, deviation and rows of ``column`` per value of ``by``."""
-    basic = df.groupBy(by).agg(
-        F.avg(column).alias("media"), F.stddev_samp(column).alias("sd"), F.count("*").alias("n"))
-    medians = exact_quantiles(df, column, {"mediana": 0.5}, by=[by])
-    return basic.join(medians.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    """Mean, median, deviation and rows of ``column`` per value of ``by``, from one scan."""
+    counts = value_counts(df, column, [by])
+    basic = moments_of_counts(counts, column, [by]).select(by, "media", F.col("desviacion").alias("sd"), F.col("filas").alias("n"))
+    return _with_median(basic, counts, by)
 
 
 def share_within(df: DataFrame, group: str, category: str) -> DataFrame:

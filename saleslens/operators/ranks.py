@@ -88,22 +88,28 @@ def hashed_rank(
     return ranked.drop("_order", "_one")
 
 
-def exact_quantiles(
-    rows: DataFrame,
-    column: str,
+def value_counts(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct value, missing ones too, as ``_n`` beside ``column`` and its number ``_x``.
+
+    This is the one scan that moments, extremes, mode and quantiles share; what it gives is written, as
+    several of them read it.
+    """
+    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    return durable(counts.withColumn("_x", F.col(column).cast("double")))
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
     fractions: Mapping[str, float],
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Linear-interpolated quantiles of ``column``, one row per group of ``by``.
+    """Linear-interpolated quantiles, one row per group of ``by``, from ``value_counts``.
 
-    Rows are first counted per distinct value, where they are still spread over all tasks, and the
-    counts are kept, so the data is read once. The two order statistics around each quantile are
-    then found from the running counts.
+    The two order statistics around each quantile are found from the running counts.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    counts = durable(counts.withColumn("_x", F.col(column).cast("double")))
-    run = running_totals(bucket_by_value(counts, "_x", rows_per_bucket), {"_upto": "_n"},
+    present = counts.where(F.col("_x").isNotNull())
+    run = running_totals(bucket_by_value(present, "_x", rows_per_bucket), {"_upto": "_n"},
                          [F.col("_x")], by)
     first_of, last_of = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
 
@@ -118,3 +124,41 @@ def exact_quantiles(
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         interpolated.append((lo + (hi - lo) * (h_all - F.floor(h_all))).alias(name))
     return run.groupBy(*by).agg(*aggregates).select(*by, *interpolated)
+
+
+def exact_quantiles(
+    rows: DataFrame,
+    column: str,
+    fractions: Mapping[str, float],
+    by: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Linear-interpolated quantiles of ``column``, one row per group of ``by``.
+
+    Rows are first counted per distinct value, where they are still spread over all tasks, and the
+    counts are kept, so the data is read once.
+    """
+    return quantiles_of_counts(value_counts(rows.where(F.col(column).isNotNull()), column, by), fractions, by, rows_per_bucket)
+
+
+# -- quantiles from sketches -----------------------------------------------------
+
+#: Size of a sketch; at 200 a quantile's rank is off by 1.33 % of the rows at most, in 99 of 100 sketches.
+SKETCH_SIZE = 200
+
+
+def quantile_sketch(rows: DataFrame, column: str, by: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """A sketch of the values of ``column`` per group of ``by``, as binary ``sketch``. It can be stored and merged with later ones."""
+    return rows.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One sketch per group from several, such as one for each day's load."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, fractions: Mapping[str, float]) -> DataFrame:
+    """The quantiles of each sketch; null for one without values."""
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    return sketches.withColumns({
+        name: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))) for name, q in fractions.items()}).drop("sketch")

@@ -216,3 +216,25 @@ def test_triangle_keeps_the_digits(spark):
     rows = np.array(df.collect()) - 1e8
     exact = 1 / (1 - np.corrcoef(rows.T)[0, 1] ** 2)
     assert p == pytest.approx(exact, rel=0.05) and q == pytest.approx(p)
+
+
+def test_profiles_read_the_table_once(spark, tmp_path):
+    """What a profile has left to run once its counts are written reads no row of the table."""
+    spark.range(200).select((F.col("id") % 7).alias("g"), (F.col("id") % 50 / 4).alias("x"), F.col("id").alias("y")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for build in (lambda: R.univariate(table, "x"), lambda: R.describe(table, ["x", "y"]), lambda: R.group_median(table, "g", "x"), lambda: R.grouped_stats(table, "g", "x")):
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+        assert f"{tmp_path}/t" not in plan  # the counts were taken in the one scan; what is left to run reads those
+
+
+def test_profiles_of_odd_tables(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 3.0), (None, 5.0), ("b", None)], "g string, x double")
+    one = R.univariate(df, "x").first()
+    assert (one["media"], one["moda"], one["mediana"], one["minimo"], one["maximo"]) == (3.0, 3.0, 3.0, 1.0, 5.0)
+    assert one["varianza"] == pytest.approx(8 / 3) and one["desviacion"] ** 2 == pytest.approx(8 / 3)
+    assert set(R.univariate(df.limit(0), "x").first().asDict().values()) == {None}
+    got = {r["g"]: (r["n"], r["media"], r["mediana"], r["sd"]) for r in R.grouped_stats(df, "g", "x").collect()}
+    assert got["b"] == (1, None, None, None) and got[None] == (1, 5.0, 5.0, None) and got["a"][:3] == (3, pytest.approx(7 / 3), 3.0)
+    assert {r["g"]: (r["n"], r["mediana"]) for r in R.group_median(df, "g", "x").collect()} == {"a": (3, 3.0), "b": (1, None), None: (1, 5.0)}
+    far = spark.createDataFrame([(1e9 + v,) for v in (0.1, 0.2, 0.3)], "x double")
+    assert R.describe(far, ["x"]).first()["desviacion"] == pytest.approx(0.1, rel=1e-6)

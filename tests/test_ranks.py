@@ -52,3 +52,17 @@ def test_no_window_without_partition(spark):
     df = spark.range(100).select("id", (F.col("id") % 2).alias("label"))
     plan = E.stratified_folds(df, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" not in plan
+
+
+def test_sketches_merge_and_keep_their_error(spark):
+    from saleslens.operators import ranks as K
+
+    df = spark.range(40000).select((F.col("id") * 7919 % 40000).cast("double").alias("x"), (F.col("id") % 9).alias("day"), (F.col("id") % 2).alias("g"))
+    fractions = {"low": 0.1, "mid": 0.5, "high": 0.95}
+    merged = K.merged_sketches(K.quantile_sketch(df, "x", ["g", "day"]), ["g"])
+    for r in K.sketched_quantiles(merged, fractions).collect():
+        for name, q in fractions.items():
+            below = df.where((F.col("g") == r["g"]) & (F.col("x") <= r[name])).count() / 20000
+            assert abs(below - q) < 0.0266
+    nothing = K.quantile_sketch(df.withColumn("x", F.lit(None).cast("double")).limit(5), "x")
+    assert K.sketched_quantiles(nothing, fractions).first()["mid"] is None
