@@ -9,7 +9,8 @@
 4. A last pass counts the frequent phrases by their text.
 
 The passes before the last count hashes of 64 bits, so what they call frequent holds every phrase that
-is; the last one settles the counts by text, and the threshold is applied to those. Tasks hold the phrases
+is; the last one settles the counts by text, and the threshold is applied to those
+(a task takes equal hashes for equal phrases in it). Tasks hold the phrases
 that may grow as a bitmap over hashes, of ``MOST_BITS`` bits at most whatever the data; phrases that share a
 bit with one of them are counted as well, which costs time only. Everything after counting is joins on phrases.
 """
@@ -298,47 +299,97 @@ def _not_in(bitmap: np.ndarray, found: DataFrame) -> DataFrame:
     return found.select("h").mapInArrow(run, "h long")
 
 
-def count_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """lang, size, phrase, f of the phrases in the bitmap, and the number of words of each language as a phrase of size 0."""
+class _Texts:
+    """Counts of phrases by hash, with the text of each where it was met first."""
+
+    def __init__(self) -> None:
+        self._known, self._counts, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._parts: list[pa.Table] = []
+        self.size = 0
+
+    def add(self, words: Words, langs: pa.Array, n: int, at: np.ndarray, h: np.ndarray) -> None:
+        h, first, c = np.unique(_tagged(h, n), return_index=True, return_counts=True)
+        spot = np.searchsorted(self._known, h)
+        old = np.zeros(len(h), bool)
+        inside = spot < len(self._known)
+        old[inside] = self._known[spot[inside]] == h[inside]
+        self._counts[spot[old]] += c[old]
+        some = at[first][~old]
+        if len(some):
+            self._parts.append(pa.table([langs.take(pa.array(words.lang[some])).cast(pa.string()), pa.array(np.full(len(some), n, np.int32)), words.phrases(some, n)],
+                                        names=["lang", "size", "phrase"]))
+            self._place = np.insert(self._place, spot[~old], self.size + np.arange(len(some)))
+            self._known, self._counts = np.insert(self._known, spot[~old], h[~old]), np.insert(self._counts, spot[~old], c[~old])
+            self.size += len(some)
+
+    def packed(self, bits: int) -> pa.RecordBatch:
+        """A row for each range of hashes; what the phrases of a range are, is a table of its own."""
+        whole = pa.concat_tables(self._parts).take(pa.array(self._place)).append_column("c", pa.array(self._counts))
+        at = (self._known >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist()
+        tables = [_sent(whole.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(at)], strict=True)]
+        return pa.record_batch([pa.array(at[first]), pa.array(tables, pa.binary())], names=["range", "counts"])
+
+
+def _sent(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def count_texts(texts: DataFrame, bitmap: np.ndarray, least: int, n_bytes: int) -> DataFrame:
+    """lang, size, phrase, f of the frequent phrases in the bitmap, and the number of words of each language as a phrase of size 0.
+
+    Sums go to the receivers in ranges of hashes, as in ``frequent_hashes``, but are added up by text.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    names = ["lang", "size", "phrase", "c"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, texts_of, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        place = np.zeros(0, np.int64)  # of a phrase in texts_of
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            if texts_of:
-                whole = pa.Table.from_batches(texts_of, pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string())]))
-                by_place = np.empty(len(counts), np.int64)
-                by_place[place] = counts
-                yield from whole.append_column("c", pa.array(by_place)).to_batches(max_chunksize=ROWS)
+    bits = max(6, (n_bytes // RANGE_BYTES).bit_length())
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = _Texts(), {}
         for words, langs in _of(batches):
-            c = np.bincount(words.lang, minlength=len(langs))
-            yield pa.record_batch([langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.array(c.astype(np.int64))], names=names)
+            for lang, c in zip(langs.to_pylist(), np.bincount(words.lang, minlength=len(langs)).tolist(), strict=True):
+                total[lang] = total.get(lang, 0) + c
             for n, at, h in words.levels(lambda _, h: _holds(shared.value, h)):
                 kept = _holds(shared.value, h)
-                h, first, c = np.unique(_tagged(h[kept], n), return_index=True, return_counts=True)
-                spot = np.searchsorted(known, h)
-                old = np.zeros(len(h), bool)
-                inside = spot < len(known)
-                old[inside] = known[spot[inside]] == h[inside]
-                counts[spot[old]] += c[old]
-                some = at[kept][first][~old]
-                if len(some):
-                    texts_of.append(pa.record_batch([langs.take(pa.array(words.lang[some])).cast(pa.string()), pa.array(np.full(len(some), n, np.int32)), words.phrases(some, n)],
-                                                    names=["lang", "size", "phrase"]))
-                    place = np.insert(place, spot[~old], size + np.arange(len(some)))
-                    known, counts = np.insert(known, spot[~old], h[~old]), np.insert(counts, spot[~old], c[~old])
-                    size += len(some)
-            if size > KEPT_TEXTS:
-                yield from rows()
-                known, counts, place, texts_of, size = known[:0], counts[:0], place[:0], [], 0
-        yield from rows()
-
-    counted = texts.mapInArrow(run, "lang string, size int, phrase string, c long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"))
+                held.add(words, langs, n, at[kept], h[kept])
+            if held.size > KEPT_TEXTS:
+                yield held.packed(bits)
+                held = _Texts()
+        if held.size:
+            yield held.packed(bits)
+        if total:
+            sums = pa.table([pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()),
+                             pa.array(list(total.values()), pa.int64())], names=["lang", "size", "phrase", "c"])
+            yield pa.record_batch([pa.array([0], pa.int64()), pa.array([_sent(sums)], pa.binary())], names=["range", "counts"])
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(tables: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("c", "sum")]).rename_columns(["lang", "size", "phrase", "c"])
+
+        def done(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            out = summed(tables).rename_columns(["lang", "size", "phrase", "f"])
+            frequent = np.logical_or(out.column("f").to_numpy() >= least, out.column("size").to_numpy() == 0)
+            yield from out.filter(pa.array(frequent)).to_batches(max_chunksize=ROWS)
+
+        now, tables, size = None, [], 0
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if place != now and tables:
+                    yield from done(tables)
+                    tables, size = [], 0
+                now = place
+                tables.append(pa.ipc.open_stream(data.as_buffer()).read_all())
+                size += tables[-1].num_rows
+                if size > KEPT:
+                    tables = [summed(tables)]
+                    size = tables[0].num_rows
+        if tables:
+            yield from done(tables)
+
+    sent = texts.mapInArrow(send, "range long, counts binary")
+    return stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(receive, "lang string, size int, phrase string, f long"))
 
 
 def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEAST,
@@ -357,8 +408,7 @@ def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, sample_lea
         more = count_pass(texts, bitmap_of(_growing(found), most_bits), bitmap_of(new, most_bits), least, n_bytes)
         new = stored(_growing(more).join(found, "h", "left_anti"))
         found, passes = stored(found.union(more).distinct()), passes + 1
-    counts = count_texts(texts, bitmap_of(found, most_bits))
-    return stored(counts.filter((F.col("f") >= least) | (F.col("size") == 0))), passes
+    return count_texts(texts, bitmap_of(found, most_bits), least, n_bytes), passes
 
 
 # -- scores ------------------------------------------------------------------------------------
