@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleslens import schemas as S
@@ -13,9 +16,13 @@ from saleslens.functions import (
     priority_band,
     series_name,
 )
+from saleslens.operators import buckets as BU
 from saleslens.operators import cleaning as C
+from saleslens.operators import cube as CU
 from saleslens.operators import dashboard as D
 from saleslens.operators import merge as M
+from saleslens.operators import paging as PG
+from saleslens.session import scratch
 from saleslens.sources import tables as IO
 from saleslens.sources.adapters import table
 
@@ -108,6 +115,37 @@ def matrix(spark, sf_dir):
     return D.banded_matrix(Tables(spark, sf_dir).clients, "age", "risk_profile", "count")
 
 
+def _cube(spark, sf_dir):
+    return CU.build(Tables(spark, sf_dir).clients, scratch(spark))
+
+
+_PAIRS = [(x, y) for i, x in enumerate(["age", "income_range", "risk_profile", "occupation", "segment"])
+          for y in ["age", "income_range", "risk_profile", "occupation", "segment"][i + 1:]]
+
+
+@query("d05_heatmaps_from_cube", over("clients") + " UNION ALL ".join(f"""
+SELECT '{x}' AS eje_x, '{y}' AS eje_y, coalesce(CAST({x} AS VARCHAR), 'N/A') AS x, coalesce(CAST({y} AS VARCHAR), 'N/A') AS y, count(id) AS value
+FROM clients GROUP BY {x}, {y}""" for x, y in _PAIRS))
+def cube_heatmaps(spark, sf_dir):
+    """Every pair of the heat maps from the stored counts."""
+    cube = _cube(spark, sf_dir)
+    parts = [cube.heatmap(x, y).select(F.lit(x).alias("eje_x"), F.lit(y).alias("eje_y"), "x", "y", "value") for x, y in _PAIRS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+for metric, value, zero in (("count", "count(id)", "0"), ("probability", "round_even(avg(probability), 2)", "0.0::DOUBLE")):
+    query(f"d06_banded_heatmap_{metric}_from_cube", over("clients", more=GRID) + f"""
+SELECT y_pos, x_pos, y, x, coalesce({value}, {zero}) AS value FROM xs CROSS JOIN ys
+LEFT JOIN clients ON {AGES} = x AND risk_profile = y GROUP BY ALL""")(
+        lambda spark, sf_dir, metric=metric: _cube(spark, sf_dir).banded_heatmap("age", "risk_profile", metric))
+
+
+@query("a26_contingency_from_cube", over("clients") + "SELECT occupation, " + ", ".join(
+    f"count(*) FILTER (income_range = '{v}') AS \"{v}\"" for v in S.INCOME_RANGES) + " FROM clients GROUP BY occupation")
+def cube_contingency(spark, sf_dir):
+    return _cube(spark, sf_dir).contingency("occupation", "income_range", S.INCOME_RANGES)
+
+
 @query("d14_segment_opportunity", over("clients") + """
 SELECT income_range AS x, risk_profile AS y, count(*) AS value,
  CAST(floor(count(*) * 0.2::DOUBLE + 0.5) AS BIGINT) AS expected_conversion,
@@ -210,6 +248,14 @@ def page(spark, sf_dir):
     return D.ranked_page(Tables(spark, sf_dir).clients, 3, 25).select("id", "probability")
 
 
+@query("o01_page_by_position", over("clients") + """
+SELECT id, probability FROM clients ORDER BY probability DESC NULLS FIRST, id LIMIT 10 OFFSET (SELECT count(*) // 20 * 10 FROM clients)""")
+def page_by_position(spark, sf_dir):
+    """A page from the middle of the ranked clients, from the ranges it lies in."""
+    ranked = PG.ranked_clients(Tables(spark, sf_dir).clients, scratch(spark), rows_per_range=100)
+    return ranked.page(ranked.total() // 20 + 1, 10).select("id", "probability")
+
+
 @query("o01_next_page_by_key", over("clients", more="""
 lastrow AS (SELECT probability AS p, id AS i FROM clients ORDER BY probability DESC NULLS FIRST, id LIMIT 1 OFFSET 49)""") + """
 SELECT c.id, probability FROM clients c, lastrow WHERE probability < p OR (probability = p AND c.id > i)
@@ -357,6 +403,27 @@ def prediction_upsert(spark, sf_dir):
     return M.upsert_predictions(*_stored_and_arrived(Tables(spark, sf_dir)))
 
 
+def _in_batches(store, rows, update, key=None):
+    """Merge rows in three batches, the second one twice."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    for i in (0, 1, 1, 2):
+        store.merge(rows.where(part == i), update, f"batch {i}", key)
+    return store.read()
+
+
+@query("s06_bucket_merge", UPSERT_SQL)
+def prediction_buckets(spark, sf_dir):
+    """The predictions kept in buckets; the new ones come in three batches, the latest of a client first of all."""
+    stored, arrived = _stored_and_arrived(Tables(spark, sf_dir))
+    store = BU.create(stored, scratch(spark), "user_id", 16)
+
+    def update(old, new):
+        newer = M.latest_per_key(old.where("created_at > '2023-01-01'").unionByName(new), "user_id", ["created_at", "probability"])
+        return M.upsert_predictions(old, newer)
+
+    return _in_batches(store, arrived, update)
+
+
 @query("u04_union_of_upsert_halves", UPSERT_SQL)
 def upsert_union(spark, sf_dir):
     return M.upsert(*_stored_and_arrived(Tables(spark, sf_dir)), order=["created_at", "probability"])
@@ -375,20 +442,34 @@ PEOPLE = """people AS (SELECT d.* FROM demographics d WHERE user_id IN (SELECT C
  UNION ALL SELECT 's' || s_suppkey, 40, '150k+', 'moderate', 'SUPPLIER' FROM supplier)"""
 
 
-@query("s07_client_upsert", over("clients", "demographics", more=PEOPLE) + """
+CLIENT_UPSERT = over("clients", "demographics", more=PEOPLE) + """
 SELECT coalesce(c.user_id, d.user_id) AS user_id, coalesce(d.age, c.age) AS age, coalesce(d.occupation, c.occupation) AS occupation,
  CASE WHEN d.user_id IS NULL THEN c.status ELSE 'pending' END AS status,
  CASE WHEN d.user_id IS NULL THEN c.probability ELSE 0.5 END AS probability,
  CASE WHEN d.user_id IS NULL THEN c.segment ELSE 'potential' END AS segment
-FROM clients c FULL JOIN people d ON c.user_id = d.user_id""")
-def client_upsert(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    seen = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"))
-    suppliers = table(spark, sf_dir, "supplier").select(
+FROM clients c FULL JOIN people d ON c.user_id = d.user_id"""
+
+
+def _people(t):
+    seen = table(t.spark, t.sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"))
+    suppliers = table(t.spark, t.sf_dir, "supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("user_id"), F.lit(40).alias("age"),
         F.lit("150k+").alias("income_range"), F.lit("moderate").alias("risk_profile"), F.lit("SUPPLIER").alias("occupation"))
-    people = M.already_in(t.demographics, seen).unionByName(suppliers)
-    merged = M.upsert_clients(t.clients, people, "2024-01-01")
+    return M.already_in(t.demographics, seen).unionByName(suppliers)
+
+
+@query("s07_client_upsert", CLIENT_UPSERT)
+def client_upsert(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    merged = M.upsert_clients(t.clients, _people(t), "2024-01-01")
+    return merged.select("user_id", "age", "occupation", "status", "probability", "segment")
+
+
+@query("s07_bucket_merge", CLIENT_UPSERT)
+def client_buckets(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    store = BU.create(t.clients, scratch(spark), "user_id", 16)
+    merged = _in_batches(store, _people(t), lambda old, new: M.upsert_clients(old, new, "2024-01-01"))
     return merged.select("user_id", "age", "occupation", "status", "probability", "segment")
 
 
@@ -441,6 +522,18 @@ def status_clients(spark, sf_dir):
     return M.apply_status_changes(t.clients, t.changes).clients.select("id", "status", "last_contact_date")
 
 
+@query("d11_bucket_merge", STATUS + """
+SELECT id, coalesce(new_status, status) AS status, changed_at AS last_contact_date
+FROM clients LEFT JOIN latest ON id = client_id""")
+def status_buckets(spark, sf_dir):
+    """The changes come in one batch and again; buckets without a change keep their files."""
+    t = Tables(spark, sf_dir)
+    store = BU.create(t.clients, scratch(spark), "id", 16)
+    for batch in ("first", "again"):
+        store.merge(t.changes, lambda old, new: M.apply_status_changes(old, new).clients, batch, "client_id")
+    return store.read().select("id", "status", "last_contact_date")
+
+
 @query("d11_status_update_contacts", STATUS + """
 SELECT client_id, changed_at AS contacted_at, 'app' AS channel, 'Actualización de estado vía API' AS notes,
  CAST(NULL AS VARCHAR) AS outcome FROM known WHERE new_status = 'contacted'""")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from saleslens import schemas as S
 from saleslens.catalog.base import Tables, over, query, rounded
 from saleslens.functions import combo_label, combo_listed
+from saleslens.operators import maintained as MT
 from saleslens.operators import products as P
 from saleslens.operators import transactions as X
 from saleslens.plans import features as FE
+from saleslens.session import scratch
 from saleslens.sources.adapters import REFERENCE_DATE
 
 FLAGS = "checking_account, savings_account, credit_card, insurance, investment"
@@ -209,6 +211,48 @@ def changes(spark, sf_dir):
     return rounded(rounded(df, 2, "variacion_monto"), 6, "variacion_monto_pct")
 
 
+def _deltas(t):
+    """A first load of most transactions and three later ones."""
+    tx = t.transactions
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(10))
+    return tx.where(part < 7), [tx.where(part == i) for i in (7, 8, 9)]
+
+
+@query("a17_maintained_rollup", over("monthly") + """
+SELECT user_id, mes, total / 100.0::DOUBLE AS monto_mes, n AS transacciones_mes FROM monthly""")
+def maintained_rollup(spark, sf_dir):
+    """Stored sums of a first load and three deltas, one of them sent twice."""
+    first, deltas = _deltas(Tables(spark, sf_dir))
+    store = MT.create_sums(first, scratch(spark), 16)
+    for name, delta in (("a", deltas[0]), ("b", deltas[1]), ("b", deltas[1]), ("c", deltas[2])):
+        MT.add_transactions(store, delta, name)
+    return MT.months(store.read()).select("user_id", "mes", (F.col("cents") / 100).alias("monto_mes"), "transacciones_mes")
+
+
+@query("w02_maintained_changes", over("lagged") + """
+SELECT user_id, mes, total / 100.0::DOUBLE AS monto_mes, n AS transacciones_mes,
+round(total / 100.0::DOUBLE - previous / 100.0::DOUBLE, 2) AS variacion_monto,
+round(total::DOUBLE / previous - 1, 6) AS variacion_monto_pct FROM lagged""")
+def maintained_changes(spark, sf_dir):
+    first, deltas = _deltas(Tables(spark, sf_dir))
+    store = MT.create_changes(MT.sums_of(first), scratch(spark), 16)
+    for i, delta in enumerate(deltas):
+        MT.add_to_changes(store, delta, f"delta {i}")
+    return rounded(rounded(MT.changes(store), 2, "variacion_monto"), 6, "variacion_monto_pct")
+
+
+@query("a18_a20_maintained_trend", over("trend", "peaks") + """
+SELECT user_id, months AS n_meses_activos, mes_mas_compras, mes_mayor_monto, round(pct_all, 6) AS variacion_mensual_promedio_pct
+FROM trend JOIN peaks USING (user_id)""")
+def maintained_trend(spark, sf_dir):
+    first, deltas = _deltas(Tables(spark, sf_dir))
+    store = MT.create_sums(first, scratch(spark), 16)
+    for i, delta in enumerate(deltas):
+        MT.add_transactions(store, delta, f"delta {i}")
+    return rounded(MT.customer_sums(store).select(
+        "user_id", F.col("_months").alias("n_meses_activos"), "mes_mas_compras", "mes_mayor_monto", "variacion_mensual_promedio_pct"), 6)
+
+
 @query("w04_category_shares", over("cats") + """
 SELECT user_id, merchant_category, total / 100.0::DOUBLE AS total_spend_cat, n,
  CAST(sum(total) OVER (PARTITION BY user_id) AS BIGINT) / 100.0::DOUBLE AS user_spend,

@@ -452,3 +452,18 @@ def streamed_changes(spark, sf_dir):
     started.awaitTermination()
     last = started.lastProgress["batchId"]
     return spark.read.parquet(f"{folder}/out/clients/batch={last}").select("id", "status")
+
+
+@query("t01_keyed_status", STREAM_SQL)
+def keyed_status(spark, sf_dir):
+    """The changes come in three runs, out of order and the second part twice; state keeps the latest of each client."""
+    from saleslens.streaming.status import current_clients, keep_status
+
+    t, folder = Tables(spark, sf_dir), scratch(spark)
+    changes = t.changes
+    part = F.pmod(F.xxhash64(*changes.columns), F.lit(3))
+    for i in (2, 0, 0, 1):
+        changes.where(part == i).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{folder}/in")
+        keep_status(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return current_clients(t.clients, f"{folder}/out").select("id", "status")
