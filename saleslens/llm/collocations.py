@@ -32,7 +32,7 @@ SAMPLE, SAMPLE_LEAST = 8, 2
 #: Bits of the bitmap of a proposal at most (16 MB), bits of one piece of it, and bytes of text in an array pass.
 MOST_BITS, PIECE_BITS, PASS_BYTES = 27, 19, 1 << 20
 #: Bytes of text whose phrases make a range of hashes, counts of hashes and of phrases that a task keeps, and rows that it hands over at once.
-RANGE_BYTES, KEPT, KEPT_TEXTS, ROWS = 8 << 20, 1 << 20, 300_000, 50_000
+RANGE_BYTES, KEPT, KEPT_TEXTS, ROWS = 8 << 20, 1 << 20, 1 << 20, 50_000
 #: A longer phrase with so many parts of a phrase's occurrences, in fifths, makes it redundant.
 REDUNDANT_FIFTHS = 4
 _RADIX = np.uint64(0x9FB21C651E98DF25)
@@ -184,6 +184,22 @@ class _Sums:
         return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
+def _packed(h: np.ndarray, c: np.ndarray) -> bytes:
+    """Hashes in order and their counts, as steps, byte by byte of all of them, so that what is zero packs away."""
+    import zstandard
+
+    steps = np.stack([np.diff(h, prepend=np.uint64(0)), c.astype(np.uint64)])
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    steps = np.ascontiguousarray(planes.reshape(2, 8, -1).transpose(0, 2, 1)).view(np.uint64)[..., 0]
+    return np.cumsum(steps[0]), steps[1].astype(np.int64)
+
+
 def frequent_hashes(texts: DataFrame, phrases_of, least: int, n_bytes: int) -> DataFrame:
     """Hashes ``h`` (long) that occur ``least`` times or more in what ``phrases_of`` gives for some words.
 
@@ -197,8 +213,7 @@ def frequent_hashes(texts: DataFrame, phrases_of, least: int, n_bytes: int) -> D
             at = (h >> np.uint64(64 - bits)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
-            return pa.record_batch([pa.array(at[first]), pa.array([h[a:b].tobytes() for a, b in bounds], pa.binary()),
-                                    pa.array([c[a:b].tobytes() for a, b in bounds], pa.binary())], names=["range", "h", "c"])
+            return pa.record_batch([pa.array(at[first]), pa.array([_packed(h[a:b], c[a:b]) for a, b in bounds], pa.binary())], names=["range", "sums"])
 
         sums = _Sums()
         for words, _ in _of(batches):
@@ -220,12 +235,12 @@ def frequent_hashes(texts: DataFrame, phrases_of, least: int, n_bytes: int) -> D
 
         now, sums, size = None, [], 0
         for batch in batches:
-            for place, hs, cs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place != now and sums:
                     yield done(sums)
                     sums, size = [], 0
                 now = place
-                sums.append((np.frombuffer(hs, np.uint64), np.frombuffer(cs, np.int64)))
+                sums.append(_unpacked(data))
                 size += len(sums[-1][0])
                 if size > 4 * KEPT:  # a range keeps one count for each of its hashes, however many tasks sent them
                     held = _Sums(1 << 62)
@@ -235,7 +250,7 @@ def frequent_hashes(texts: DataFrame, phrases_of, least: int, n_bytes: int) -> D
         if sums:
             yield done(sums)
 
-    sent = texts.mapInArrow(send, "range long, h binary, c binary")
+    sent = texts.mapInArrow(send, "range long, sums binary")
     return stored(sent.repartition("range").sortWithinPartitions("range").mapInArrow(receive, "h long"))
 
 
@@ -333,7 +348,7 @@ class _Texts:
 
 def _sent(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
