@@ -111,6 +111,15 @@ def test_empty_table(spark):
     assert C.collocations(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packed_sums():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        c = rng.integers(1, 1 << 40, len(h))
+        again = C._unpacked(C._packed(h, c))
+        assert (again[0] == h).all() and (again[1] == c).all()
+
+
 def test_sums_of_hashes():
     rng = np.random.default_rng(0)
     sums, want = C._Sums(1000), Counter()
