@@ -5,9 +5,9 @@ BM25 score reaches a share of their own best score are retrieved by block-max WA
 is verified by the overlap of word sequences with its first part (the question) and its last part
 (the answer).
 
-The index is small and is sent to the tasks in shards of at most ``SHARD_WORDS`` words of test items,
-so that a task never holds more than one shard; a larger benchmark takes more passes over the
-documents. Most passages can't reach any threshold: common words add too little, and the sums of
+The index is sent to the tasks in shards of about ``SHARD_WORDS`` words of test items; a larger
+benchmark takes more passes over the documents. Its statistics are those of the whole benchmark,
+however it is cut. Most passages can't reach any threshold: common words add too little, and the sums of
 the rare ones show it in array steps before the index is asked.
 """
 
@@ -66,24 +66,41 @@ class Index:
         return pieces[min(len(pieces), (at // BLOCK + 1) * BLOCK) - 1]
 
 
+@dataclass
+class Statistics:
+    """What BM25 needs of all pieces of the benchmark, and of the terms of the pieces at hand."""
+
+    pieces: int
+    mean: float
+    df: dict[int, int]
+
+
+def pieces_of(item: int, h: np.ndarray) -> list[tuple[int, list[int]]]:
+    """An item in pieces of equal length, ``PIECE`` words at most."""
+    listed = h.tolist()
+    parts = max(1, -(-len(listed) // PIECE))
+    size = -(-len(listed) // parts) if listed else 0
+    return [(item, listed[k * size:(k + 1) * size]) for k in range(parts) if listed]
+
+
 def build(items: list[tuple[int, str]], share: float = SHARE) -> Index:
-    """Index of the pieces of items; the score of a term in a piece is its whole BM25 weight."""
-    pieces: list[tuple[int, list[int]]] = []
-    for (item, _), h in zip(items, words_of([t for _, t in items]), strict=True):
-        listed = h.tolist()
-        parts = max(1, -(-len(listed) // PIECE))
-        size = -(-len(listed) // parts) if listed else 0
-        pieces += [(item, listed[k * size:(k + 1) * size]) for k in range(parts) if listed]
+    """Index of the pieces of items that are the whole benchmark."""
+    pieces = [x for (item, _), h in zip(items, words_of([t for _, t in items]), strict=True) for x in pieces_of(item, h)]
+    df = Counter(t for _, w in pieces for t in set(w))
+    return index_of(pieces, Statistics(len(pieces), sum(len(w) for _, w in pieces) / max(1, len(pieces)), df), share)
+
+
+def index_of(pieces: list[tuple[int, list[int]]], known: Statistics, share: float = SHARE) -> Index:
+    """Index of pieces; the score of a term in a piece is its whole BM25 weight."""
     counts = [Counter(w) for _, w in pieces]
-    df = Counter(t for c in counts for t in c)
-    mean = sum(len(w) for _, w in pieces) / max(1, len(pieces))
+    df, mean = known.df, known.mean
     out = Index([i for i, _ in pieces], [w for _, w in pieces], [])
     lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for p, c in enumerate(counts):
         length = len(pieces[p][1])
         own = 0.0
         for t, tf in c.items():
-            idf = math.log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5))
+            idf = math.log(1 + (known.pieces - df[t] + 0.5) / (df[t] + 0.5))
             score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
             lists[t].append((p, score))
             own += score
@@ -162,25 +179,38 @@ def overlaps(words: list[int], passage: list[int], gram: int = GRAM) -> tuple[fl
     return out[0], out[1]
 
 
-def shards(benchmark: DataFrame, most: int = SHARD_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of bounded size; rows stream through the driver and one list is held at a time."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), text_or_empty().alias("t")).filter("i is not null").distinct()
-    for r in rows.toLocalIterator():
-        n = r.t.count(" ") + 1
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((r.i, r.t))
-        size += n
-    if held:
-        yield held
-
+def indexes(benchmark: DataFrame, most: int = SHARD_WORDS) -> Iterator[Index]:
+    """The index in shards of about ``most`` words, dealt by a hash of the pieces; one is built at a time.
 
-def matches_in(docs: DataFrame, index: Index, gram: int = GRAM, overlap: float = OVERLAP) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: the best verified passage of each document and item."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    Pieces, the number of pieces of each term, and the mean length are those of the whole benchmark, counted
+    once by Spark, so a score does not depend on the shard it comes from.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for i, h in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist()), strict=True) for x in pieces_of(i, h)]
+            listed = pa.array([np.array(w, np.uint64).view(np.int64).tolist() for _, w in found], pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), listed], names=["item", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), text_or_empty().alias("t")).filter("i is not null").distinct()
+    pieces = stored(items.mapInArrow(run, "item long, words array<long>"))
+    total = pieces.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("w")).first()
+    terms = stored(pieces.select("item", F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+    n = max(1, -(-total.w // most))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(n)))
+    for k in range(n):
+        own = dealt.filter(F.col("shard") == k).select("item", "words")
+        used = terms if n == 1 else terms.join(own.select(F.explode("words").alias("t")).distinct(), "t", "left_semi")
+        df = {int(np.int64(r.t).view(np.uint64)): r.df for r in used.collect()}  # terms of one shard
+        rows = sorted((r.item, np.array(r.words, np.int64).view(np.uint64).tolist()) for r in own.collect())  # words of one shard
+        yield index_of(rows, Statistics(total.n, total.w / max(1, total.n), df))
+
+
+def finder(index: Index, gram: int = GRAM, overlap: float = OVERLAP):
+    """A function from the bytes and offsets of texts to what is found: (text, item) to score and overlaps of the best verified passage.
+
+    Few passages reach the index: those whose rare words leave some item in reach, which is summed in array steps. What
+    the other words can add is bounded, so nothing that could be retrieved is left out.
+    """
     terms = np.array(sorted(index.rare), np.uint64)
     sizes = np.array([len(index.rare[t]) for t in terms.tolist()], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -226,21 +256,33 @@ def matches_in(docs: DataFrame, index: Index, gram: int = GRAM, overlap: float =
         start = firsts[owner] + (begin - first[owner]) * step
         return owner, start, np.minimum(start + 2 * step, firsts[owner + 1])
 
+    def found_in(data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        low = lower_ascii(data)
+        starts, ends, firsts = word_bounds(low, offsets, separator)
+        h = word_hashes(low, starts, ends)
+        found: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for text, begin, end in zip(*(x.tolist() for x in candidates(h, firsts)), strict=True):
+            passage = h[begin:end].tolist()
+            for piece, score in retrieve(index, set(passage)):
+                q, a = overlaps(index.words[piece], passage, gram)
+                if max(q, a) >= overlap:
+                    key = (text, index.items[piece])
+                    found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (score, q, a))
+        return found
+
+    return found_in
+
+
+def matches_in(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: the best verified passage of each document and item."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found_in = finder(index)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                low = lower_ascii(data)
-                starts, ends, firsts = word_bounds(low, offsets, separator)
-                h = word_hashes(low, starts, ends)
-                found: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for text, begin, end in zip(*(x.tolist() for x in candidates(h, firsts)), strict=True):
-                    passage = h[begin:end].tolist()
-                    for piece, score in retrieve(index, set(passage)):
-                        q, a = overlaps(index.words[piece], passage, gram)
-                        if max(q, a) >= overlap:
-                            key = (text, index.items[piece])
-                            found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (score, q, a))
+            for lo, _, data, offsets in text_chunks(batch.column(1)):
+                found = found_in(data, offsets)
                 if found:
                     listed = sorted(found)
                     values = [found[k] for k in listed]
@@ -253,23 +295,33 @@ def matches_in(docs: DataFrame, index: Index, gram: int = GRAM, overlap: float =
         run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row for each document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
 
     Null texts count as empty, which match nothing; items without id are left out; repeated items and
-    rows give one row for each distinct pair. An empty table on either side gives none. With several
-    shards, BM25 statistics are those of the shard.
+    rows give one row for each distinct pair. An empty table on either side gives none.
     """
-    found = [matches_in(docs, build(items)) for items in shards(benchmark)]
-    if not found:
-        found = [matches_in(docs, build([]))]
+    found = [matches_in(docs, index) for index in indexes(benchmark, shard_words)]
     if len(found) > 1:
         found = [stored(x) for x in found]
     return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(
         *(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
-def without_test_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no test item is found, with all columns; rows without doc_id stay."""
-    bad = matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+def without_test_items(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows in whose text no test item is found, with all columns. Each row is judged by its own text, whatever its id."""
+    place = docs.columns.index("text")
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        found_in = finder(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in text_chunks(batch.column(place).cast(pa.string())):
+                    clean[[lo + text for text, _ in found_in(data, offsets)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(without, indexes(benchmark, shard_words), docs)

@@ -121,64 +121,70 @@ def locate(window: int, whole: bool):
 
     Patterns are (doc_id, place) of an occurrence in the block, the first occurrence in the corpus
     (first_doc, first_place), and for first occurrences themselves the windows (as bits) that start
-    earlier in another segment.
+    earlier in another segment. ``alone`` marks first occurrences that a block holds no other of: their
+    bits count, but there is nothing to look for.
     """
     import ahocorasick
 
     separator = space_table()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, ids = left.column("text").to_pylist(), left.column("doc_id").to_pylist()
+        ids = left.column("doc_id").to_numpy()
         data, offsets = flat_texts(left.column("text"))
         starts, ends, firsts = word_bounds(data, offsets, separator)
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        number: dict[bytes, int] = {}
-        coded = [number.setdefault(w, len(number)) for w in words]
-        edges = firsts.tolist()
-        row_of = {d: i for i, d in enumerate(ids)}
-        gone = np.zeros(len(words) + 1, np.int64)  # +1 where a removed stretch begins, -1 after it
+        # Words are numbered by their hashes, all at once.
+        coded = np.unique(word_hashes(data, starts, ends), return_inverse=True)[1].tolist()
+        order = np.argsort(ids, kind="stable")
+        doc, where = right.column("doc_id").to_numpy(), right.column("place").to_numpy()
+        at = firsts[order[np.searchsorted(ids[order], doc)]] + (where >> 8) if len(doc) else np.zeros(0, np.int64)
+        gone = np.zeros(len(starts) + 1, np.int64)  # +1 where a removed stretch begins, -1 after it
+        bits = right.column("bits").fill_null(0).to_numpy()
+        for j in range(16):
+            late = at[bits >> j & 1 == 1] + j
+            np.add.at(gone, late, 1)
+            np.add.at(gone, late + window, -1)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        columns = [right.column(c).to_pylist() for c in ("doc_id", "place", "first_doc", "first_place", "bits")]
-        for doc, where, first_doc, first_place, bits in zip(*columns, strict=True):
-            a = edges[row_of[doc]] + (where >> 8)
-            if bits:
-                for j in range(16):
-                    if bits >> j & 1:
-                        gone[a + j] += 1
-                        gone[a + j + window] -= 1
-            phrase = tuple(coded[a:a + window + (where & 15)])
-            mark = (first_doc, first_place >> 8, len(phrase))
+        sought = np.flatnonzero(~right.column("alone").to_numpy())
+        columns = (at[sought].tolist(), (window + (where[sought] & 15)).tolist(), right.column("first_doc").to_numpy()[sought].tolist(),
+                   (right.column("first_place").to_numpy()[sought] >> 8).tolist())
+        for a, n, first_doc, first in zip(*columns, strict=True):
+            phrase = tuple(coded[a:a + n])
+            mark = (first_doc, first, n)
             known = automaton.get(phrase, None)
             automaton.add_word(phrase, mark if known is None else min(known, mark))
         if len(automaton):
             automaton.make_automaton()
-            for i, doc in enumerate(ids):
+            edges = firsts.tolist()
+            for i, own in enumerate(ids.tolist()):
                 text = tuple(coded[edges[i]:edges[i + 1]])
                 for end, (first_doc, first, n) in automaton.iter(text):
                     start = end - n + 1
-                    if (doc, start) > (first_doc, first):
+                    if (own, start) > (first_doc, first):
                         gone[edges[i] + start] += 1
                         gone[edges[i] + start + n] -= 1
         stays = np.cumsum(gone)[:-1] == 0
-        kept = []
-        for i in range(len(ids)):
-            part = stays[edges[i]:edges[i + 1]]
-            kept.append(b" ".join(words[edges[i] + j] for j in np.flatnonzero(part).tolist()))
-        n = np.diff(firsts)
-        left_over = np.diff(np.concatenate(([0], np.cumsum(stays)))[firsts])
+        # What stays of all documents in a row, a space after each word.
+        sizes = ends[stays] - starts[stays] + 1
+        upto = np.cumsum(sizes)
+        joined = np.append(data, np.uint8(0x20))[np.repeat(starts[stays] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        joined[upto - 1] = 0x20
+        left_words = np.concatenate(([0], np.cumsum(stays)))[firsts]
+        edge = np.concatenate(([0], upto))[left_words].tolist()
+        raw = joined.tobytes()
+        kept = [raw[a:max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        n, left_over = np.diff(firsts), np.diff(left_words)
         out = [left.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - left_over, pa.int64())]
         if whole:
-            some = (n - left_over).tolist()
+            some, texts = (n - left_over).tolist(), left.column("text").to_pylist()
             kept_text = [k.decode() if removed else t for k, t, removed in zip(kept, texts, some, strict=True)]
             return pa.table([*out, pa.array(kept_text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-        return pa.table([*out, pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table([*out, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
 def repeats(docs: DataFrame, blocks: int, window: int, phrase: int) -> DataFrame:
-    """block, doc_id, place, first_doc, first_place, bits: the patterns each block compiles."""
+    """block, doc_id, place, first_doc, first_place, bits, alone: the patterns of each block."""
     spread = _block(F.col("doc_id"), blocks)
     found = stored(find_anchors(docs, window, phrase))
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -190,11 +196,12 @@ def repeats(docs: DataFrame, blocks: int, window: int, phrase: int) -> DataFrame
                     .select("h", "seg", "n", F.col("f.doc_id").alias("first_doc"), F.col("f.place").alias("first_place"), F.col("f.windows").alias("windows")))
     bits = earlier_windows(firsts)
     told = firsts.select("h", "seg", "n", "first_doc", "first_place").join(bits, ["h", "seg"], "left")
-    where = segments.withColumn("block", spread).groupBy("block", "h", "seg").agg(F.min(F.struct("doc_id", "place")).alias("o"))
-    joined = where.join(told, ["h", "seg"]).filter("n > 1 or bits is not null").select(
-        "block", F.col("o.doc_id").alias("doc_id"), F.col("o.place").alias("place"), "first_doc", "first_place",
-        F.when((F.col("o.doc_id") == F.col("first_doc")) & (F.col("o.place") == F.col("first_place")), F.col("bits")).alias("bits"))
-    return joined
+    where = segments.withColumn("block", spread).groupBy("block", "h", "seg").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.count("*").alias("k"))
+    first = (F.col("o.doc_id") == F.col("first_doc")) & (F.col("o.place") == F.col("first_place"))
+    alone = first & (F.col("k") == 1)
+    joined = where.join(told, ["h", "seg"]).filter("n > 1 or bits is not null").filter(~alone | F.col("bits").isNotNull())
+    return joined.select("block", F.col("o.doc_id").alias("doc_id"), F.col("o.place").alias("place"), "first_doc", "first_place",
+                         F.when(first, F.col("bits")).alias("bits"), alone.alias("alone"))
 
 
 def earlier_windows(firsts: DataFrame) -> DataFrame:

@@ -178,3 +178,21 @@ def judged(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> Data
     """doc_id, expected_severity, severity (nearest grade), toxic (expected severity at least ``reject``) of every row."""
     x = F.col("expected_severity")
     return severity(docs, model).select("doc_id", "expected_severity", F.round(x).cast("int").alias("severity"), (x >= reject).alias("toxic"))
+
+
+def below(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
+    """The rows whose text has an expected severity below ``reject``, with all columns. Each row is judged by its own text, whatever its id."""
+    place = docs.columns.index("text")
+    weights, thresholds = model.weights, model.thresholds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = OrdinalModel(weights, thresholds)
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            for lo, hi, data, offsets in text_chunks(batch.column(place).cast(pa.string())):
+                row, slot = features(data, offsets)
+                z = np.bincount(row, weights=own.weights[slot], minlength=hi - lo)
+                kept[lo:hi] = own.above(z).sum(axis=1) < reject
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
