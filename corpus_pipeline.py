@@ -21,10 +21,12 @@ LEAST_WORDS = 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits on the labelled documents of the table and keeps the documents below the severity to reject. Rows without id stay."""
+    """Fits on the labelled documents of the table and keeps the rows below the severity to reject.
+
+    Each row is judged by its own text, also without id or with the id of another; null texts are empty.
+    """
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    bad = toxicity.judged(docs, model).filter("toxic").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+    return toxicity.below(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which no benchmark item is found."""
+    """Keeps the rows in whose text no benchmark item is found, whatever their id; null texts are empty and stay."""
     return decontaminate.without_test_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded bytes of every document."""
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes of every row; null texts are empty, ids are handed through."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
