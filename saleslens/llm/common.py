@@ -60,6 +60,23 @@ def worker_memo(name: str) -> dict:
     return sys.__dict__.setdefault("_saleslens_memo", {}).setdefault(name, {})
 
 
+def forget_others(*kept: str) -> None:
+    """For the begin of a task: drop what other operators remember in this worker, and hand free memory back to the system.
+
+    A worker lives on from stage to stage, so its memory would be the sum of what all of them keep.
+    """
+    import ctypes
+
+    memo = sys.__dict__.get("_saleslens_memo", {})
+    for name in [n for n in memo if n not in (*kept, "powers")]:
+        del memo[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
 def chunks(lengths: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows with about ``most`` bytes each, one row at least."""
     start, total = 0, 0

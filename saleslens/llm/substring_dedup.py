@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import (flat_texts, grams, mixed, space_table, stored, text_chunks, text_or_empty,
+from saleslens.llm.common import (flat_texts, forget_others, grams, mixed, space_table, stored, text_chunks, text_or_empty,
                                   word_bounds, word_hashes)
 
 WINDOW, PHRASE = 20, 8
@@ -69,6 +69,7 @@ def find_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     separator = space_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in text_chunks(batch.column(1)):
@@ -87,6 +88,7 @@ def describe(window: int):
     separator = space_table()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        forget_others()
         data, offsets = flat_texts(left.column("text"))
         starts, ends, firsts = word_bounds(data, offsets, separator)
         hashes = word_hashes(data, starts, ends)
@@ -129,6 +131,7 @@ def locate(window: int, whole: bool):
     separator = space_table()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        forget_others()
         ids = left.column("doc_id").to_numpy()
         data, offsets = flat_texts(left.column("text"))
         starts, ends, firsts = word_bounds(data, offsets, separator)

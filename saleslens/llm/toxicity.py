@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import letter_table, lower_ascii, text_chunks, text_or_empty, word_bounds, word_hashes
+from saleslens.llm.common import forget_others, letter_table, lower_ascii, text_chunks, text_or_empty, word_bounds, word_hashes
 
 #: Feature slots; the weights are of this size at every corpus size.
 SLOTS = 1 << 20
@@ -186,6 +186,7 @@ def below(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataF
     weights, thresholds = model.weights, model.thresholds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         own = OrdinalModel(weights, thresholds)
         for batch in batches:
             kept = np.ones(batch.num_rows, bool)
