@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, a small versioned map names the shard of each.
 
-A record's slot never changes. The bytes of each slot are added up, and a rebalancing edits the
+A record's slot is a hash of it and never changes. The bytes of each slot are added up, and a rebalancing edits the
 map: it moves or exchanges whole slots between shards until no move brings the loads closer, and
 stores the result as the next version. Only the map (one row per slot) passes through the driver.
 """
@@ -22,11 +22,25 @@ MAP = "version long, virtual_slot int, shard int, bytes long"
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 16 for the record), text_crc32, virtual_slot. A null id is a key like any other."""
+    """doc_id, size (UTF-8 bytes and 16 for the record), text_crc32, virtual_slot.
+
+    The slot is a hash of the record: its id, size and text. Records that are alike in these, as when a third of
+    the rows has no id and one text, are told apart by their place in the input, so that no slot gets them all.
+    """
     text = text_or_empty()
-    return docs.select(
+    own = ["doc_id", "size", "text_crc32"]
+    records = docs.select(
         "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"))
+        F.monotonically_increasing_id().alias("place"))
+    records = stored(records)
+    alike = records.groupBy(*own).agg(F.count("*").alias("k")).filter("k > 1")
+    if alike.head(1):
+        twice = alike.select(*[F.col(c).alias(f"__{c}") for c in own], F.lit(True).alias("twice"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in own]
+        records = records.join(twice, same, "left").withColumn("place", F.when(F.col("twice"), F.col("place")))
+    else:
+        records = records.withColumn("place", F.lit(None).cast("long"))
+    return records.select(*own, F.pmod(F.xxhash64(*own, "place"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(slotted: DataFrame) -> dict[int, tuple[int, int]]:
