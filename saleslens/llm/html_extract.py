@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from saleslens.llm.common import text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select object canvas audio video".split())
+#: Elements whose content is not text of the page: scripts, styles and templates, fields of forms, the page's title, graphics, what
+#: stands in for media that a browser can't play, and the annotations of formulas. Content of noscript and math is text like any other.
+RAW = frozenset("script style textarea title iframe template svg select object canvas audio video annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr".split())
+                   "span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder "
+                   "mover munderover mtable mtr mtd mstyle mspace mpadded merror semantics".split())
 #: An opening tag of the first ends an open element of the second kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -34,7 +37,8 @@ _BLOCKS_END_P = frozenset("address article aside blockquote body center dd detai
 #: Elements that hold running text; the label passes on to their children otherwise than in containers.
 TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd figcaption blockquote pre".split())
 _WALLS = frozenset("html body table td th article section div main aside nav header footer ul ol dl form blockquote figure".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile("[<>\"']")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]*)[^;!]*(!\s*important)?")
@@ -74,58 +78,105 @@ def is_hidden(raw: str) -> bool:
     return bool(said) and ([x for x in said if x[1]] or said)[-1][0] == "none"
 
 
+class _Tags:
+    """The tags of a page in turn. Each character is looked at a few times at most, however broken the page is.
+
+    A tag goes from ``<`` and a letter to the next ``>`` outside of quotes. If another ``<`` or the end comes first, the
+    ``<`` is text. A quote that nothing closes is a character like others.
+    """
+
+    def __init__(self, page: str) -> None:
+        self._page = page
+        self._last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, -1 if there is none."""
+        if self._last[">"] < at:
+            return -1
+        while m := _STOP.search(self._page, at):
+            if m[0] == ">":
+                return m.start()
+            if m[0] == "<":
+                return -1
+            at = self._page.find(m[0], m.end()) + 1 if self._last[m[0]] >= m.end() else m.end()
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str]:
+        """(begin, end, slash, name in lower case, attributes) of the next tag from ``at`` on; comments and declarations have no name."""
+        page, size = self._page, len(self._page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, (size if end < 0 else end + 3), "", "", ""
+            if page.startswith(("<!", "<?"), at):
+                if self._last[">"] > at:
+                    return at, page.find(">", at) + 1, "", "", ""
+            elif m := _TAG.match(page, at):
+                end = self._end(m.end())
+                if end >= 0:
+                    return at, end + 1, m[1], m[2].lower(), page[m.end():end]
+            at += 1
+        return size, size, "", "", ""
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; a parent comes before its children. Broken markup closes as browsers close it."""
     nodes = [Node("#root", -1)]
     open_ = [0]
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
+    unended: set[str] = set()  # tags that have no end any more
 
     def say(text: str) -> None:
         if text:
             nodes.append(Node("#text", open_[-1], text=entities.unescape(text)))
             nodes[open_[-1]].children.append(len(nodes) - 1)
 
+    def close(k: int) -> None:
+        opened.subtract(nodes[i].tag for i in open_[k:])
+        del open_[k:]
+
+    tags = _Tags(page)
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        begin, end, slash, tag, raw = tags.after(at)
+        say(page[at:begin])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
+        if slash:
+            for k in range(len(open_) - 1, 0, -1) if opened[tag] else ():
                 if nodes[open_[k]].tag == tag:
-                    del open_[k:]
+                    close(k)
                     break
                 if nodes[open_[k]].tag in _WALLS and tag in INLINE | {"p"}:
                     break
             continue
-        if tag in _BLOCKS_END_P:
+        if tag in _BLOCKS_END_P and opened["p"]:
             for k in range(len(open_) - 1, 0, -1):
                 if nodes[open_[k]].tag == "p":
-                    del open_[k:]
+                    close(k)
                     break
                 if nodes[open_[k]].tag in _WALLS:
                     break
         ended = _CLOSES.get(tag, ())
         while ended and nodes[open_[-1]].tag in ended:
-            open_.pop()
-        marks = " ".join(a or b or c for a, b, c in _MARKS.findall(m[3])).lower()
-        nodes.append(Node(tag, open_[-1], marks=marks, hidden=tag in RAW or is_hidden(m[3])))
+            close(len(open_) - 1)
+        marks = " ".join(a or b or c for a, b, c in _MARKS.findall(raw)).lower()
+        nodes.append(Node(tag, open_[-1], marks=marks, hidden=tag in RAW or is_hidden(raw)))
         nodes[open_[-1]].children.append(len(nodes) - 1)
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (size if tag in ("script", "style") else at)
-        elif tag not in VOID and not m[3].endswith("/"):
+        if tag in RAW and not raw.endswith("/"):
+            found = None if tag in unended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if found is None:
+                unended.add(tag)
+            at = found.end() if found else (size if tag in ("script", "style") else at)
+        elif tag not in VOID and not raw.endswith("/"):
             open_.append(len(nodes) - 1)
+            opened[tag] += 1
     return nodes
 
 
 def evidence(nodes: list[Node]) -> list[list[str]]:
-    """Features of every node."""
+    """Features of every node. A formula and its signs have none: they go with the text around them."""
     size, linked = [0] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         n = nodes[i]
@@ -136,8 +187,13 @@ def evidence(nodes: list[Node]) -> list[list[str]]:
         if not n.hidden:
             size[n.parent] += size[i]
             linked[n.parent] += linked[i]
-    out = []
+    out: list[list[str]] = []
+    formula = [False] * len(nodes)
     for i, n in enumerate(nodes):
+        formula[i] = n.tag == "math" or (i > 0 and formula[n.parent])
+        if formula[i]:
+            out.append([])
+            continue
         share = linked[i] / size[i] if size[i] else 0.0
         level = min(7, int(math.log2(size[i] + 1) // 1.5))
         own = [f"t:{n.tag}", f"l:{level}", f"k:{int(share * 3.99)}"]
@@ -317,6 +373,7 @@ def main_text(page: str, model: TreeModel) -> str:
     pieces: dict[int, list[str]] = defaultdict(list)
     order: list[int] = []
     part = 0
+    latest = [-1] * len(nodes)  # the child of a node that was met last
     for i, n in enumerate(nodes):
         if i:
             hidden[i] = n.hidden or hidden[n.parent]
@@ -324,11 +381,12 @@ def main_text(page: str, model: TreeModel) -> str:
             if not inline:
                 part += 1
                 block[i] = part
-            elif nodes[n.parent].children[0] != i and _ended_block(nodes, n.parent, i):
-                part += 1
+            elif latest[n.parent] >= 0 and nodes[latest[n.parent]].tag not in INLINE and nodes[latest[n.parent]].tag not in ("#text", "br"):
+                part += 1  # text after a block is a block of its own
                 block[i] = block[n.parent] = part
             else:
                 block[i] = block[n.parent]
+            latest[n.parent] = i
         if n.tag == "#text" and not hidden[i] and content[i] >= 0.5:
             if not pieces[block[i]]:
                 order.append(block[i])
@@ -339,13 +397,6 @@ def main_text(page: str, model: TreeModel) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def _ended_block(nodes: list[Node], parent: int, i: int) -> bool:
-    """Whether the sibling before node i is a block, so that text after it is a block of its own."""
-    siblings = nodes[parent].children
-    before = nodes[siblings[siblings.index(i) - 1]] if len(siblings) < 64 else nodes[max(x for x in siblings if x < i)]
-    return before.tag not in INLINE and before.tag not in ("#text", "br")
-
-
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page. A null or empty page has an empty text; repeated rows stay."""
     fitted = train(labelled_pages()) if model is None else model
