@@ -7,7 +7,6 @@ by the length of the lines, give the share of good text, which a logistic curve
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from saleslens.llm.common import letter_table, lower_ascii, text_chunks, text_or_empty, word_bounds, word_hashes
 from saleslens.llm.toxicity import labelled_sample
 
-#: Labelled documents of each class that the fit may use, and lines of each that the field is trained on.
-PER_CLASS, LINES = 2000, 40
+#: Labelled documents of each class that the fit may use, whole.
+PER_CLASS = 2000
 PREDICT = 0.7
 OWN = 11  # statistics of a line
 
@@ -186,26 +185,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, lines: int = LINES) -> LineField:
-    """Fit on at most about ``per_class`` labelled documents of each class that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> LineField:
+    """Fit on at most about ``per_class`` labelled documents of each class that are not held out, on all their lines.
 
-    Executors make the statistics of whole documents and hand over a stretch of at most ``lines``
-    lines of each, from a place that a checksum of the text decides. Without two classes nothing can
-    be learnt, and every score is one half.
+    Executors make the statistics of the lines. Without two classes nothing can be learnt, and every score is one half.
     """
     own = labels.filter(~held_out())
 
-    def stretch(text: bytes, first: int, end: int) -> slice:
-        start = first + zlib.crc32(text) % max(1, end - first - lines + 1)
-        return slice(start, min(end, start + lines))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
                 stats, length, firsts = line_statistics(data, offsets)
-                keep = [stretch(data[offsets[i]:offsets[i + 1]].tobytes(), firsts[i], firsts[i + 1]) for i in range(hi - lo)]
-                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array([stats[k].tobytes() for k in keep], pa.binary()),
-                                       pa.array([length[k].tobytes() for k in keep], pa.binary())], names=["y", "stats", "length"])
+                lines = [slice(a, b) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array([stats[k].tobytes() for k in lines], pa.binary()),
+                                       pa.array([length[k].tobytes() for k in lines], pa.binary())], names=["y", "stats", "length"])
 
     sample = labelled_sample(docs, own, label, per_class).select("text", "y").mapInArrow(run, "y int, stats binary, length binary").toArrow()
     y = sample.column("y").to_numpy()

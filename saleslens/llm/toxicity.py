@@ -89,14 +89,29 @@ def fit_ordinal(rows: np.ndarray, slots: np.ndarray, grades: np.ndarray, n_grade
     return OrdinalModel(weights, cut[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
+def _part(of: F.Column, sizes: dict[int, int], most: int) -> F.Column:
+    """True for about ``most`` of the rows of each class ``y``, by a hash."""
+    unit = 1 << 53
+    out = F.lit(False)
+    for y, n in sizes.items():
+        out = out | ((F.col("y") == y) & (F.pmod(of, F.lit(unit)) < int(unit * min(1.0, most / n))))
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most about ``per_class`` labelled rows of each class, taken by a hash of the id, with their texts."""
+    """At most about ``per_class`` labelled documents of each class, with their texts, taken by a hash of id and text.
+
+    A first draw of ids bounds what is joined, a second one the documents that the join gives: an id may have
+    several rows with texts of their own. Rows alike in id, label and text are one.
+    """
     clean = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").distinct()
-    sizes = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
-    parts = F.lit(False)
-    for y, n in sizes.items():
-        parts = parts | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_class / n))))
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(clean.filter(parts)), "doc_id")
+    ids = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
+    few = clean.filter(_part(F.xxhash64("doc_id", F.lit(17)), ids, 4 * per_class))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").withColumn(  # 4 * per_class ids of a class, about
+        "h", F.xxhash64("doc_id", "text", F.lit(29)))
+    kinds = {r.y: r["count"] for r in rows.select("y", "h").distinct().groupBy("y").count().collect()}
+    return rows.filter(_part(F.col("h"), kinds, per_class)).dropDuplicates(["doc_id", "y", "text"]).sortWithinPartitions("h", "doc_id", "y").select(
+        "doc_id", "text", "y")
 
 
 def informative(slots: np.ndarray, rows: np.ndarray, positive: np.ndarray, n_slots: int = SLOTS) -> np.ndarray:
