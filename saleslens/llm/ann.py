@@ -75,11 +75,11 @@ def projections(width: int, curves: int, dimensions: int, seed: int = SEED) -> t
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, v: the rows that take part, with vectors as doubles. Null, zero and unfinished vectors do not."""
+    """vec_id, v: the rows that take part, with vectors as doubles. Null, zero and unfinished vectors do not; of a repeated vec_id the smallest vector does."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return (rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
-            .filter(~bad).filter(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"]))
+            .filter(~bad).filter(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -218,8 +218,8 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id is divisible by ``every``.
 
     Rows are candidates of all queries but their own. Equal vectors are different candidates; a
-    vec_id that occurs twice counts once. Vectors of a length other than that of the first take no
-    part, as no inner product with them is defined. An empty table gives no rows.
+    vec_id that occurs several times counts once, with the smallest of its vectors. Vectors of a length other than the
+    commonest take no part, as no inner product with them is defined. An empty table gives no rows.
     """
     rows = stored(usable(table))
     head = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
