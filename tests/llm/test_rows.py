@@ -61,3 +61,39 @@ def test_toxic_rows_go_and_others_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, bad boolean").withColumns({c: F.lit(1) for c in ("toxic", "severity", "__bad_id")})
     kept = toxicity.below(docs, model)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if not r.bad)
+
+
+def test_shards_are_fair_without_ids_and_with_repeated_ones(spark):
+    from saleslens.llm import sharding
+
+    text = F.when(F.col("id") % 3 < 2, F.repeat(F.lit("x"), 300)).otherwise(F.repeat(F.lit("y"), (F.col("id") % 89).cast("int")))
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 5).otherwise(F.col("id")).alias("doc_id"), text.alias("text"))
+    rows = sharding.shard(docs.repartition(6), 8)
+    sums = rows.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    load = [r.b for r in sums]
+    assert len(load) == 8 and max(load) - min(load) <= 0.01 * min(load)
+    assert all(r.n == r.d == r.m + 1 for r in sums) and sum(r.n for r in sums) == 30_000
+    assert rows.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 30
+
+
+def test_the_sample_is_bounded_after_the_join(spark):
+    docs = spark.range(9000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).union(
+        spark.range(500).select(F.lit(1).cast("long"), F.lit("the same text")))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    sizes = {r.y: r["count"] for r in toxicity.labelled_sample(docs, labels, "toxic", 100).groupBy("y").count().collect()}
+    assert 60 < sizes[0] < 150 and 60 < sizes[1] < 150
+    whole = toxicity.labelled_sample(docs.filter("doc_id = 1"), labels, "toxic", 10_000)
+    assert whole.count() == 3001 and whole.filter("text = 'the same text'").count() == 1
+
+
+def test_repeated_vector_ids_give_the_smallest_vector(spark):
+    from saleslens.llm import ann
+
+    rows = [(20, [3.0, 1.0]), (20, [1.0, 5.0]), (20, [1.0, 4.0]), (40, [1.0, 4.0]), (7, [0.0, 2.0]), (8, [2.0, 2.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    want = None
+    for tasks in (1, 5):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(tasks)
+        got = sorted(map(tuple, ann.nearest(table, k=5).collect()))
+        assert want is None or got == want
+        want = got
+    assert {(q, v, s) for q, _, v, s in want} == {(20, 40, 17.0), (20, 8, 10.0), (20, 7, 8.0), (40, 20, 17.0), (40, 8, 10.0), (40, 7, 8.0)}
