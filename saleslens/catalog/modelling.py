@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -215,10 +217,29 @@ def forest(spark, sf_dir):
     return _valid(TR.scored(TR.random_forest().fit(train), test))
 
 
-@query("m05_cross_validated_metrics")
+FOLDED = LABELLED.rstrip() + ", folded AS (SELECT user_id, label, CAST((rank - 1) % 5 AS INTEGER) AS fold FROM r)\n"
+FOLD_SIZES = FOLDED + "SELECT fold, count(*) AS n, count(*) FILTER (label = 1) AS positives, TRUE AS metrics_valid{more} FROM folded GROUP BY fold"
+
+
+def _folds():
+    return {"order_key": _key_hash(), "bucket": F.floor(_key_hash() / 1000)}
+
+
+def _between(columns):
+    """Metrics as SQL can state them: they are parts of one."""
+    return F.coalesce(reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in columns]), F.lit(False))
+
+
+def _valid_metrics(folds):
+    names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc"]
+    return folds.withColumn("metrics_valid", _between(names)).drop(*names)
+
+
+@query("m05_cross_validated_metrics", FOLD_SIZES.format(more=""))
 def cross_validated(spark, sf_dir):
+    """Metrics of every fold beside its sizes; ``cross_validated`` averages them."""
     df, _ = _assembled(spark, sf_dir)
-    return TR.cross_validated(TR.balanced_logistic(), TR.class_weights(df))[0]
+    return _valid_metrics(TR.fold_metrics(durable(TR.out_of_fold(TR.balanced_logistic(), TR.class_weights(df), **_folds()))))
 
 
 def _folded(spark, sf_dir):
@@ -229,11 +250,8 @@ def _folded(spark, sf_dir):
     return durable(E.stratified_folds(ready, "user_id", order_key=_key_hash(), bucket=F.floor(_key_hash() / 1000))), names
 
 
-def _grid(name):
-    return f"(VALUES {', '.join(f'({v}::{"INTEGER" if isinstance(v, int) else "DOUBLE"})' for v in TR.SEARCH_SPACE[name])}) {name}_({name})"
-
-
-FOLDED = LABELLED.rstrip() + ", folded AS (SELECT user_id, label, CAST((rank - 1) % 5 AS INTEGER) AS fold FROM r)\n"
+def _grid(name, space=TR.SEARCH_SPACE):
+    return f"(VALUES {', '.join(f'({v}::{"INTEGER" if isinstance(v, int) else "DOUBLE"})' for v in space[name])}) {name}_({name})"
 
 
 @query("m07_random_search", FOLDED.rstrip() + f""",
@@ -249,12 +267,18 @@ def search(spark, sf_dir):
     return found.withColumn("roc_auc_valid", F.coalesce(F.col("roc_auc").between(0, 1), F.lit(False))).drop("roc_auc")
 
 
-@query("m07_best_setting")
+BEST_SPACE = TR.SEARCH_SPACE | {"trees": [100], "rows": [1.0]}
+
+
+@query("m07_best_setting", "WITH grid AS (SELECT *, row_number() OVER (ORDER BY depth, rate, columns) - 1 AS i FROM "
+       + ", ".join(_grid(n, BEST_SPACE) for n in BEST_SPACE) + """)
+SELECT CAST(row_number() OVER (ORDER BY md5(i || ':42')) - 1 AS INTEGER) AS setting, trees, depth, rate, rows, columns, TRUE AS roc_auc_valid
+FROM grid QUALIFY setting < 9""")
 def best_setting(spark, sf_dir):
-    """The settings of the search with their mean area over the folds, best first: those of up to 100 trees with all rows drawn."""
+    """The mean area over the folds of nine settings of 100 trees with all rows drawn; ``search_means`` ranks them."""
     folded, names = _folded(spark, sf_dir)
-    space = TR.SEARCH_SPACE | {"trees": [100], "rows": [1.0]}
-    return TR.search_means(TR.random_search(folded, names, TR.drawn_settings(space, n=9)))
+    means = TR.search_means(TR.random_search(folded, names, TR.drawn_settings(BEST_SPACE, n=9)))
+    return means.withColumn("roc_auc_valid", _between(["roc_auc"])).drop("roc_auc")
 
 
 @query("m01_second_order_trees_on_test_rows", TEST_ROWS)
@@ -284,22 +308,31 @@ def boosted_curve(spark, sf_dir):
                         (F.col("train_rows") > before).alias("nested"), valid.alias("areas_valid"))
 
 
-@query("m08_learning_curve")
+@query("m08_learning_curve", FOLDED.rstrip() + """,
+sizes AS (SELECT unnest([0.1, 0.325, 0.55, 0.775, 1.0]::DOUBLE[]) AS size),
+trained AS (SELECT size, f, count(*) AS n FROM folded, sizes, range(5) t(f)
+ WHERE fold <> f AND ((user_id::BIGINT * 104729 + 7) % 1000003) / 1000003.0::DOUBLE < size GROUP BY size, f)
+SELECT size, avg(n) AS train_rows, TRUE AS areas_valid FROM trained GROUP BY size""")
 def curve(spark, sf_dir):
     df, _ = _assembled(spark, sf_dir)
-    return TR.learning_curve(TR.balanced_logistic(), TR.class_weights(df))
-
-
-@query("m16_feature_importance")
-def importance(spark, sf_dir):
-    df, names = _assembled(spark, sf_dir)
-    return TR.importances(TR.random_forest().fit(df), names)
+    part = (F.col("user_id").cast("long") * 104729 + 7) % 1000003 / 1000003.0
+    found = TR.learning_curve(TR.balanced_logistic(), TR.class_weights(df), part=part, **_folds())
+    return found.withColumn("areas_valid", _between(["train_auc", "validation_auc"])).drop("train_auc", "validation_auc")
 
 
 def _values(names):
     return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") v(feature)"
 
 
+@query("m16_feature_importance", f"SELECT feature, TRUE AS importance_valid, TRUE AS adds_up FROM {_values(MATRIX_FEATURES)}")
+def importance(spark, sf_dir):
+    """Importance of every feature in a forest; they are parts of one."""
+    df, names = _assembled(spark, sf_dir)
+    found = durable(TR.importances(TR.random_forest().fit(df), names))
+    whole = abs(found.agg(F.sum("importance")).first()[0] - 1) < 1e-9
+    return found.select("feature", F.col("importance").between(0, 1).alias("importance_valid"), F.lit(whole).alias("adds_up"))
+
+
 @query("m16_boosted_importance", f"SELECT feature, TRUE AS importance_valid, TRUE AS adds_up FROM {_values(MATRIX_FEATURES)}")
 def boosted_importance(spark, sf_dir):
     """Mean gain of the splits on each feature, as parts of one."""
@@ -309,12 +342,14 @@ def boosted_importance(spark, sf_dir):
     return spark.createDataFrame([(f, 0 <= v <= 1, whole) for f, v in found.items()], "feature string, importance_valid boolean, adds_up boolean")
 
 
-@query("m17_permutation_importance")
+@query("m17_permutation_importance", f"SELECT feature, TRUE AS loss_valid FROM {_values(MATRIX_FEATURES)}")
 def permutation(spark, sf_dir):
+    """Loss of area with each feature exchanged between rows; an area is at most one, so no loss is more."""
     matrix = durable(_matrix(spark, sf_dir))
     names = _features(matrix)
     model = TR.balanced_logistic().fit(TR.class_weights(TR.assembled(matrix, names)))
-    return TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names, key="feature"), key="feature"), matrix, names)
+    found = TR.permutation_importance(lambda t: TR.scored(model, TR.assembled(t, names, key="feature"), key="feature"), matrix, names)
+    return found.select("feature", F.coalesce(F.col("auc_loss").between(-1, 1), F.lit(False)).alias("loss_valid"))
 
 
 @query("m17_exchanged_rows", over("demographics", more="""
@@ -344,10 +379,10 @@ def mean_contributions(spark, sf_dir):
     return AT.mean_contributions(model, folded).select("feature", (F.col("mean_contribution") >= 0).alias("valid"))
 
 
-@query("m21_without_features")
+@query("m21_without_features", FOLD_SIZES.format(more=f", {len(MATRIX_FEATURES) - 2} AS features"))
 def without(spark, sf_dir):
     matrix = durable(_matrix(spark, sf_dir))
-    return TR.without_features(TR.random_forest(), matrix, ["n_meses_activos", "risk_profile"])[0]
+    return _valid_metrics(TR.without_features(TR.random_forest(), matrix, ["n_meses_activos", "risk_profile"], **_folds()))
 
 
 @query("m18_c08_c09_scored_and_merged", over("demographics") + """

@@ -91,15 +91,20 @@ def out_of_fold(estimator: Estimator, df: DataFrame, folds: int = 5, seed: int =
     return parts
 
 
-def cross_validated(estimator: Estimator, df: DataFrame, folds: int = 5, seed: int = 42,
-                    threshold: float = 0.5, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
+def cross_validated(estimator: Estimator, df: DataFrame, folds: int = 5, seed: int = 42, threshold: float = 0.5, key: str = "user_id",
+                    order_key: Column | None = None, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Mean of the fold metrics in one row, and the confusion matrix of all held-out rows."""
-    held_out = durable(out_of_fold(estimator, df, folds, seed, key))
-    per_fold = metrics(held_out, threshold=threshold, by=["fold"]).join(areas(held_out, by=["fold"]), "fold")
-    means = per_fold.agg(*[F.avg(c).alias(c) for c in ("roc_auc", "accuracy", "precision", "recall", "f1_score")])
+    held_out = durable(out_of_fold(estimator, df, folds, seed, key, order_key, bucket))
+    means = fold_metrics(held_out, threshold).agg(*[F.avg(c).alias(c) for c in ("roc_auc", "accuracy", "precision", "recall", "f1_score")])
     return means, confusion(held_out, threshold=threshold)
 
 
+def fold_metrics(held_out: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(fold, n, positives, metrics and areas) of scores with a fold."""
+    sizes = held_out.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
+    return sizes.join(metrics(held_out, threshold=threshold, by=["fold"]), "fold").join(areas(held_out, by=["fold"]), "fold")
+
+
 def drawn_settings(space: Mapping[str, Sequence] = SEARCH_SPACE, n: int = 50, seed: int = 42) -> list[boosting.Setting]:
     """``n`` different settings from the whole grid, in the order of a digest of their place in it."""
     grid = [dict(zip(space, values)) for values in product(*space.values())]
@@ -145,14 +150,14 @@ def boosted_learning_curve(folded: DataFrame, features: Sequence[str], setting:
         F.max(F.when(trained, F.col("roc_auc"))).alias("train_auc"), F.max(F.when(~trained, F.col("roc_auc"))).alias("validation_auc"))
 
 
-def learning_curve(estimator: Estimator, df: DataFrame, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
-                   folds: int = 5, seed: int = 42, key: str = "user_id") -> DataFrame:
+def learning_curve(estimator: Estimator, df: DataFrame, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, seed: int = 42,
+                   key: str = "user_id", part: Column | None = None, order_key: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Training and validation area by size of the training set.
 
-    The samples are nested: a row is in a sample when its hash is in the lower part of the range.
+    The samples are nested: a row is in a sample when ``part``, by default from a hash of its key, is below its size.
     """
-    folded = durable(stratified_folds(df, key, folds=folds, seed=seed)
-                     .withColumn("_part", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1_000_000)) / 1e6))
+    own = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1_000_000)) / 1e6 if part is None else part
+    folded = durable(stratified_folds(df, key, folds=folds, seed=seed, order_key=order_key, bucket=bucket).withColumn("_part", own))
     outcomes = None
     for size in sizes:
         for i in range(folds):
@@ -224,11 +229,13 @@ def permutation_importance(model_of: Callable[[DataFrame], DataFrame], table: Da
     return table.sparkSession.createDataFrame(rows, "feature string, auc_loss double")
 
 
-def without_features(estimator: Estimator, table: DataFrame, dropped: Sequence[str], target: str = "insurance",
-                     folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Cross-validated metrics after leaving out a list of columns."""
+def without_features(estimator: Estimator, table: DataFrame, dropped: Sequence[str], target: str = "insurance", folds: int = 5, seed: int = 42,
+                     order_key: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """(fold, n, positives, metrics and areas, features) after leaving out a list of columns."""
     kept = table.drop(*dropped)
-    return cross_validated(estimator, assembled(kept, feature_names(kept), target), folds, seed)
+    names = feature_names(kept)
+    held_out = durable(out_of_fold(estimator, assembled(kept, names, target), folds, seed, order_key=order_key, bucket=bucket))
+    return fold_metrics(held_out).withColumn("features", F.lit(len(names)))
 
 
 def save_model(model: PipelineModel, threshold: float, folder: str) -> None:
