@@ -2,9 +2,9 @@
 
 Rows lie in ``buckets`` folders by a hash of their key. A manifest lists, for every version, which folder
 holds each bucket. A merge reads the buckets that its keys fall into, writes those whose content
-changes into a folder of the new version, and then the manifest, in one file, which is what makes the version
-exist. Files of other buckets are not touched, earlier versions stay readable, and a failed merge leaves
-folders that no manifest names. One merge runs at a time.
+changes into a folder of the new version, then the manifest, and then a row in the table of versions, which is what
+makes the version exist. Files of other buckets are not touched, earlier versions stay readable, and a failed merge leaves
+folders that no version names. One merge runs at a time.
 """
 
 from __future__ import annotations
