@@ -58,13 +58,15 @@ class Store:
 
         ``update`` gives the new content of what it gets, for the keys it gets. ``key`` names the key in ``new``, if it
         differs. A batch that has been merged before changes nothing, and neither does one that leaves all rows
-        as they are. Rows without a key are not allowed.
+        as they are. A row without a key is an error, and nothing is merged.
         """
         for version, name in self.versions():
             if name == batch:
                 return version
         before = self.latest()
         new = durable(new)
+        if new.where(F.col(key or self.key).isNull()).head(1):
+            raise ValueError("a row has no key")
         touched = [r[0] for r in new.select(self.bucket(key)).distinct().collect()]  # at most one for each bucket
         if not touched:
             return before

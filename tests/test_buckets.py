@@ -76,6 +76,13 @@ def test_failed_merge_leaves_the_version_before(spark, stored, tmp_path):
     assert store.read(removed).count() == 99
 
 
+def test_rows_without_a_key_are_refused(spark, stored, tmp_path):
+    store = B.create(stored, str(tmp_path), "user_id", 4)
+    with pytest.raises(ValueError, match="no key"):
+        store.merge(stored.limit(2).unionByName(spark.createDataFrame([(None, 0.5, False, None)], S.PREDICTIONS)), M.upsert_predictions, "odd")
+    assert store.latest() == 0 and rows(store.read()) == rows(stored)
+
+
 def test_empty_store(spark, stored, tmp_path):
     store = B.create(stored.limit(0), str(tmp_path), "user_id", 4)
     assert store.read().count() == 0 and store.read().columns == stored.columns
