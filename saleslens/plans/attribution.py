@@ -69,6 +69,19 @@ def tree_contributions(tree: Tree, bins: np.ndarray, missing: np.ndarray) -> np.
     return out
 
 
+def add_contributions(tree: Tree, bins: np.ndarray, missing: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of a tree to those of every row. Rows that take the same side at every split have the same ones, reckoned once."""
+    splits = np.flatnonzero(tree.feature >= 0).tolist()
+    if not splits or not len(bins):
+        return
+    sides = np.packbits(np.stack([tree.goes_right(node, bins, missing) for node in splits], axis=1), axis=1)
+    same = sides.ravel() if sides.shape[1] == 1 else sides.view(f"V{sides.shape[1]}").ravel()
+    _, row, which = np.unique(same, return_index=True, return_inverse=True)
+    found = tree_contributions(tree, bins[row], missing)
+    for f in set(tree.feature[splits].tolist()):
+        out[:, f] += found[:, f][which]
+
+
 def contributions(model: Boosted, df: DataFrame, key: str = "user_id") -> DataFrame:
     """(key, base, contributions as array<double> in the order of the model's features, margin) of every row.
 
@@ -82,8 +95,8 @@ def contributions(model: Boosted, df: DataFrame, key: str = "user_id") -> DataFr
             bins = model.layout.binned(np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(model.layout.features))], axis=1))
             out, margin = np.zeros(bins.shape), np.zeros(len(bins))
             for tree in model.trees:
-                out += tree_contributions(tree, bins, missing)
-                margin += tree.value[tree.leaves(bins, missing)]
+                add_contributions(tree, bins, missing, out)
+                margin += tree.values(bins, missing)
             offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
             yield pa.record_batch([batch.column(0), pa.array(np.full(len(out), base)), pa.ListArray.from_arrays(offsets, out.ravel()), pa.array(margin)],
                                   names=[key, "base", "contributions", "margin"])

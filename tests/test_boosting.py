@@ -109,6 +109,33 @@ def test_passes_give_the_trees_of_tasks(data, monkeypatch):
             assert all((getattr(s, n) == getattr(t, n)).all() for n in s.__dict__)
 
 
+def test_features_counted_together_give_the_sums_of_each(data):
+    rng, layout, n = np.random.default_rng(3), data.layout, 20_000
+    bins = np.asfortranarray(np.stack([rng.integers(0, m + 1, n) for m in layout.missing], axis=1).astype(np.uint8))
+    at, g, h = rng.integers(-1, 3, n), rng.integers(-2**24, 2**24, n).astype(float), rng.integers(1, 2**22, n).astype(float)
+    assert len(layout.joint) < len(FEATURES)
+    for rows in (slice(None), slice(0, 50)):  # together, and one by one where joint bins are more than the rows
+        got = B.histogram(layout, bins[rows], layout.joined(bins[rows]), at[rows], 3, g[rows], h[rows], np.array([0, 2, 3]))
+        for k, weight in enumerate((g[rows], h[rows])):
+            for node in range(3):
+                for f, m in enumerate(layout.missing):
+                    want = [weight[(at[rows] == node) & (bins[rows][:, f] == b)].sum() if f != 1 else 0 for b in range(m + 1)]
+                    assert got[k, node, layout.first[f]:layout.first[f + 1]].tolist() == want
+
+
+def test_rows_are_counted_at_the_lighter_child_only(data, monkeypatch):
+    counted, plain = [], B.histogram
+
+    def histogram(layout, bins, joined, at, *rest):
+        counted.append((at >= 0).sum())
+        return plain(layout, bins, joined, at, *rest)
+
+    monkeypatch.setattr(B, "histogram", histogram)
+    block = B._whole(data)
+    list(B._grow_all(data.layout, block, data.layout.joined(block.bins), B.Plan(B.Setting(trees=4, depth=3), -1)))
+    assert counted[0] == 300 and all(n < 300 for i, n in enumerate(counted) if i % 3) and sum(counted) < 4 * 3 * 300 * 0.75
+
+
 def test_held_out_scores_are_those_of_separate_fits(table, data):
     settings = [B.Setting(trees=2, depth=2), B.Setting(trees=5, depth=2), B.Setting(trees=3, depth=3, rate=0.1, rows=0.5)]
     got = B.held_out_scores(data, settings, 5).collect()
@@ -187,6 +214,23 @@ def test_contributions_against_all_subsets(table, data):
             assert row.tolist() == pytest.approx(by_subsets(tree, b, missing, len(FEATURES)), abs=1e-10)
 
 
+def test_contributions_are_reckoned_once_for_rows_on_the_same_sides(table, data, monkeypatch):
+    model = B.fit(data, B.Setting(trees=3, depth=4, columns=1.0))
+    bins, missing = model.layout.binned(values_of(table)[1]), model.layout.missing
+    reckoned, plain = [], A.tree_contributions
+
+    def tree_contributions(tree, some, missing):
+        reckoned.append(len(some))
+        return plain(tree, some, missing)
+
+    monkeypatch.setattr(A, "tree_contributions", tree_contributions)
+    for tree in model.trees:
+        out = np.ones(bins.shape)
+        A.add_contributions(tree, bins, missing, out)
+        assert out == pytest.approx(1 + plain(tree, bins, missing), abs=1e-12)
+    assert max(reckoned) < len(bins) / 2
+
+
 def test_contributions_add_up(table, data):
     model = B.fit(data, B.Setting(trees=30))
     rows = A.contributions(model, table).collect()
