@@ -29,6 +29,15 @@ def test_running_totals_over_buckets(spark):
     assert [r["upto"] for r in down] == list(np.cumsum([(i * 37) % 11 for i in range(499, -1, -1)]))
 
 
+def test_small_buckets_are_no_tasks_of_their_own(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit(1).alias("n"))
+    marked = R.bucket_by_value(df, "v", rows_per_bucket=10)
+    assert marked.select(R.BUCKET).distinct().count() >= 500
+    assert len(marked.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = sorted(map(tuple, marked.groupBy(R.BUCKET).agg(F.min("v"), F.max("v"), F.count("*")).collect()))
+    assert all(n <= 10 for *_, n in spans) and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert [tuple(r) for r in R.exact_quantiles(df, "v", {"m": 0.5}).collect()] == [(None,)]
