@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from saleslens.operators.ranks import running_totals
+from saleslens.operators.ranks import PLACE, numbered_in_order, running_totals
+from saleslens.session import durable
 
 ROWS_PER_RANGE = 100_000
 _RANGE = "_range"
@@ -51,20 +52,28 @@ class RankedTable:
         empty = self.spark.read.parquet(f"{self.folder}/empty")
         if not held:
             return empty
-        rows = self.spark.read.schema(_with_range(empty)).parquet(f"{self.folder}/rows")
+        places = [f"{self.folder}/rows/{_RANGE}={r}" for r, _ in held]
+        rows = self.spark.read.schema(_with_range(empty)).option("basePath", f"{self.folder}/rows").parquet(*places)  # others are not listed
         here = rows.where(F.col(_RANGE).isin([r for r, _ in held])).drop(_RANGE)
         return here.orderBy(*self.by).offset((page - 1) * size - held[0][1]).limit(size)
 
 
 def write_ranked(rows: DataFrame, folder: str, by: tuple[Column, ...], rows_per_range: int = ROWS_PER_RANGE) -> RankedTable:
-    """Write rows in ranges of the order ``by``, which must tell all rows apart that may be many, such as by an id at its end."""
+    """Write rows in ranges of the order ``by``, which must tell all rows apart that may be many, such as by an id at its end.
+
+    The order is made by tasks of ``ROWS_PER_RANGE`` rows at least; smaller ranges are runs of rows inside these, numbered on.
+    """
     spark = rows.sparkSession
-    pieces = max(1, -(-rows.count() // rows_per_range))
-    placed = rows.repartitionByRange(pieces, *by).withColumn(_RANGE, F.spark_partition_id())
+    pieces = max(1, -(-rows.count() // max(rows_per_range, ROWS_PER_RANGE)))
+    piece, sorted_rows = numbered_in_order(rows.repartitionByRange(pieces, *by), *by)
+    staged = durable(sorted_rows.withColumn("_piece", piece).withColumn(_RANGE, F.floor(F.col(PLACE) / rows_per_range).cast("int")).drop(PLACE))
+    sizes = sorted((r["_piece"], r["n"]) for r in staged.groupBy("_piece").agg((F.max(_RANGE) + 1).alias("n")).collect())  # a row for each task
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    placed = staged.join(F.broadcast(spark.createDataFrame(before, "_piece int, _before int")), "_piece").select(
+        *rows.columns, (F.col(_RANGE) + F.col("_before")).alias(_RANGE))
     placed.write.mode("overwrite").partitionBy(_RANGE).parquet(f"{folder}/rows")
     rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{folder}/empty")
-    written = spark.read.schema(_with_range(rows)).parquet(f"{folder}/rows")
-    counts = written.groupBy(F.col(_RANGE).alias("range")).agg(F.count("*").alias("n"))
+    counts = placed.groupBy(F.col(_RANGE).alias("range")).agg(F.count("*").alias("n"))
     # A row for each range; their sums run in groups of a thousand.
     summed = running_totals(counts.withColumn("_bucket", F.shiftright("range", 10)), {"upto": "n"}, [F.col("range")])
     summed.select("range", "n", "upto").write.mode("overwrite").parquet(f"{folder}/ranges")

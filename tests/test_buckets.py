@@ -138,6 +138,19 @@ def test_pages_by_position(spark, tmp_path):
     assert PG.ranked_clients(clients.limit(0), str(tmp_path / "none")).page(1).count() == 0
 
 
+def test_small_ranges_are_no_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PG, "ROWS_PER_RANGE", 2000)
+    clients = spark.range(5000).select("id", (F.col("id") * 7919 % 5000 / 5000).alias("probability")).cache()
+    pieces = []
+    plain = PG.durable
+    monkeypatch.setattr(PG, "durable", lambda df: pieces.append(df.rdd.getNumPartitions()) or plain(df))
+    ranked = PG.ranked_clients(clients, str(tmp_path), rows_per_range=10)
+    assert pieces == [3] and 500 <= ranked.ranges().count() <= 503
+    want = clients.orderBy(F.desc_nulls_first("probability"), "id").offset(2490).limit(10).collect()
+    assert ranked.page(250).collect() == want
+    assert len({f.split("_range=")[1].split("/")[0] for f in ranked.page(250).inputFiles()}) <= 2
+
+
 # -- cube ------------------------------------------------------------------------------------------
 
 
