@@ -116,3 +116,19 @@ def test_long_form_matches(transactions):
     named = transactions.sparkSession.createDataFrame([("tie", "food + travel"), ("gap", "food")], "user_id string, cats string")
     got = by_user(X.spend_in_named(transactions, named, "cats"))
     assert got["tie"]["total_spend_fav"] == 60.0 and got["gap"]["total_spend_fav"] == 70.0
+
+
+def test_tasks_follow_the_files(spark, transactions, tmp_path, monkeypatch):
+    from saleslens import session
+
+    folder = str(tmp_path / "a b=1")  # names that are encoded in a list of files
+    X.monthly_by_category(transactions).write.parquet(folder)
+    monthly = spark.read.parquet(folder)
+    assert session.pieces_for(monthly) is None
+    want = sorted(map(str, X.by_month_and_category(monthly).collect()))
+    monkeypatch.setattr(session, "INPUT_PER_TASK", 100)
+    pieces = session.pieces_for(monthly)
+    assert pieces > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = X.by_month_and_category(monthly)
+    assert f", {pieces})" in sums._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, sums.collect())) == want
