@@ -1,8 +1,8 @@
 """A keyed table kept in buckets and versions, merged by changed buckets only.
 
 Rows lie in ``buckets`` folders by a hash of their key. A manifest lists, for every version, which folder
-holds each bucket. A merge reads the buckets that its keys fall into, writes those whose content
-changes into a folder of the new version, then the manifest, and then a row in the table of versions, which is what
+holds each bucket. A merge reads the buckets that its keys fall into, writes them into a folder of the new version and
+takes away those whose content is as before, then writes the manifest, and then a row in the table of versions, which is what
 makes the version exist. Files of other buckets are not touched, earlier versions stay readable, and a failed merge leaves
 folders that no version names. One merge runs at a time.
 """
@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from saleslens.session import durable
+from saleslens.session import delete, durable
 
 _BUCKET = "_bucket"
 MANIFEST = "version int, batch string, bucket int, holds int, n_rows long, digest string"
@@ -73,19 +74,17 @@ class Store:
         return self._write(update(self.read(before, touched), new), before + 1, batch, self.manifest(before), touched)
 
     def _write(self, rows: DataFrame, version: int, batch: str, before: DataFrame | None, touched: list[int]) -> int:
-        columns = rows.columns
-        content = durable(rows.withColumn(_BUCKET, self.bucket()))
+        columns, place = rows.columns, f"{self.folder}/rows/{version}"
+        rows.withColumn(_BUCKET, self.bucket()).write.mode("overwrite").partitionBy(_BUCKET).parquet(place)
+        written = self.spark.read.schema(StructType([*rows.schema.fields, StructField(_BUCKET, IntegerType())])).parquet(place)
         digest = F.sum(F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)")).cast("string")
-        found = {r[_BUCKET]: (r["n"], r["d"]) for r in content.groupBy(_BUCKET).agg(F.count("*").alias("n"), digest.alias("d")).collect()}
+        found = {r[_BUCKET]: (r["n"], r["d"]) for r in written.groupBy(_BUCKET).agg(F.count("*").alias("n"), digest.alias("d")).collect()}
         if not set(found) <= set(touched):
             raise ValueError("the update gave rows of keys that were not to change")
         held = {r["bucket"]: (r["holds"], r["n_rows"], r["digest"]) for r in before.collect()} if before is not None else {}
         changed = [b for b in touched if found.get(b, (0, None)) != held.get(b, (0, 0, None))[1:]]
-        if before is not None and not changed:
-            self._say(version, batch, held)
-            return version
-        written = content.where(F.col(_BUCKET).isin(changed)) if len(changed) < self.buckets else content
-        written.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.folder}/rows/{version}")
+        for b in set(found) - set(changed):
+            delete(self.spark, f"{place}/{_BUCKET}={b}")  # as it was; the folder it is in stays
         for b in changed:
             n, d = found.get(b, (0, None))
             held[b] = (version, n, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saleslens import schemas as S
 from saleslens.operators.buckets import Store, create
 from saleslens.operators.transactions import by_month_and_category, monthly_by_category, per_customer
+from saleslens.session import placed
 
 #: Columns of the stored sums, in the names of ``monthly_by_category``.
 SUMS = ["user_id", "mes", "merchant_category", "_n", "_priced", "_cents", "_last"]
@@ -44,24 +45,22 @@ def months(sums: DataFrame) -> DataFrame:
 def create_changes(sums: DataFrame, folder: str, buckets: int = 64) -> Store:
     """Store spend per customer and month beside that of the previous active month."""
     previous = F.lag("cents").over(Window.partitionBy("user_id").orderBy("mes"))
-    return create(months(sums).withColumn("anterior", previous).select(*CHANGES), folder, "user_id", buckets)
+    return create(months(placed(sums, "user_id")).withColumn("anterior", previous).select(*CHANGES), folder, "user_id", buckets)
 
 
 def _later(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Months before a customer's first changed one stay; the previous month is looked up anew from there on only."""
-    first = new.groupBy("user_id").agg(F.min("mes").alias("_first"))
-    marked = old.join(first, "user_id", "left")
-    stays = F.col("_first").isNull() | (F.col("mes") < F.col("_first"))
-    kept = marked.where(stays)
-    # The month before the first changed one leads the lag, so that earlier ones need not be read again.
-    lead = kept.where(F.col("_first").isNotNull()).groupBy("user_id").agg(F.max(F.struct("mes", "cents", "transacciones_mes")).alias("_l")).select(
-        "user_id", "_l.*", F.lit(True).alias("_lead"))
-    again = marked.where(~stays).select("user_id", "mes", "cents", "transacciones_mes").unionByName(
-        new.select("user_id", "mes", "cents", "transacciones_mes")).groupBy("user_id", "mes").agg(
-        F.sum("cents").alias("cents"), F.sum("transacciones_mes").alias("transacciones_mes")).withColumn("_lead", F.lit(False))
-    previous = F.lag("cents").over(Window.partitionBy("user_id").orderBy("mes"))
-    recomputed = lead.unionByName(again).withColumn("anterior", previous).where(~F.col("_lead"))
-    return kept.select(*CHANGES).unionByName(recomputed.select(*CHANGES))
+    """Months before a customer's first changed one stay; the previous month is looked up anew from there on only.
+
+    Old and new rows are placed by customer once, where they are added up and put in order.
+    """
+    both = old.select(*CHANGES, F.lit(False).alias("_new")).unionByName(
+        new.select("user_id", "mes", "cents", "transacciones_mes", F.lit(None).cast("long").alias("anterior"), F.lit(True).alias("_new")))
+    months = placed(both, "user_id").groupBy("user_id", "mes").agg(
+        F.sum("cents").alias("cents"), F.sum("transacciones_mes").alias("transacciones_mes"), F.max("anterior").alias("_stored"), F.max("_new").alias("_new"))
+    by_month = Window.partitionBy("user_id").orderBy("mes")
+    # Rows up to this one tell whether the first changed month has come.
+    stays = ~F.max("_new").over(by_month)
+    return months.withColumn("anterior", F.when(stays, F.col("_stored")).otherwise(F.lag("cents").over(by_month))).select(*CHANGES)
 
 
 def add_to_changes(store: Store, delta: DataFrame, batch: str) -> int:

@@ -61,6 +61,25 @@ def test_repeated_and_idle_batches_change_nothing(spark, stored, tmp_path):
     assert files(tmp_path) == state and rows(store.read()) == content and [v for v, _ in store.versions()] == [0, 1, 2]
 
 
+def test_a_merge_writes_its_rows_once(spark, stored, tmp_path, monkeypatch):
+    store = B.create(stored, str(tmp_path), "user_id", 4)
+    written, plain = [], B.durable
+    monkeypatch.setattr(B, "durable", lambda df: written.append(df.columns) or plain(df))
+    new = stored.limit(30).withColumn("probability", F.lit(0.7))
+    assert store.merge(new, M.upsert_predictions, "one") == 1
+    assert written == [new.columns]  # the batch; what is stored goes to its place at once
+    assert {r["holds"] for r in store.manifest().collect()} == {1} and store.read().count() == 100
+
+
+def test_later_months_are_found_in_one_placement(spark):
+    old = spark.createDataFrame([("a", D(2023, 1, 1), 1, 1, None), ("a", D(2023, 3, 1), 5, 1, 1), ("b", D(2023, 1, 1), 4, 2, None)], "user_id string, mes date, cents long, transacciones_mes long, anterior long")
+    new = spark.createDataFrame([("a", D(2023, 2, 1), 3, 1)], "user_id string, mes date, cents long, transacciones_mes long")
+    out = MT._later(old, new)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(out) == rows(spark.createDataFrame(
+        [("a", D(2023, 1, 1), 1, 1, None), ("a", D(2023, 2, 1), 3, 1, 1), ("a", D(2023, 3, 1), 5, 1, 3), ("b", D(2023, 1, 1), 4, 2, None)], old.schema))
+
+
 def test_failed_merge_leaves_the_version_before(spark, stored, tmp_path):
     store = B.create(stored, str(tmp_path), "user_id", 4)
 
