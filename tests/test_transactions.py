@@ -98,6 +98,23 @@ def test_only_sums_are_shuffled_and_no_order_is_global(transactions):
     assert "SinglePartition" not in plan and "partial_sum" in plan
 
 
+@pytest.mark.parametrize("ties", ["first", "joined"])
+def test_months_are_summed_in_fixed_width(transactions, ties):
+    plan = X.transaction_features(transactions, ties=ties)._jdf.queryExecution().executedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(plan) if "Window [" in line)
+    above = [line for line in plan[:window] if "Aggregate(" in line]
+    assert "HashAggregate(" in above[-1] and "ObjectHash" not in above[-1]
+
+
+def test_many_winners_at_once(spark):
+    records = [(f"u{i % 50}", D(2023, 1 + i % 3, 1), 10.0, f"c{i // 50 % 4}") for i in range(400)]
+    got = by_user(X.transaction_features(tx(spark, *records, ("u1", D(2023, 5, 1), 90.0, "z")), ties="joined"))
+    assert len(got) == 50 and got["u0"]["categoria_favorita"] == got["u0"]["categoria_favorita_monto"] == "c0 + c1 + c2 + c3"
+    assert got["u0"]["total_spend_fav"] == got["u0"]["total_spend"] == 80.0 and got["u0"]["total_transacciones"] == 8
+    assert (got["u1"]["categoria_favorita"], got["u1"]["categoria_favorita_monto"]) == ("c0 + c1 + c2 + c3", "z")
+    assert got["u1"]["total_spend_fav"] == 90.0 and got["u1"]["n_meses_activos"] == 4
+
+
 def test_hot_customer(spark):
     days = spark.range(30000).select(
         F.col("id").cast("string").alias("transaction_id"),
