@@ -21,7 +21,7 @@ from saleslens.plans.features import LEAKY, FeatureModel
 from saleslens.plans.scoring import batch_scores
 from saleslens.plans.training import (
     boosted_trees, class_weights, feature_names, load_model, pipeline, ready, save_model, scored)
-from saleslens.session import durable
+from saleslens.session import durable, evenly
 
 MOMENTS = "column string, mean double, deviation double"
 LABELS = "column string, label string, code int"
@@ -74,7 +74,8 @@ def final_model(base: DataFrame, estimator: Estimator | None = None, dropped: Se
     features = FeatureModel.fit(base)
     table = features.transform(base).drop(*dropped)
     names = feature_names(table)
-    rows = durable(stratified_split(class_weights(ready(table, names)), "user_id", test_fraction=test_fraction, seed=seed))
+    weighted = class_weights(durable(ready(table, names)))  # counted, ranked and joined
+    rows = durable(evenly(stratified_split(weighted, "user_id", test_fraction=test_fraction, seed=seed)))
     model = pipeline(names, estimator or boosted_trees()).fit(rows.where("NOT is_test"))
     held_out = durable(scored(model, rows.where("is_test")))
     best = best_threshold(held_out).first()["threshold"]

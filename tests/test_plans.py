@@ -195,3 +195,19 @@ def test_exchange_has_one_shuffle_whatever_the_features(spark):
     for n in (1, 12):
         plan = TR.exchanged(df, [f"f{i}" for i in range(n)], rows_per_bucket=10)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_training_rows_fill_every_core(tables, spark, monkeypatch):
+    from saleslens.plans import bundle
+
+    class Seen(Exception):
+        pass
+
+    class Fake:
+        def fit(self, rows):
+            raise Seen(rows.groupBy(F.spark_partition_id()).count().count())
+
+    monkeypatch.setattr(bundle, "pipeline", lambda names, estimator: Fake())
+    with pytest.raises(Seen) as seen:
+        bundle.final_model(FE.default_base(*tables))
+    assert seen.value.args[0] == spark.sparkContext.defaultParallelism
