@@ -211,3 +211,24 @@ def test_training_rows_fill_every_core(tables, spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         bundle.final_model(FE.default_base(*tables))
     assert seen.value.args[0] == spark.sparkContext.defaultParallelism
+
+
+def test_exchanged_rows_are_scored_without_a_copy(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(TR, "durable", lambda df: written.append(df.columns) or df)
+    df = spark.range(50).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("double").alias("label"), F.col("id").alias("x"))
+    got = TR.permutation_importance(lambda t: t.select("feature", "label", F.col("x").cast("double").alias("score")), df, ["x"])
+    assert got.count() == 1 and ["feature", "label", "score"] not in written
+
+
+def test_exchanged_rows_come_from_every_core(spark, monkeypatch):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("user_id"), F.col("id").alias("x"), F.col("id").alias("y"))
+
+    def tasks():
+        rows = TR.exchanged(df, ["x", "y"], rows_per_bucket=20)
+        assert rows.count() == 12000 and rows.where("feature = 'x'").agg(F.sum("x")).first()[0] == 7998000
+        return rows.groupBy(F.spark_partition_id()).count().count()
+
+    assert tasks() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(TR, "ROWS_PER_TASK", 1000)
+    assert tasks() == 12
