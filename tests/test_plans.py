@@ -213,6 +213,18 @@ def test_training_rows_fill_every_core(tables, spark, monkeypatch):
     assert seen.value.args[0] == spark.sparkContext.defaultParallelism
 
 
+def test_folds_fill_every_core(matrix, spark, monkeypatch):
+    seen = []
+
+    class Fake:
+        def fit(self, rows):
+            seen.append(rows.groupBy(F.spark_partition_id()).count().count())
+
+    monkeypatch.setattr(TR, "scored", lambda model, rows, key: rows)
+    TR.out_of_fold(Fake(), TR.assembled(matrix, TR.feature_names(matrix)), folds=2)
+    assert seen == [spark.sparkContext.defaultParallelism] * 2
+
+
 def test_exchanged_rows_are_scored_without_a_copy(spark, monkeypatch):
     written = []
     monkeypatch.setattr(TR, "durable", lambda df: written.append(df.columns) or df)
