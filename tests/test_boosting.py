@@ -123,6 +123,28 @@ def test_features_counted_together_give_the_sums_of_each(data):
                     assert got[k, node, layout.first[f]:layout.first[f + 1]].tolist() == want
 
 
+def test_only_drawn_features_share_a_count(data, monkeypatch):
+    rng, layout, n, counts = np.random.default_rng(4), data.layout, 20_000, []
+    bins = np.asfortranarray(np.stack([rng.integers(0, m + 1, n) for m in layout.missing], axis=1).astype(np.uint8))
+    at, g, h = np.zeros(n, int), rng.integers(-2**24, 2**24, n).astype(float), rng.integers(1, 2**22, n).astype(float)
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (counts.append(len(a[0])), bincount(*a, **k))[1])
+    for columns in ([0, 2], [1, 3], [0, 1], [2, 3]):  # any two fit together, whichever others are not drawn
+        counts.clear()
+        B.histogram(layout, bins, layout.joined(bins), at, 1, g, h, np.array(columns))
+        assert counts == [n, n], columns
+
+
+def test_levels_stepped_by_table_and_node_by_node(data, monkeypatch):
+    block = B._whole(data)
+    tree = B.fit(data, B.Setting(trees=1, depth=6, columns=1.0, least_hessian=0.1)).trees[0]
+    assert tree.missing_left.any() and (tree.feature[31:63] >= 0).sum() > 4  # some nodes of the last level are split, others are not
+    monkeypatch.setattr(B, "NEAR_ROWS", 70)
+    by_node = tree.places(block.bins, data.layout.missing)
+    monkeypatch.setattr(B, "FEW_NODES", 0)
+    assert (tree.places(block.bins, data.layout.missing) == by_node).all()
+
+
 def test_rows_are_counted_at_the_lighter_child_only(data, monkeypatch):
     counted, plain = [], B.histogram
 
