@@ -135,6 +135,22 @@ def test_only_drawn_features_share_a_count(data, monkeypatch):
         assert counts == [n, n], columns
 
 
+def test_runs_of_rows_add_up(data, monkeypatch):
+    rng, layout, n = np.random.default_rng(6), data.layout, 5_000
+    bins = np.asfortranarray(np.stack([rng.integers(0, m + 1, n) for m in layout.missing], axis=1).astype(np.uint8))
+    g, h, columns, longest = rng.integers(-2**24, 2**24, n).astype(float), rng.integers(1, 2**22, n).astype(float), np.arange(4), []
+    bincount = np.bincount
+    for at, nodes in ((np.zeros(n, int), 1), (rng.integers(-1, 1, n), 1), (rng.integers(-1, 3, n), 3)):
+        whole = B.histogram(layout, bins, layout.joined(bins), at, nodes, g, h, columns)
+        with monkeypatch.context() as m:
+            m.setattr(B, "NEAR_ROWS", 500)
+            m.setattr(B, "JOINT_BINS", 100)
+            m.setattr(B, "FEW_JOINT_BINS", 50)
+            m.setattr(np, "bincount", lambda *a, **k: (longest.append(len(a[0])), bincount(*a, **k))[1])
+            assert (B.histogram(layout, bins, layout.joined(bins), at, nodes, g, h, columns) == whole).all()
+    assert max(longest) < n / 4  # never over all rows at once
+
+
 def test_levels_stepped_by_table_and_node_by_node(data, monkeypatch):
     block = B._whole(data)
     tree = B.fit(data, B.Setting(trees=1, depth=6, columns=1.0, least_hessian=0.1)).trees[0]

@@ -177,6 +177,15 @@ def test_search_against_separate_fits(spark):
     assert [r["roc_auc"] for r in means] == sorted((sum(got[s, f] for f in range(5)) / 5 for s in range(3)), reverse=True)
 
 
+def test_scores_of_a_search_are_written_by_training_only(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 2).cast("double").alias("label"),
+                                (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 7).alias("x"))
+    written = []
+    monkeypatch.setattr(TR, "durable", lambda table: written.append(table.columns) or table)
+    assert TR.random_search(df, ["x"], [TR.boosting.Setting(trees=2)]).count() == 5
+    assert written == []
+
+
 def test_exchange_keeps_the_values_of_each_feature(spark):
     df = spark.range(700).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("user_id"),
                                  F.col("id").alias("x"), (F.col("id") * 2).alias("y"), (F.col("id") % 4).alias("group"))
